@@ -43,7 +43,8 @@ def clean_text(
     if options.stemming:
         out = stem(out, id, col)
     if options.lemmatization:
-        out = lemmatize(out, id, col, lexicon, exceptions)
+        # Lemmas read the text several times; the steps before them run once.
+        out = lemmatize(materialise(out, "cleaned-rows"), id, col, lexicon, exceptions)
     return out
 
 
@@ -67,9 +68,6 @@ def process_table(
         languages = detect_language(out, id, name, profiles).select(F.col(id).alias("_lang_id"), F.col("lang").alias("_lang"))
         known = out.join(languages, out[id] == languages["_lang_id"], "left").drop("_lang_id")
         known = known.withColumn("_raw", F.col(f"`{name}`"))
-        if options.lemmatization:
-            # Lemmas read the text several times; detect and join only once.
-            known = materialise(known, "detected-rows")
         cleaned = clean_text(known, id, name, options, F.col("_lang"), lists, lexicon)
         out = cleaned.withColumn(name, F.when(F.col("_lang").isNull(), F.col("_raw")).otherwise(F.col(name))).select(
             *df.columns

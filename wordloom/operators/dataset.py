@@ -92,11 +92,15 @@ def split(df: DataFrame, id: str, test_size: float = 0.2, seed: int = 42) -> Dat
         .join(F.broadcast(edge), "_bucket")  # a single row
         .withColumn("_rank", rank)
         .where(F.col("_rank") == F.col("need"))
-        .agg(F.first(F.struct("_h", "_id")).alias("cut"))
-        .scalar()
+        .select("_h", "_id")
+        .first()
     )
-    row = F.struct(_hash(id, seed).alias("_h"), F.col(id).alias("_id"))
-    return df.withColumn("is_test", F.coalesce(row <= cut, F.lit(False)))
+    if cut is None:
+        return df.withColumn("is_test", F.lit(False))
+    # The cut is one hash and one id, so later jobs need not look for it again.
+    last = F.lit(cut["_id"]).cast(keyed.schema["_id"].dataType)
+    h = _hash(id, seed)
+    return df.withColumn("is_test", (h < cut["_h"]) | ((h == cut["_h"]) & (F.col(id) <= last)))
 
 
 BALANCING = ("use_as_is", "remove_low_classes", "balance_distribution")

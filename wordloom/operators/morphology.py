@@ -31,16 +31,15 @@ def stem(df: DataFrame, id: str, col: str) -> DataFrame:
     return df.withColumn(col, stem_text(F.col(col)))
 
 
+def _word_texts(df: DataFrame, col: str) -> DataFrame:
+    """``(word, texts)``: every valid word and the number of texts with it."""
+    word = F.explode(F.array_distinct(valid_words(F.col(col))))
+    return df.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
+
+
 def corpus_lexicon(df: DataFrame, col: str, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``(lemma)``: the valid words that at least ``min_texts`` texts contain."""
-    word = F.explode(F.array_distinct(valid_words(F.col(col))))
-    return (
-        df.select(word.alias("lemma"))
-        .groupBy("lemma")
-        .agg(F.count("*").alias("texts"))
-        .where(F.col("texts") >= min_texts)
-        .select("lemma")
-    )
+    return _word_texts(df, col).where(F.col("texts") >= min_texts).select(F.col("word").alias("lemma"))
 
 
 def _may_change(w: Column, with_exceptions: bool) -> Column:
@@ -92,13 +91,17 @@ def lemmatize(
     words never leave their order, and a word in very many texts is salted (see ``lookup``).
     """
     check_columns(df, [id, col])
-    if lexicon is None:
-        lexicon = corpus_lexicon(df, col)
     changeable = F.filter(
         F.array_distinct(valid_words(F.col(col))), lambda w: _may_change(w, exceptions is not None)
     )
     pairs = df.select(F.col(id).alias("_id"), F.explode(changeable).alias("word"))
-    words = pairs.groupBy("word").agg(F.count("*").alias("texts"))
+    if lexicon is None:
+        # One pass gives both the lexicon and the words to look up.
+        counted = materialise(_word_texts(df, col), "words")
+        lexicon = counted.where(F.col("texts") >= MIN_TEXTS).select(F.col("word").alias("lemma"))
+        words = counted.where(_may_change(F.col("word"), exceptions is not None))
+    else:
+        words = pairs.groupBy("word").agg(F.count("*").alias("texts"))
     table = materialise(lemma_table(words, lexicon, exceptions), "lemmas")
     maps = (
         lookup(pairs, table, "word", "_id", "texts")

@@ -4,10 +4,12 @@ Terms are counted inside the row, so counting and hashing need no shuffle. Only
 groups rows, by text, after the vocabulary is joined.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.arrays import histogram
+from wordloom.functions.arrays import bind, histogram
 from wordloom.functions.text import tokens
 from wordloom.operators.joins import lookup
 from wordloom.operators.validate import check_columns
@@ -16,11 +18,11 @@ from wordloom.sources.scratch import materialise
 HASH_BUCKETS = 2**20
 
 
-def count_terms(df: DataFrame, id: str, col: str) -> DataFrame:
-    """Raw counts over the full vocabulary."""
+def count_terms(df: DataFrame, id: str, col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Raw counts over the full vocabulary. Columns of ``keep`` stay on every row."""
     check_columns(df, [id, col])
-    return df.select(id, F.explode(histogram(tokens(F.col(col)))).alias("h")).select(
-        id, F.col("h.item").alias("term"), F.col("h.n").cast("bigint").alias("weight")
+    return df.select(id, *keep, F.explode(histogram(tokens(F.col(col)))).alias("h")).select(
+        id, *keep, F.col("h.item").alias("term"), F.col("h.n").cast("bigint").alias("weight")
     )
 
 
@@ -37,16 +39,18 @@ def _unit_length(weighted: DataFrame, id: str) -> DataFrame:
     return weighted.withColumn("weight", F.col("weight") / norm)
 
 
-def apply_vectorizer(df: DataFrame, id: str, col: str, vocabulary: DataFrame) -> DataFrame:
+def apply_vectorizer(
+    df: DataFrame, id: str, col: str, vocabulary: DataFrame, keep: Sequence[str] = ()
+) -> DataFrame:
     """Weigh the terms of new texts by a fitted vocabulary; terms it does not hold are dropped.
 
     ``vocabulary`` is the written table of ``fit_vocabulary``. With an ``idf`` column the result is TF-IDF of
     unit length per text, without one it is counts.
     """
-    counted = lookup(count_terms(df, id, col), vocabulary, "term", id, "texts")
+    counted = lookup(count_terms(df, id, col, keep), vocabulary, "term", id, "texts")
     if "idf" not in vocabulary.columns:
-        return counted.select(id, "term", "weight")
-    return _unit_length(counted.select(id, "term", (F.col("weight") * F.col("idf")).alias("weight")), id)
+        return counted.select(id, *keep, "term", "weight")
+    return _unit_length(counted.select(id, *keep, "term", (F.col("weight") * F.col("idf")).alias("weight")), id)
 
 
 def tfidf(df: DataFrame, id: str, col: str) -> DataFrame:
@@ -62,7 +66,14 @@ def _bucket(digest: Column, buckets: int) -> Column:
     return F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") % buckets
 
 
-def hashed(df: DataFrame, id: str, col: str, buckets: int = HASH_BUCKETS, signed: bool = False) -> DataFrame:
+def hashed(
+    df: DataFrame,
+    id: str,
+    col: str,
+    buckets: int = HASH_BUCKETS,
+    signed: bool = False,
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """``(id, bucket, weight)`` without a vocabulary, of unit length per text.
 
     Terms of one bucket add up. ``signed`` gives each term a sign from its hash, so that collisions cancel on
@@ -73,24 +84,40 @@ def hashed(df: DataFrame, id: str, col: str, buckets: int = HASH_BUCKETS, signed
         item = F.col("h.item")
         sign = F.when(F.substring(_digest(item), 9, 1) < "8", 1).otherwise(-1)
         summed = (
-            df.select(id, F.explode(histogram(tokens(F.col(col)))).alias("h"))
-            .select(id, _bucket(_digest(item), buckets).alias("bucket"), (F.col("h.n") * sign).alias("n"))
-            .groupBy(id, "bucket")
+            df.select(id, *keep, F.explode(histogram(tokens(F.col(col)))).alias("h"))
+            .select(id, *keep, _bucket(_digest(item), buckets).alias("bucket"), (F.col("h.n") * sign).alias("n"))
+            .groupBy(id, *keep, "bucket")
             .agg(F.sum("n").alias("weight"))
             .where("weight != 0")
         )
         return _unit_length(summed, id)
     counts = histogram(F.transform(tokens(F.col(col)), lambda t: _bucket(_digest(t), buckets)))
-    norm = F.sqrt(F.aggregate("hs", F.lit(0.0), lambda acc, h: acc + h["n"].cast("double") * h["n"]))
-    return (
-        df.select(id, counts.alias("hs"))
-        .select(id, norm.alias("norm"), F.explode("hs").alias("h"))
-        .select(id, F.col("h.item").alias("bucket"), (F.col("h.n") / F.col("norm")).alias("weight"))
+    return df.select(id, *keep, F.explode(bind(counts, _scaled)).alias("h")).select(
+        id, *keep, "h.bucket", "h.weight"
+    )
+
+
+def _scaled(counts: Column) -> Column:
+    """Counts of one text, divided by their norm inside the row."""
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, h: acc + h["n"].cast("double") * h["n"]))
+    return bind(
+        norm,
+        lambda length: F.transform(
+            counts, lambda h: F.struct(h["item"].alias("bucket"), (h["n"] / length).alias("weight"))
+        ),
     )
 
 
-def vectorize(df: DataFrame, id: str, col: str, kind: str, vocabulary: DataFrame | None, buckets: int) -> DataFrame:
-    """``(id, term, weight)`` by one of the three vectorizers; hashing needs no vocabulary."""
+def vectorize(
+    df: DataFrame,
+    id: str,
+    col: str,
+    kind: str,
+    vocabulary: DataFrame | None,
+    buckets: int,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """``(id, *keep, term, weight)`` by one of the three vectorizers; hashing needs no vocabulary."""
     if kind == "Hashing":
-        return hashed(df, id, col, buckets).withColumnRenamed("bucket", "term")
-    return apply_vectorizer(df, id, col, vocabulary if kind == "TF-IDF" else vocabulary.drop("idf"))
+        return hashed(df, id, col, buckets, keep=keep).withColumnRenamed("bucket", "term")
+    return apply_vectorizer(df, id, col, vocabulary if kind == "TF-IDF" else vocabulary.drop("idf"), keep)

@@ -45,11 +45,11 @@ PRESET = CleanOptions(
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """One training run. ``hash_buckets`` and ``max_terms`` bound the width of the MLlib feature vectors.
+    """One training run.
 
-    ``max_terms`` never drops a term: a larger vocabulary is an error that asks for hashing. ``rounds`` is the
-    number of gradient boosting rounds. ``fit_scope`` says which rows the vectorizer learns from: ``all`` or
-    ``train``.
+    ``hash_buckets`` and ``max_terms`` bound the width of MLlib feature vectors, ``tree_buckets`` that of the
+    three tree classifiers. No bound drops a term (see ``fit_vectorizer``). ``rounds`` is the number of gradient
+    boosting rounds. ``fit_scope`` says which rows the vectorizer learns from: ``all`` or ``train``.
     """
 
     algorithm: str = "SVM"
@@ -62,6 +62,7 @@ class ModelConfig:
     random_state: int = 42
     rounds: int = 100
     hash_buckets: int = 2**20
+    tree_buckets: int = 2**12
     max_terms: int = 2**22
     fit_scope: str = "all"
 

@@ -253,13 +253,11 @@ def _classify(config: ModelConfig) -> Query:
 
 QUERIES["classify_svm"] = _classify(ModelConfig("SVM"))
 QUERIES["classify_random_forest"] = _classify(ModelConfig("Random Forest", n_estimators=20, max_depth=10))
-QUERIES["classify_logistic"] = _classify(ModelConfig("Logistic Regression"))
+QUERIES["classify_logistic"] = _classify(ModelConfig("Logistic Regression", "Hashing", hash_buckets=2**16))
 QUERIES["classify_naive_bayes"] = _classify(ModelConfig("Naive Bayes", "Count"))
-QUERIES["classify_decision_tree"] = _classify(ModelConfig("Decision Tree", "Hashing", hash_buckets=2**12, max_depth=10))
+QUERIES["classify_decision_tree"] = _classify(ModelConfig("Decision Tree", max_depth=10))
 QUERIES["classify_knn"] = _classify(ModelConfig("KNN"))
-QUERIES["classify_gradient_boosting"] = _classify(
-    ModelConfig("Gradient Boosting", "Hashing", hash_buckets=2**10, rounds=3)
-)
+QUERIES["classify_gradient_boosting"] = _classify(ModelConfig("Gradient Boosting", rounds=3))
 
 
 # Evaluation and model workflow
@@ -300,7 +298,7 @@ def model_selection(spark, sf_dir):
         ModelConfig("Naive Bayes", "Count"),
         ModelConfig("Naive Bayes", "TF-IDF"),
         ModelConfig("Naive Bayes", "Hashing"),
-        ModelConfig("Logistic Regression", "TF-IDF"),
+        ModelConfig("Logistic Regression", "Hashing", hash_buckets=2**16),
     ]
     return workflow.select_model(documents(spark, sf_dir), "doc_id", grid, target="lang")
 

@@ -78,7 +78,8 @@ def fit_model(data: Prepared, config: ModelConfig) -> TextModel:
         pipeline = fit_pipeline(scope, train, text, "label", config)
         return PipelineTextModel(pipeline, text, rows.schema["label"].dataType.simpleString())
     vocabulary = None if config.vectorizer == "Hashing" else fit_vocabulary(scope, id, text)
-    terms = vectorize(train, id, text, config.vectorizer, vocabulary, config.hash_buckets)
+    keep = ["label"] if config.algorithm == "Naive Bayes" else []
+    terms = vectorize(train, id, text, config.vectorizer, vocabulary, config.hash_buckets, keep)
     labels = train.select(id, "label")
     if config.algorithm == "KNN":
         stored = materialise(terms, "knn-terms")
