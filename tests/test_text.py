@@ -76,8 +76,8 @@ def test_list_from_jar_equals_list_from_session(spark, monkeypatch):
     assert _bundled.__wrapped__("german") == loaded
 
 
-@settings(max_examples=20, deadline=None)
-@given(st.lists(st.text(alphabet="aBé ß'!#\n x1_", max_size=30), min_size=1, max_size=5))
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="aBé ß'!#\n x1_", max_size=30), min_size=4, max_size=12))
 def test_cleaning_equals_plain_python(spark, texts):
     def plain(t):
         t = "".join(ch for ch in t if ch not in PUNCTUATION)
