@@ -14,16 +14,18 @@ log = logging.getLogger(__name__)
 TRAINING_SCHEMA = "id bigint, text string, category int"
 
 
-def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
     """Read a CSV table with a header line; without ``schema`` every column is a string.
 
-    Quoted cells may span lines. A name that does not end in ``.csv`` is refused before anything is read.
+    Quoted cells may span lines; then each file is read by one task, so a large table should come as many files.
+    ``multi_line=False`` lets Spark split large files whose cells hold no line breaks. A name that does not end
+    in ``.csv`` is refused before anything is read.
     """
     if not path.endswith(".csv"):
         raise ValueError(f"not a CSV file: {path}")
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
