@@ -168,8 +168,7 @@ def plain_porter(word):
         lambda w: w[:-1] if w.endswith("ll") and m(w[:-1]) > 1 else w,
     ]
     for step in steps:
-        if len(w) > 2:
-            w = step(w)
+        w = step(w)
     return w
 
 
@@ -186,6 +185,17 @@ def test_porter_equals_the_paper_on_made_words(spark):
     assert not wrong, wrong[:10]
 
 
+EXTENDED = """caresses caress flies fli dies die mules mule denied deni died die agreed agre owned own humbled humbl
+sized size meeting meet stating state siezing siez itemization item sensational sensat traditional tradit reference
+refer colonizer colon plotted plot skies sky dying die news news proceed proceed day day enjoy enjoy happy happi
+geology geolog hopefully hope possibly possibl innings inning""".split()
+
+
+def test_extended_stemmer(spark):
+    out = apply(spark, lambda c: stem_text(c, extended=True), " ".join(EXTENDED[::2]))
+    assert out[0].split(" ") == EXTENDED[1::2]
+
+
 def test_stem_drops_what_is_no_word(spark):
     df = spark.createDataFrame([(1, "Cats 42 a b2 Running")], "id int, text string")
     assert stem(df, "id", "text").first().text == "cat run"

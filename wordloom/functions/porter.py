@@ -3,6 +3,9 @@
 Each step maps over the word array, so a whole text is stemmed inside its row: no explode, no shuffle, and no
 word that becomes a hot key. Words of one or two letters stay as they are, as in the author's own program.
 
+The extended form adds what a widely used toolkit adds by default: a list of irregular words, ``-ies`` and ``-ied``
+in words of four letters, ``-y`` only after a consonant, and a few more suffixes of step 2.
+
 ``y`` is a consonant at the start of a word and after a vowel, a vowel after a consonant. The patterns below
 follow that rule letter by letter and use neither lookaround nor backreferences, so that other SQL engines can
 run them too.
@@ -11,6 +14,7 @@ run them too.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wordloom.functions.arrays import bind
 from wordloom.functions.text import join_words, valid_words
 
 _C = "[^aeiou][^aeiouy]*"
@@ -79,6 +83,25 @@ STEP_4 = [
     "ize",
 ]
 
+# What the extended form changes. In step 2, -bli takes the place of -abli.
+IRREGULAR = {
+    "sky": ["sky", "skies"],
+    "die": ["dying"],
+    "lie": ["lying"],
+    "tie": ["tying"],
+    "news": ["news"],
+    "inning": ["innings", "inning"],
+    "outing": ["outings", "outing"],
+    "canning": ["cannings", "canning"],
+    "howe": ["howe"],
+    "proceed": ["proceed"],
+    "exceed": ["exceed"],
+    "succeed": ["succeed"],
+}
+EXTENDED_STEP_2 = [rule for rule in STEP_2 if rule[0] != "abli"] + [("bli", "ble"), ("fulli", "ful")]
+ENDS_CVC_OR_IS_VC = f"(?:{ENDS_CVC})|^[aeiou][^aeiou]$"
+ENDS_CONSONANT = "[^aeiouy]$|[aeiou]y$"
+
 
 def longest_first(rules: list) -> list:
     return sorted(rules, key=lambda rule: -len(rule[0]))
@@ -106,7 +129,11 @@ def _step_1a(w: Column) -> Column:
     )
 
 
-def _tidy(w: Column) -> Column:
+def _extended_1a(w: Column) -> Column:
+    return F.when(w.endswith("ies") & (F.length(w) == 4), _cut(w, 1)).otherwise(_step_1a(w))
+
+
+def _tidy(w: Column, cvc: str = ENDS_CVC) -> Column:
     """After -ed or -ing went: restore an e, or undo a doubled consonant."""
     last = F.right(w, F.lit(1))
     return (
@@ -115,26 +142,47 @@ def _tidy(w: Column) -> Column:
             w.rlike("[^aeiouylsz]$") & (F.right(w, F.lit(2)) == F.concat(last, last)),
             _cut(w, 1),
         )
-        .when(w.rlike(M_IS_1) & w.rlike(ENDS_CVC), F.concat(w, F.lit("e")))
+        .when(w.rlike(M_IS_1) & w.rlike(cvc), F.concat(w, F.lit("e")))
         .otherwise(w)
     )
 
 
-def _step_1b(w: Column) -> Column:
+def _step_1b(w: Column, cvc: str = ENDS_CVC) -> Column:
     return (
         F.when(w.endswith("eed"), F.when(_cut(w, 3).rlike(M_OVER_0), _cut(w, 1)).otherwise(w))
-        .when(w.endswith("ed") & _cut(w, 2).rlike(HAS_VOWEL), _tidy(_cut(w, 2)))
-        .when(w.endswith("ing") & _cut(w, 3).rlike(HAS_VOWEL), _tidy(_cut(w, 3)))
+        .when(w.endswith("ed") & _cut(w, 2).rlike(HAS_VOWEL), _tidy(_cut(w, 2), cvc))
+        .when(w.endswith("ing") & _cut(w, 3).rlike(HAS_VOWEL), _tidy(_cut(w, 3), cvc))
         .otherwise(w)
     )
 
 
+def _extended_1b(w: Column) -> Column:
+    short = F.when(F.length(w) == 4, _cut(w, 1)).otherwise(_cut(w, 2))
+    return F.when(w.endswith("ied"), short).otherwise(_step_1b(w, ENDS_CVC_OR_IS_VC))
+
+
 def _step_1c(w: Column) -> Column:
     return F.when(
         w.endswith("y") & _cut(w, 1).rlike(HAS_VOWEL), F.concat(_cut(w, 1), F.lit("i"))
     ).otherwise(w)
 
 
+def _extended_1c(w: Column) -> Column:
+    stem = _cut(w, 1)
+    fits = w.endswith("y") & (F.length(stem) > 1) & stem.rlike(ENDS_CONSONANT)
+    return F.when(fits, F.concat(stem, F.lit("i"))).otherwise(w)
+
+
+def _extended_2_alli(w: Column) -> Column:
+    """-alli becomes -al first, and the rest of step 2 sees the result."""
+    return F.when(w.endswith("alli") & _cut(w, 4).rlike(M_OVER_0), _cut(w, 2)).otherwise(w)
+
+
+def _extended_2(w: Column) -> Column:
+    logi = F.when(_cut(w, 3).rlike(M_OVER_0), _cut(w, 1)).otherwise(w)
+    return F.when(w.endswith("logi"), logi).otherwise(_replace_suffix(w, EXTENDED_STEP_2, M_OVER_0))
+
+
 def _step_4(w: Column) -> Column:
     out = None
     for suffix, _ in longest_first([(s, "") for s in STEP_4]):
@@ -147,9 +195,9 @@ def _step_4(w: Column) -> Column:
     return out.otherwise(w)
 
 
-def _step_5a(w: Column) -> Column:
+def _step_5a(w: Column, cvc: str = ENDS_CVC) -> Column:
     stem = _cut(w, 1)
-    drop = stem.rlike(M_OVER_1) | (stem.rlike(M_IS_1) & ~stem.rlike(ENDS_CVC))
+    drop = stem.rlike(M_OVER_1) | (stem.rlike(M_IS_1) & ~stem.rlike(cvc))
     return F.when(w.endswith("e") & drop, stem).otherwise(w)
 
 
@@ -157,30 +205,48 @@ def _step_5b(w: Column) -> Column:
     return F.when(w.endswith("ll") & _cut(w, 1).rlike(M_OVER_1), _cut(w, 1)).otherwise(w)
 
 
-STEPS = [
-    _step_1a,
-    _step_1b,
-    _step_1c,
+PAPER_STEPS = (
+    lambda w: _step_1a(w),
+    lambda w: _step_1b(w),
+    lambda w: _step_1c(w),
     lambda w: _replace_suffix(w, STEP_2, M_OVER_0),
     lambda w: _replace_suffix(w, STEP_3, M_OVER_0),
-    _step_4,
-    _step_5a,
-    _step_5b,
-]
+    lambda w: _step_4(w),
+    lambda w: _step_5a(w),
+    lambda w: _step_5b(w),
+)
+EXTENDED_STEPS = (
+    lambda w: _extended_1a(w),
+    lambda w: _extended_1b(w),
+    lambda w: _extended_1c(w),
+    lambda w: _extended_2_alli(w),
+    lambda w: _extended_2(w),
+    lambda w: _replace_suffix(w, STEP_3, M_OVER_0),
+    lambda w: _step_4(w),
+    lambda w: _step_5a(w, ENDS_CVC_OR_IS_VC),
+    lambda w: _step_5b(w),
+)
+
 
+def stem_array(tokens: Column, extended: bool = False) -> Column:
+    """Stem every word of an array, one mapped step after the other."""
 
-def _unless_short(step):
-    return lambda w: F.when(F.length(w) <= 2, w).otherwise(step(w))
+    def finish(w: Column, stem: Column) -> Column:
+        out = F.when(F.length(w) <= 2, w)
+        if extended:
+            for base, forms in IRREGULAR.items():
+                out = out.when(w.isin(*forms), F.lit(base))
+        return out.otherwise(stem)
 
+    def run(lowered: Column) -> Column:
+        out = lowered
+        for step in EXTENDED_STEPS if extended else PAPER_STEPS:
+            out = F.transform(out, step)
+        return F.zip_with(lowered, out, finish)
 
-def stem_array(tokens: Column) -> Column:
-    """Stem every word of an array, one mapped step after the other."""
-    out = F.transform(tokens, lambda w: F.lower(w))
-    for step in STEPS:
-        out = F.transform(out, _unless_short(step))
-    return out
+    return bind(F.transform(tokens, lambda w: F.lower(w)), run)
 
 
-def stem_text(c: Column) -> Column:
+def stem_text(c: Column, extended: bool = False) -> Column:
     """Stems of the valid words of a text, joined with single spaces."""
-    return join_words(stem_array(valid_words(c)))
+    return join_words(stem_array(valid_words(c), extended))

@@ -41,7 +41,7 @@ def clean_text(
     check_columns(df, [id, col])
     out = df.withColumn(col, clean_column(F.col(col), options, lang, lists))
     if options.stemming:
-        out = stem(out, id, col)
+        out = stem(out, id, col, options.extended_stemmer)
     if options.lemmatization:
         # Lemmas read the text several times; the steps before them run once.
         out = lemmatize(materialise(out, "cleaned-rows"), id, col, lexicon, exceptions)

@@ -74,9 +74,7 @@ def split(df: DataFrame, id: str, test_size: float = 0.2, seed: int = 42) -> Dat
         raise ValueError(f"test_size must lie between 0 and 1, not {test_size}")
     check_columns(df, [id])
     keyed = df.select(F.col(id).alias("_id"), _hash(id, seed).alias("_h"))
-    buckets = materialise(
-        keyed.groupBy(_bucket(F.col("_h")).alias("_bucket")).agg(F.count("*").alias("n")), "split-buckets"
-    )
+    buckets = keyed.groupBy(_bucket(F.col("_h")).alias("_bucket")).agg(F.count("*").alias("n"))
     # One task, but over 65,536 rows at most.
     whole = Window.partitionBy(F.lit(0))
     edge = (

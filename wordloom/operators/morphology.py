@@ -25,10 +25,10 @@ NOUN_RULES = [
 MIN_TEXTS = 3
 
 
-def stem(df: DataFrame, id: str, col: str) -> DataFrame:
+def stem(df: DataFrame, id: str, col: str, extended: bool = False) -> DataFrame:
     """Replace every text by the stems of its valid words, in order. Works inside the row."""
     check_columns(df, [id, col])
-    return df.withColumn(col, stem_text(F.col(col)))
+    return df.withColumn(col, stem_text(F.col(col), extended))
 
 
 def _word_texts(df: DataFrame, col: str) -> DataFrame:

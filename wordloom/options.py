@@ -26,9 +26,11 @@ class CleanOptions:
     stemming: bool = False
     lemmatization: bool = False
     classify_text: bool = False
+    # Not an operation: which form of the stemmer ``stemming`` uses.
+    extended_stemmer: bool = False
 
     def check(self) -> "CleanOptions":
-        if not any(getattr(self, f.name) for f in fields(self)):
+        if not any(getattr(self, f.name) for f in fields(self) if f.name != "extended_stemmer"):
             raise ValueError(CHOOSE_OPERATION)
         return self
 

@@ -231,7 +231,7 @@ def _porter(table: str) -> str:
     """``stems(w, stem)`` for the distinct lowercase words of ``table(w)``."""
 
     def cut(n: int) -> str:
-        return f"left(w, length(w) - {n})"
+        return f"left(w, greatest(length(w) - {n}, 0))"
 
     def has(text: str, pattern: str) -> str:
         return f"regexp_matches({text}, {quoted(pattern)})"
@@ -273,16 +273,15 @@ def _porter(table: str) -> str:
         if step is None:
             parts.append(
                 f"""
-    ps_cut AS (SELECT word, length(w) > 2 AND ({ed} OR {ing}) AS cutoff,
-      CASE WHEN length(w) <= 2 THEN w
-           WHEN ends_with(w, 'eed') THEN CASE WHEN {has(cut(3), porter.M_OVER_0)} THEN {cut(1)} ELSE w END
+    ps_cut AS (SELECT word, {ed} OR {ing} AS cutoff,
+      CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {has(cut(3), porter.M_OVER_0)} THEN {cut(1)} ELSE w END
            WHEN {ed} THEN {cut(2)} WHEN {ing} THEN {cut(3)} ELSE w END AS w FROM {source})"""
             )
             step, source = tidy, "ps_cut"
             parts.append(f"\n    ps_{i} AS (SELECT word, {step} AS w FROM {source})")
         else:
-            parts.append(f"\n    ps_{i} AS (SELECT word, CASE WHEN length(w) <= 2 THEN w ELSE {step} END AS w FROM {source})")
-    parts.append(f"\n    stems AS (SELECT word AS w, w AS stem FROM ps_{len(steps)})")
+            parts.append(f"\n    ps_{i} AS (SELECT word, {step} AS w FROM {source})")
+    parts.append(f"\n    stems AS (SELECT word AS w, CASE WHEN length(word) <= 2 THEN word ELSE w END AS stem FROM ps_{len(steps)})")
     return ",".join(parts)
 
 
