@@ -118,6 +118,11 @@ def test_detection_without_letters(spark, profiles):
     assert out == {1: (None, DETECTION_ERROR), 2: (None, DETECTION_ERROR), 3: (None, DETECTION_ERROR), 4: ("en", "ok")}
 
 
+def test_detection_without_profiles(spark, sentences, profiles):
+    out = language.detect_language(sentences, "id", "text", profiles.limit(0)).collect()
+    assert {(r.lang, r.status) for r in out} == {(None, DETECTION_ERROR)} and len(out) == 12
+
+
 def test_profile_ranks(spark):
     df = spark.createDataFrame([("ab ab c", "xx"), ("Ab!", "xx"), ("lost", None)], "text string, lang string")
     rows = language.language_profiles(df, "text", "lang").orderBy("rank").collect()
