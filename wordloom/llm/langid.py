@@ -129,7 +129,7 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     id_col: str = "doc_id",
-    per_language: int = 800,
+    per_language: int = 500,
     dim: int = 16,
     epochs: int = 6,
     seed: int = 42,
@@ -151,13 +151,14 @@ def train(
                 counts = next(gram_counts(slices([row["text"]])))
                 used = np.flatnonzero(counts)
                 if len(used):
-                    yield pd.DataFrame({"lang": [row["lang"]], "bucket": [used.astype(np.int32)], "n": [counts[used].astype(np.int32)]})
+                    yield pd.DataFrame({"lang": [row["lang"]], "buckets": [used.astype(np.int32).tobytes()], "n": [counts[used].astype(np.int32).tobytes()]})
 
-    rows = sample.mapInPandas(features, "lang string, bucket array<int>, n array<int>").collect()
-    rows.sort(key=lambda r: (r["lang"], len(r["bucket"]), list(r["bucket"]), list(r["n"])))
+    rows = sample.mapInPandas(features, "lang string, buckets binary, n binary").collect()
+    rows.sort(key=lambda r: (r["lang"], bytes(r["buckets"]), bytes(r["n"])))
     matrix = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
-        matrix[i, r["bucket"]] = np.array(r["n"], np.float32) / sum(r["n"])
+        n = np.frombuffer(r["n"], np.int32)
+        matrix[i, np.frombuffer(r["buckets"], np.int32)] = n / n.sum(dtype=np.float32)
     target = np.array([languages.index(r["lang"]) for r in rows], np.int64)
     return fit(matrix, target, languages, dim, epochs, seed)
 

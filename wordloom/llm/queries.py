@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import langid, minhash, quality
+from wordloom.llm import debruijn, langid, minhash, packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,10 +29,26 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = debruijn.remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def word_tokenizer() -> str:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id").drop("row_key")
+
+
 QUERIES = {
     "op2_dart_minhash": op2_dart_minhash,
     "op6_quality_rules": op6_quality_rules,
+    "op7_debruijn_repeats": op7_debruijn_repeats,
     "op9_language_id": op9_language_id,
+    "op10_cutting_stock": op10_cutting_stock,
 }
 
 ORACLES: dict[str, str] = {}
