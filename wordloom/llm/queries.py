@@ -2,28 +2,77 @@
 
 from __future__ import annotations
 
+import base64
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import debruijn, langid, minhash, packing, quality
+from wordloom.llm import bpe, caps, debruijn, html_cut, langid, licenses, minhash, packing, quality, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def byte_ranks() -> dict[bytes, int]:
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_ranks()
+    decoded = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("class_key").alias("class_id"), "kept")
 
 
+def op3_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+    spans = (F.size("removed") / 2).cast("long").alias("n_spans")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = caps.near_duplicates(_read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("score"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(_read(spark, sf_dir, "documents"))
     counts = [F.col(f"counts.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return found.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept", F.col("d2").alias("distance"))
 
 
+def op8_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_cut.extract(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
@@ -44,11 +93,19 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_dart_minhash": op2_dart_minhash,
-    "op6_quality_rules": op6_quality_rules,
-    "op7_debruijn_repeats": op7_debruijn_repeats,
-    "op9_language_id": op9_language_id,
-    "op10_cutting_stock": op10_cutting_stock,
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op2_dart_minhash,
+        op3_suffix_sort,
+        op4_cap_filters,
+        op5_license_scan,
+        op6_quality_rules,
+        op7_debruijn_repeats,
+        op8_html_min_cut,
+        op9_language_id,
+        op10_cutting_stock,
+    )
 }
 
 ORACLES: dict[str, str] = {}
