@@ -17,8 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import column, join_small, keyed, slices
@@ -143,35 +144,8 @@ def packed(key: int, start: np.ndarray, end: np.ndarray, a: np.ndarray | None =
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, key, np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), *hashes], names=["row_key", "start", "end", "a", "b"])
 
 
-def without_spans(rows: DataFrame) -> DataFrame:
-    """row_key, id, n_words, n_removed, kept (the words outside all spans, joined by one space)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, starts, ends in zip(column(batch, "text"), column(batch, "starts"), column(batch, "ends")):
-                words = (text or "").encode().split()
-                n_words.append(len(words))
-                if starts:
-                    depth = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(depth, starts, 1)
-                    np.add.at(depth, ends, -1)
-                    stays = np.cumsum(depth)[:-1] == 0
-                    words = [words[i] for i in np.flatnonzero(stays)]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in ("row_key", "id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                names=["row_key", "id", "n_words", "n_removed", "kept"],
-            )
-
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"row_key long, id {kind}, n_words long, n_removed long, kept string")
-
-
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: row_key, id, n_words, n_removed, kept (text without the repeated passages)."""
-    rows = keyed(docs, id_col, {"text": text_col})
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """row_key, starts, ends: the words covered by repeated windows, of the texts that have any (a written table)."""
     found = materialise(edges(rows), "edges")
     marks = materialise(compacted(found), "marks")
     marked = join_small(rows, marks, "row_key", 24, "inner", "marks")
@@ -179,5 +153,32 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     again = read.where("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
     spans = read.where("a IS NULL").select("row_key", "start", "end")
     spans = spans.unionByName(read.where("a IS NOT NULL").hint("merge").join(again, ["a", "b"]).select("row_key", "start", "end"))
-    spans = spans.groupBy("row_key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    return without_spans(join_small(rows, materialise(spans, "spans"), "row_key", 24, "left", "starts"))
+    return materialise(spans.groupBy("row_key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
+
+
+def cut_words(text: str, starts: str, ends: str) -> Column:
+    """Of a text and spans: the number of its words, how many are inside the spans, and the others joined by one space."""
+
+    @F.pandas_udf("n_words long, n_removed long, kept string")
+    def cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for columns in parts:
+            out = []
+            for words, low, high in zip(*columns):
+                words = (words or "").encode().split()
+                n = len(words)
+                if low is not None:
+                    depth = np.zeros(n + 1, np.int64)
+                    np.add.at(depth, np.asarray(low), 1)
+                    np.add.at(depth, np.asarray(high), -1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(depth)[:-1] == 0)]
+                out.append((n, n - len(words), b" ".join(words).decode()))
+            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+
+    return cut(text, starts, ends)
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per document: row_key, id, n_words, n_removed, kept (text without the repeated passages)."""
+    rows = keyed(docs, id_col, {"text": text_col})
+    cut = join_small(rows, repeated_spans(rows), "row_key", 24, "left", "starts")
+    return cut.select("row_key", "id", cut_words("text", "starts", "ends").alias("cut")).select("row_key", "id", "cut.*")

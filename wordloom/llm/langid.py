@@ -163,8 +163,8 @@ def train(
     return fit(matrix, target, languages, dim, epochs, seed)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The table with ``lang_pred``, ``score`` (calibrated probability) and ``rejected`` for every row."""
+def judgement(model: LanguageModel):
+    """A function of a text column: struct of lang, score (calibrated probability) and rejected."""
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -182,8 +182,13 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
                 out.append((model.languages[best], float(chances[best]), bool(chances[best] < model.threshold)))
             yield pd.DataFrame(out, columns=["lang", "score", "rejected"])
 
+    return judge
+
+
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The table with ``lang_pred``, ``score`` and ``rejected`` for every row."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    judged = docs.select(*kept, judge(F.col(f"`{text_col}`")).alias("_judged"))
+    judged = docs.select(*kept, judgement(model)(F.col(f"`{text_col}`")).alias("_judged"))
     return judged.select(*kept, F.col("_judged.lang").alias("lang_pred"), F.col("_judged.score").alias("score"), F.col("_judged.rejected").alias("rejected"))
 
 
