@@ -71,7 +71,8 @@ def edges(rows: DataFrame) -> DataFrame:
 def compacted(found: DataFrame) -> DataFrame:
     """Of each text with repeated edges: row_key, marks (two per edge in text order: position, and 1 if a path goes on)."""
     shared = found.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge")
-    again = found.hint("merge").join(shared, "edge")
+    # Written tables on both sides of a join let Spark split the partition of a frequent edge.
+    again = found.hint("merge").join(materialise(shared, "shared-edges"), "edge")
     order = Window.partitionBy("row_key").orderBy("pos")
     # Neighbours in a text share a node: the next edge starts where this one's last node does.
     met = F.lead("pos").over(order) == F.col("pos") + F.col("size") - K
@@ -80,7 +81,7 @@ def compacted(found: DataFrame) -> DataFrame:
     again = materialise(again, "repeated-edges")
     one = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
     degrees = again.groupBy("edge").agg(F.coalesce(one("next"), F.lit(False)).alias("one_out"), F.coalesce(one("last"), F.lit(False)).alias("one_in"))
-    known = again.hint("merge").join(degrees, "edge")
+    known = again.hint("merge").join(materialise(degrees, "degrees"), "edge")
     goes_on = F.col("next").isNotNull() & F.col("one_out") & F.lead("one_in").over(order)
     marks = known.select("row_key", "pos", F.coalesce(goes_on, F.lit(False)).cast("int").alias("on"))
     marks = marks.groupBy("row_key").agg(F.sort_array(F.collect_list(F.col("pos") * 2 + F.col("on"))).alias("marks"))
@@ -151,6 +152,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     marked = join_small(rows, marks, "row_key", 24, "inner", "marks")
     read = materialise(windows(marked, WINDOW), "windows")
     again = read.where("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    again = materialise(again, "repeated-windows")
     spans = read.where("a IS NULL").select("row_key", "start", "end")
     spans = spans.unionByName(read.where("a IS NOT NULL").hint("merge").join(again, ["a", "b"]).select("row_key", "start", "end"))
     return materialise(spans.groupBy("row_key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")

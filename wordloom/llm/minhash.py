@@ -192,8 +192,9 @@ def near_duplicates(
     reps = drawn.join(copies.select(F.col("rep").alias("row_key")), "row_key", "left_semi")
 
     spread = reps.select("row_key", "weight", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(spread.join(shared, "bucket"), "members")
+    # Written tables on both sides of a join let Spark split the partition of a crowded bucket.
+    shared = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = materialise(spread.join(shared.hint("merge"), "bucket"), "members")
     crowded = materialise(members.where(f"n > {CROWD}").select("row_key").distinct(), "crowded")
     own = materialise(own_weight(join_small(rows, crowded, "row_key", 8, "left_semi")), "own")
     members = members.join(own, "row_key", "left").withColumn("own", F.when(F.col("n") > CROWD, F.coalesce("own", F.lit(0))).otherwise(0))
@@ -202,7 +203,8 @@ def near_duplicates(
     leaders = members.groupBy("bucket").agg(F.min(F.struct("own", "row_key", "weight")).alias("l"))
     leaders = leaders.select("bucket", F.col("l.row_key").alias("a"), F.col("l.own").alias("own_a"), F.col("l.weight").alias("weight_a"))
     b = members.select("bucket", F.col("row_key").alias("b"), F.col("own").alias("own_b"), F.col("weight").alias("weight_b"))
-    star = b.join(leaders, "bucket").where("a <> b").where(possible(similarity))
+    leaders = materialise(leaders, "leaders")
+    star = b.join(leaders.hint("merge"), "bucket").where("a <> b").where(possible(similarity))
     star = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = materialise(verified(star, rows, similarity), "links")
     parts = materialise(components(links), "components")
@@ -210,7 +212,8 @@ def near_duplicates(
     placed = members.join(parts.withColumnRenamed("node", "row_key"), "row_key", "left").withColumn("component", F.coalesce("component", "row_key"))
     placed = materialise(placed, "placed")
     lead = placed.select("bucket", F.col("row_key").alias("a"), F.col("component").alias("main")).join(leaders.select("bucket", "a"), ["bucket", "a"])
-    outside = placed.join(lead.select("bucket", "main"), "bucket").where("component <> main")
+    lead = materialise(lead.select("bucket", "main"), "leads")
+    outside = placed.join(lead.hint("merge"), "bucket").where("component <> main")
     left = outside.select("bucket", "main", F.col("row_key").alias("a"), F.col("component").alias("comp_a"), F.col("own").alias("own_a"), F.col("weight").alias("weight_a"))
     right = placed.select("bucket", F.col("row_key").alias("b"), F.col("component").alias("comp_b"), F.col("own").alias("own_b"), F.col("weight").alias("weight_b"))
     more = left.hint("merge").join(right, "bucket").where("comp_a <> comp_b AND (comp_b = main OR a < b)").where(possible(similarity))

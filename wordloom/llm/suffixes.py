@@ -288,7 +288,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     rows = keyed(docs, id_col, {"text": text_col})
     found = materialise(segments(rows, window, gram), "segments")
     shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    marks = found.hint("merge").join(shared, "anchor")
+    # Written tables on both sides of a join let Spark split the partition of a frequent anchor.
+    marks = found.hint("merge").join(materialise(shared, "shared-anchors"), "anchor")
     marks = marks.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "pos", "start", "n")).alias("marks"))
     around = surroundings(join_small(rows, materialise(marks, "marks"), "row_key", 24, "inner", "marks"), window)
     around = materialise(around, "surroundings")
@@ -300,7 +301,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     copies = copies.select("row_key", "start", (F.col("start") + F.col("n") + window).alias("end"))
 
     mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.min("members").alias("fewest")).where("classes > 1 AND fewest = 1")
-    reps = classes.hint("merge").join(mixed, "anchor")
+    reps = classes.hint("merge").join(materialise(mixed, "mixed-anchors"), "anchor")
     reps = reps.select(
         F.col("rep.row_key").alias("row_key"),
         F.struct("anchor", "back", "n", F.col("rep.start").alias("start"), (F.col("members") == 1).alias("single"), (F.col("classes") > crowd).alias("crowded")).alias("mark"),
@@ -310,7 +311,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     by_sort = sorted_spans(held.where("content IS NOT NULL"), window)
     one_by_one = held.where("digest IS NOT NULL")
     twice = one_by_one.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest")
-    by_digest = one_by_one.hint("merge").join(twice, "digest").select("row_key", "start", (F.col("start") + window).alias("end"))
+    by_digest = one_by_one.hint("merge").join(materialise(twice, "repeated-strings"), "digest").select("row_key", "start", (F.col("start") + window).alias("end"))
 
     spans = copies.unionByName(by_sort).unionByName(by_digest)
     spans = spans.groupBy("row_key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
