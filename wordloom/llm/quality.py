@@ -29,6 +29,8 @@ SYMBOLS = b"#*$%&|<>"
 FLOORS = {"word_length": 0.25, "symbols": 0.15, "dup_lines": 0.15, "repeats": 0.15}
 #: Rows nearest to the centre that make an estimate, and concentration steps.
 SHARE, STEPS = 0.75, 3
+#: The nearest three quarters of a normal sample in four dimensions have 0.673 of its variance.
+CONSISTENCY = 1 / 0.673
 #: Squared distance: the chi-square quantile with four degrees of freedom for a chance of one in 10^9.
 CUTOFF = 47.0
 MIN_GROUP = 50
@@ -156,8 +158,7 @@ def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
         measured = rows.join(now, keys).withColumn("d2", distance("centre", "inverse"))
         limit = measured.groupBy(*keys).agg(F.percentile_approx("d2", SHARE, 1000).alias("limit"))
         inner = measured.drop("n", "centre", "inverse").join(limit, keys).where("d2 <= limit")
-        # The nearest three quarters of a normal sample in four dimensions have 0.59 of its variance.
-        now = materialise(_invert(_moments(inner, keys), keys, 1 / 0.59), "estimate")
+        now = materialise(_invert(_moments(inner, keys), keys, CONSISTENCY), "estimate")
     return now
 
 
