@@ -11,10 +11,10 @@ from wordloom.constants import (
     UNKNOWN_CLASS,
     UNSUPPORTED_LANGUAGE,
 )
-from wordloom.operators import knn, vectorize
-from wordloom.operators.mllib import build_classifier
+from wordloom.operators import dataset, joins, knn, vectorize
+from wordloom.operators.mllib import build_classifier, fit_vectorizer
 from wordloom.operators.naive_bayes import nb_fit, nb_predict
-from wordloom.options import CleanOptions, ModelConfig
+from wordloom.options import TREE_BUCKETS, CleanOptions, ModelConfig
 from wordloom.plans import models, workflow
 
 TOPICS = {
@@ -168,7 +168,7 @@ def test_training(spark, topics, algorithm, vectorizer):
     "config",
     [
         ModelConfig("Gradient Boosting", "Count", rounds=2),
-        ModelConfig("Random Forest", n_estimators=10, max_depth=5, tree_buckets=16),
+        ModelConfig("Random Forest", n_estimators=10, max_depth=5, hash_buckets=16),
     ],
 )
 def test_forests(spark, topics, config):
@@ -176,9 +176,52 @@ def test_forests(spark, topics, config):
     assert report.where("label = 'accuracy'").first().f1 >= 0.75
 
 
-def test_vocabulary_is_refused_not_cut(spark, topics):
-    with pytest.raises(ValueError, match="Hashing"):
-        workflow.train_model(topics, "id", ModelConfig("SVM", max_terms=5))
+@pytest.mark.parametrize("algorithm, vectorizer", [("Decision Tree", "Count"), ("Random Forest", "TF-IDF"), ("SVM", "TF-IDF")])
+def test_features_do_not_depend_on_the_number_of_terms(spark, algorithm, vectorizer):
+    stages = []
+    for words in (5, TREE_BUCKETS - 10, TREE_BUCKETS + 500):
+        df = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(words)))], "id int, text string")
+        found = fit_vectorizer(df, "text", ModelConfig(algorithm, vectorizer))
+        stages.append([type(s).__name__ for s in found.stages])
+        size = found.transform(df).first()["features"].size
+        assert size == (TREE_BUCKETS if algorithm != "SVM" else words)
+    assert stages[0] == stages[1] == stages[2]
+
+
+@pytest.mark.parametrize(
+    "algorithm", ["SVM", "Random Forest", "Logistic Regression", "Naive Bayes", "Decision Tree", "KNN", "Gradient Boosting"]
+)
+def test_null_texts_in_training(spark, topics, algorithm):
+    with_null = topics.where("id % 4 = 0").unionByName(spark.createDataFrame([(1, None, 1), (2, None, 2)], topics.schema))
+    config = ModelConfig(algorithm, "Hashing", hash_buckets=64, n_estimators=2, rounds=1, max_depth=2)
+    model = workflow.fit_model(workflow.prepare_training(with_null, "id"), config)
+    assert model.predict(with_null, "id", "text").count() == with_null.count()
+
+
+def test_training_rows_are_bounded_by_a_hash(spark):
+    df = spark.range(20_000)
+    assert dataset.draw(df, "id", 30_000) is df
+    drawn = dataset.draw(df, "id", 5_000)
+    assert 4_700 < drawn.count() < 5_300 and drawn.exceptAll(dataset.draw(df, "id", 5_000)).isEmpty()
+
+
+def test_term_that_is_hot_only_in_the_scored_table(spark, topics, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_SHARE", 10)
+    model = workflow.fit_model(workflow.prepare_training(topics, "id"), ModelConfig("Naive Bayes", "Count"))
+    many = spark.range(300).select("id", F.lit("bank").alias("text"))
+    assert {r.prediction for r in model.predict(many, "id", "text").collect()} == {3}
+
+
+def test_train_and_save(spark, topics, tmp_path):
+    config = ModelConfig("Naive Bayes", "Count")
+    paths = [workflow.train_and_save(topics, "id", str(tmp_path), config)[0] for _ in range(2)]
+    assert len(set(paths)) == 2
+    model = models.load_model(spark, paths[0])
+    assert model.cleaning.lexicon.count() > 0 and model.cleaning.lang == "en"
+    one = spark.createDataFrame([(1, "the goals")], "id int, text string")
+    assert workflow.predict_class(one, "id", "text", model).first().predicted_class == "2"
+    assert models.accept_model(spark, paths[0], "yes") and not models.accept_model(spark, paths[1], "no")
 
 
 def test_penalty_and_depth():

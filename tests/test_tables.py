@@ -37,7 +37,8 @@ def test_load_training(spark, tmp_path, caplog):
     assert [r.id for r in tables.load_training(spark, "tr", rows).collect()] == [2]
     rows.drop("lang").write.parquet(f"{tmp_path}/en")
     assert tables.load_training(spark, "en", {"en": f"{tmp_path}/en"}).count() == 2
-    for language_code, source in [("de", {"de": f"{tmp_path}/en"}), ("en", f"{tmp_path}/missing"), ("en", {})]:
+    assert tables.load_training(spark, "tr", rows.replace("en", "fr", "lang"), supported=("fr", "tr")).count() == 1
+    for language_code, source in [("de", {"de": f"{tmp_path}/en"}), ("en", f"{tmp_path}/missing"), ("de", rows)]:
         empty = tables.load_training(spark, language_code, source)
         assert empty.isEmpty() and empty.columns == ["id", "text", "category"]
     assert caplog.text.count("could not load") == 3
@@ -69,7 +70,7 @@ class FakeSession:
 
 def test_scratch_follows_the_session(spark):
     assert scratch.scratch_folder(FakeSession("hdfs://shared/x/", "yarn")) == "hdfs://shared/x"
-    assert scratch.scratch_path(FakeSession("/shared", "local[4]"), "t").startswith("/shared/wordloom/t-")
+    assert scratch.scratch_path(FakeSession("/shared", "local[4]"), "t").startswith("/shared/wordloom/")
     assert scratch.scratch_folder(FakeSession(None, "local[4]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch_folder(FakeSession(None, "yarn"))
@@ -118,6 +119,17 @@ def test_detection_without_letters(spark, profiles):
     assert out == {1: (None, DETECTION_ERROR), 2: (None, DETECTION_ERROR), 3: (None, DETECTION_ERROR), 4: ("en", "ok")}
 
 
+def test_detection_of_rows_with_odd_ids(spark, sentences, profiles):
+    odd = sentences.withColumn("id", F.when(F.col("id") != "en0", F.lit("same")))
+    out = language.detect_language(odd, "id", "text", profiles)
+    assert out.count() == 12 and out.where("lang IS NULL").count() == 0
+    with pytest.raises(ValueError, match="top"):
+        language.detect_language(sentences, "id", "text", profiles, top=5)
+    english = odd.where("lang = 'en'")
+    lower = process_table(english.withColumn("text", F.upper("text")), "id", ["text"], LOWER, profiles)
+    assert lower.exceptAll(english).isEmpty() and lower.count() == english.count()
+
+
 def test_detection_without_profiles(spark, sentences, profiles):
     out = language.detect_language(sentences, "id", "text", profiles.limit(0)).collect()
     assert {(r.lang, r.status) for r in out} == {(None, DETECTION_ERROR)} and len(out) == 12

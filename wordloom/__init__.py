@@ -1 +1,8 @@
-"""wordloom: text cleaning, language detection and classification of tables on Spark."""
+"""Text cleaning, preparation and classification of tables, and operators for training data, on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with them, so executors need numpy and pyarrow but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

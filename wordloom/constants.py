@@ -18,6 +18,7 @@ UNKNOWN_CLASS = "Bilinmeyen Sınıf"
 ENTER_TEXT = "Lütfen metin girin."
 CHOOSE_OPERATION = "Lütfen en az bir işlem türü veya sınıflandırma seçin."
 DETECTION_FAILED = "Dil tespiti sırasında bir hata oluştu."
+CLEANING_FAILED = "Metin temizleme sırasında bir hata oluştu."
 LANGUAGE_NOT_SUPPORTED = 'Girdiğiniz metnin dili "%s", modeller tarafından desteklenmiyor.'
 
 # Class ids and names of the two built-in models.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.functions.stopwords import stopword_lists
-from wordloom.operators.language import detect_language
+from wordloom.operators.language import language_of
 from wordloom.operators.morphology import lemmatize, stem
 from wordloom.operators.validate import check_columns, text_cells
 from wordloom.options import CleanOptions
@@ -43,6 +43,8 @@ def clean_text(
     if options.stemming:
         out = stem(out, id, col, options.extended_stemmer)
     if options.lemmatization:
+        if lexicon is None:
+            raise ValueError("lemmatization needs a lexicon; corpus_lexicon makes one from a corpus")
         # Lemmas read the text several times; the steps before them run once.
         out = lemmatize(materialise(out, "cleaned-rows"), id, col, lexicon, exceptions)
     return out
@@ -56,20 +58,20 @@ def process_table(
     profiles: DataFrame,
     lists=None,
     lexicon: DataFrame | None = None,
+    exceptions: DataFrame | None = None,
 ) -> DataFrame:
     """Clean every chosen column in place, each cell by its own language; other columns stay as they are.
 
-    A cell whose language cannot be told keeps its text.
+    A cell whose language cannot be told keeps its text. Language and cleaning stay inside the row, so ids may be null or
+    repeated; only lemmatization joins by id and asks for good ones.
     """
     options.check()
     check_columns(df, cols)
     out = text_cells(df, cols)
     for name in cols:
-        languages = detect_language(out, id, name, profiles).select(F.col(id).alias("_lang_id"), F.col("lang").alias("_lang"))
-        known = out.join(languages, out[id] == languages["_lang_id"], "left").drop("_lang_id")
-        known = known.withColumn("_raw", F.col(f"`{name}`"))
-        cleaned = clean_text(known, id, name, options, F.col("_lang"), lists, lexicon)
-        out = cleaned.withColumn(name, F.when(F.col("_lang").isNull(), F.col("_raw")).otherwise(F.col(name))).select(
-            *df.columns
+        known = out.withColumn("_lang", language_of(F.col(f"`{name}`"), profiles)).withColumn("_raw", F.col(f"`{name}`"))
+        cleaned = clean_text(known, id, name, options, F.col("_lang"), lists, lexicon, exceptions)
+        out = cleaned.withColumn(name, F.when(F.col("_lang").isNull(), F.col("_raw")).otherwise(F.col(f"`{name}`"))).select(
+            *[F.col(f"`{c}`") for c in df.columns]
         )
     return out

@@ -101,6 +101,19 @@ def split(df: DataFrame, id: str, test_size: float = 0.2, seed: int = 42) -> Dat
     return df.withColumn("is_test", (h < cut["_h"]) | ((h == cut["_h"]) & (F.col(id) <= last)))
 
 
+def draw(df: DataFrame, id: str, n: int, seed: int = 42) -> DataFrame:
+    """About ``n`` rows, and no more than all of them: those whose hash falls below the share that ``n`` is of the table.
+
+    A comparison in the row, so nothing is sorted or gathered; the share is exact to a few square roots of ``n``.
+    """
+    check_columns(df, [id])
+    total = df.count()
+    if total <= n:
+        return df
+    place = F.conv(F.left(_hash(id, seed + 1), F.lit(12)), 16, 10).cast("double") / float(16**12)
+    return df.where(place < n / total)
+
+
 BALANCING = ("use_as_is", "remove_low_classes", "balance_distribution")
 
 

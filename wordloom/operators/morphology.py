@@ -1,11 +1,14 @@
 """Stemming and lemmatization of text columns."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.porter import stem_text
 from wordloom.functions.text import join_words, valid_words
-from wordloom.operators.joins import lookup
+from wordloom.operators.joins import check_ids, lookup
 from wordloom.operators.validate import check_columns
 from wordloom.sources.scratch import materialise
 
@@ -25,7 +28,7 @@ NOUN_RULES = [
 MIN_TEXTS = 3
 
 
-def stem(df: DataFrame, id: str, col: str, extended: bool = False) -> DataFrame:
+def stem(df: DataFrame, id: str, col: str, extended: bool = True) -> DataFrame:
     """Replace every text by the stems of its valid words, in order. Works inside the row."""
     check_columns(df, [id, col])
     return df.withColumn(col, stem_text(F.col(col), extended))
@@ -52,72 +55,59 @@ def _candidates(w: Column) -> Column:
     return F.array_compact(F.array(w, *forms))
 
 
-def lemma_table(
-    words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None
-) -> DataFrame:
-    """``(word, lemma, texts)`` for the words that change; ``words`` is ``(word, texts)``, one row per word.
+def lemma_table(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """``(word, lemma)`` for the words that change; ``words`` has one row per ``word``.
 
     The shortest candidate that the lexicon holds wins, the alphabetically first among equals. ``exceptions``
     is ``(word, lemma)`` and goes before the rules.
     """
     found = (
-        words.select("word", "texts", F.explode(_candidates(F.col("word"))).alias("lemma"))
+        words.select("word", F.explode(_candidates(F.col("word"))).alias("lemma"))
         .join(lexicon.select("lemma"), "lemma", "left_semi")
-        .groupBy("word", "texts")
+        .groupBy("word")
         .agg(F.min(F.struct(F.length("lemma").alias("size"), F.col("lemma"))).alias("best"))
-        .select("word", "texts", F.col("best.lemma").alias("lemma"))
+        .select("word", F.col("best.lemma").alias("lemma"))
     )
     if exceptions is not None:
         fixed = exceptions.groupBy("word").agg(F.min("lemma").alias("fixed"))
-        found = (
-            words.join(fixed, "word", "left")
-            .join(found.select("word", "lemma"), "word", "left")
-            .select("word", "texts", F.coalesce("fixed", "lemma").alias("lemma"))
-        )
+        found = words.join(fixed, "word", "left").join(found, "word", "left").select("word", F.coalesce("fixed", "lemma").alias("lemma"))
     return found.where("lemma IS NOT NULL AND lemma != word")
 
 
-def lemmatize(
-    df: DataFrame,
-    id: str,
-    col: str,
-    lexicon: DataFrame | None = None,
-    exceptions: DataFrame | None = None,
-) -> DataFrame:
+def _swapped(tokens: Column, words: Column, lemmas: Column) -> Column:
+    """The tokens joined by spaces, each by its lemma where it has one. A look-up in a dictionary per word: an expression
+    would search the whole list of a long text for every word."""
+
+    @F.pandas_udf("string")
+    def swap(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in parts:
+            out = []
+            for text, found, made in zip(*columns):
+                known = dict(zip(found, made)) if found is not None else {}
+                out.append(None if text is None else " ".join([known.get(w, w) for w in text]))
+            yield pd.Series(out, dtype=object)
+
+    return swap(tokens, words, lemmas)
+
+
+def lemmatize(df: DataFrame, id: str, col: str, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
     """Replace every text by the noun lemmas of its valid words, in order.
 
-    Without ``lexicon`` the words of this corpus serve as one. Only distinct words that a rule can change leave
-    their row; the lemma table is joined to those, and one small word-to-lemma map per text comes back. A text's
-    words never leave their order, and a word in very many texts is salted (see ``lookup``).
+    ``lexicon`` ``(lemma)`` says which forms are words; ``corpus_lexicon`` makes one. It is an input, so a text gets the same
+    lemmas whatever other texts stand beside it. Only distinct words that a rule can change leave their row; the lemma table
+    is joined to those, and the pairs of a text come back in one list. Ids must be unique and not null.
     """
     check_columns(df, [id, col])
-    changeable = F.filter(
-        F.array_distinct(valid_words(F.col(col))), lambda w: _may_change(w, exceptions is not None)
-    )
+    check_ids(df, id)
+    changeable = F.filter(F.array_distinct(valid_words(F.col(col))), lambda w: _may_change(w, exceptions is not None))
     pairs = df.select(F.col(id).alias("_id"), F.explode(changeable).alias("word"))
-    if lexicon is None:
-        # One pass gives both the lexicon and the words to look up.
-        counted = materialise(_word_texts(df, col), "words")
-        lexicon = counted.where(F.col("texts") >= MIN_TEXTS).select(F.col("word").alias("lemma"))
-        words = counted.where(_may_change(F.col("word"), exceptions is not None))
-    else:
-        words = pairs.groupBy("word").agg(F.count("*").alias("texts"))
-    table = materialise(lemma_table(words, lexicon, exceptions), "lemmas")
-    maps = (
-        lookup(pairs, table, "word", "_id", "texts")
+    table = materialise(lemma_table(pairs.select("word").distinct(), lexicon, exceptions), "lemmas")
+    found = (
+        lookup(pairs, table, "word", "_id")
         .groupBy("_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_lemmas"))
-    )
-
-    def lemma(w: Column) -> Column:
-        known = F.coalesce(F.try_element_at(F.col("_lemmas"), w), w)
-        return F.when(_may_change(w, exceptions is not None), known).otherwise(w)
-
-    mapped = F.when(F.col("_lemmas").isNull(), valid_words(F.col(col))).otherwise(
-        F.transform(valid_words(F.col(col)), lemma)
-    )
-    return (
-        df.join(maps, df[id] == maps["_id"], "left")
-        .withColumn(col, join_words(mapped))
-        .select(*df.columns)
+        .agg(F.collect_list(F.struct("word", "lemma")).alias("_lemmas"))
     )
+    joined = df.join(found, df[id] == found["_id"], "left")
+    changed = _swapped(valid_words(F.col(col)), F.col("_lemmas.word"), F.col("_lemmas.lemma"))
+    plain = join_words(valid_words(F.col(col)))
+    return joined.withColumn(col, F.when(F.col("_lemmas").isNull(), plain).otherwise(changed)).select(*df.columns)

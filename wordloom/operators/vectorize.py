@@ -47,7 +47,7 @@ def apply_vectorizer(
     ``vocabulary`` is the written table of ``fit_vocabulary``. With an ``idf`` column the result is TF-IDF of
     unit length per text, without one it is counts.
     """
-    counted = lookup(count_terms(df, id, col, keep), vocabulary, "term", id, "texts")
+    counted = lookup(count_terms(df, id, col, keep), vocabulary, "term", id)
     if "idf" not in vocabulary.columns:
         return counted.select(id, *keep, "term", "weight")
     return _unit_length(counted.select(id, *keep, "term", (F.col("weight") * F.col("idf")).alias("weight")), id)

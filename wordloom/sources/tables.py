@@ -72,15 +72,18 @@ def _read_jdbc(spark: SparkSession, source: Mapping[str, str]) -> DataFrame:
     return reader.load().select("id", "text", "category")
 
 
-def load_training(spark: SparkSession, language: str, source) -> DataFrame:
+def load_training(spark: SparkSession, language: str, source, supported=SUPPORTED) -> DataFrame:
     """Training rows ``(id, text, category)`` of one language.
 
     ``source`` is a DataFrame or parquet path with a ``lang`` column, or per language a table: a dictionary from
-    code to parquet path, or to JDBC options with ``dbtable``. A language that is not covered and a source that
-    cannot be read are logged and give an empty frame.
+    code to parquet path, or to JDBC options with ``dbtable``. A language outside ``supported`` and a source that
+    cannot be read are logged and give an empty frame, whatever the kind of source.
+
+    JDBC reads are sliced by the range of ``id``: rows without an id come with the first slice, and ids that leave large
+    gaps make uneven slices.
     """
     try:
-        if language not in SUPPORTED and isinstance(source, Mapping):
+        if language not in supported:
             raise ValueError(f"unsupported language code {language!r}")
         if isinstance(source, Mapping):
             source = source[language]
