@@ -144,7 +144,7 @@ def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The estimate of each group of a written table of vectors: keys, n, centre, inverse."""
     names = list(FLOORS)
     middle = rows.groupBy(*keys).agg(*[F.percentile_approx(a, 0.5).alias(f"m_{a}") for a in names])
-    near = rows.join(middle, keys)
+    near = rows.join(materialise(middle, "middles"), keys)
     spread = near.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.first(f"m_{a}").alias(f"m_{a}") for a in names],
@@ -157,7 +157,7 @@ def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     for step in range(STEPS):
         measured = rows.join(now, keys).withColumn("d2", distance("centre", "inverse"))
         limit = measured.groupBy(*keys).agg(F.percentile_approx("d2", SHARE, 1000).alias("limit"))
-        inner = measured.drop("n", "centre", "inverse").join(limit, keys).where("d2 <= limit")
+        inner = measured.drop("n", "centre", "inverse").join(materialise(limit, "limits"), keys).where("d2 <= limit")
         now = materialise(_invert(_moments(inner, keys), keys, CONSISTENCY), "estimate")
     return now
 
@@ -167,11 +167,12 @@ def judge(docs: DataFrame, text_col: str = "text", group_cols: tuple[str, ...] =
     keys = [f"g_{i}" for i in range(len(group_cols))]
     rows = keyed(docs, id_col, {"text": text_col, **dict(zip(keys, group_cols))})
     rows = rows.select("row_key", "id", "text", *[F.coalesce(F.col(k).cast("string"), F.lit("\0null")).alias(k) for k in keys])
-    counted = with_counts(rows).select("row_key", "id", *keys, "counts", *vector())
+    # One value in all rows, but a column like the others: the estimate over all rows is that of one group.
+    counted = with_counts(rows).select("row_key", "id", *keys, "counts", *vector(), F.lit(0).alias("whole"))
     counted = materialise(counted, "counts").withColumn("base_failed", base_failed())
-    good = counted.where("counts.n_words >= 50").select(*keys, *FLOORS).withColumn("all", F.lit(0))
+    good = counted.where("counts.n_words >= 50").select(*keys, "whole", *FLOORS)
     by_group = estimates(good, keys).where(f"n >= {MIN_GROUP} * {SHARE}")
-    whole = estimates(good, ["all"]).first()
+    whole = estimates(good, ["whole"]).first()
     out = counted.join(by_group.drop("n"), keys, "left")
     if whole:
         for name in ("centre", "inverse"):
