@@ -9,7 +9,8 @@ earliest dart of each coordinate. Two signatures agree in a coordinate with a ch
 ``BANDS`` bands of ``ROWS`` coordinates give buckets. Exact copies (equal word sequences) count once before that. In every
 bucket the members are compared with one leader, the member with the fewest shingles of its own; pairs are verified on the
 whole texts. Then, in buckets that still hold several components, the members outside the leader's component are compared
-with the others, unless the shingles that no other crowded document has rule the pair out. So no link is given up, and a
+with the others, unless bounds on what the two can have in common rule the pair out: shingles that no other crowded document
+has, and the rest summed up in cells. The bounds are exact, so no link is given up, and a
 group of copies makes few pairs.
 
 Defined results: a text without words (null, empty, blank) is alone in its class. A text of one to four words is one shingle.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import column, components, join_small, keyed, slices
+from wordloom.llm.common import column, components, join_rows, keyed, slices
 from wordloom.llm.hashing import Powers, in_text, mix, ngrams, words_of
 from wordloom.sources.scratch import materialise
 
@@ -35,6 +36,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Buckets with more members look at the members' own shingles before pairs are made.
 CROWD = 32
+#: Numbers that sum up a crowded text's shared shingles. Edits fall into different cells, so two copies with different edits
+#: are told apart without reading them.
+CELLS = 64
 
 
 def shingles(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,8 +127,9 @@ def sketch(rows: DataFrame, bands: int, depth: int) -> DataFrame:
     return rows.mapInArrow(run, f"row_key long, id {kind}, content binary, weight long, buckets array<long>")
 
 
-def own_weight(texts: DataFrame) -> DataFrame:
-    """row_key, own: total count of the shingles that no other of these texts has."""
+def shared_weights(texts: DataFrame) -> DataFrame:
+    """row_key, own (total count of the shingles that no other of these texts has), cells (the other shingles' counts, summed
+    by a hash of the shingle into ``CELLS`` numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -136,9 +141,16 @@ def own_weight(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[owner + at]), pa.array(grams.view(np.int64)), pa.array(weights.astype(np.int64))], names=["row_key", "gram", "n"])
                 at += len(some)
 
-    each = texts.select("row_key", "text").mapInArrow(run, "row_key long, gram long, n long")
+    each = materialise(texts.select("row_key", "text").mapInArrow(run, "row_key long, gram long, n long"), "crowded-shingles")
+    cell = F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell")
     single = each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"), F.min("row_key").alias("row_key"), F.sum("n").alias("n"))
-    return single.where("texts = 1").groupBy("row_key").agg(F.sum("n").alias("own"))
+    single = single.where("texts = 1").groupBy("row_key", cell).agg(F.sum("n").alias("own"))
+    total = each.groupBy("row_key", cell).agg(F.sum("n").alias("n"))
+    both = total.join(single, ["row_key", "cell"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    entries = F.map_from_entries(F.collect_list(F.struct("cell", (F.col("n") - F.col("own")).cast("int"))))
+    found = both.groupBy("row_key").agg(F.sum("own").alias("own"), entries.alias("m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)))
+    return found.select("row_key", "own", cells.alias("cells"))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -172,8 +184,11 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def possible(similarity: float) -> Column:
-    """Whether the weights leave room for the similarity: what is common is at most what neither text has for itself."""
+    """Whether the weights leave room for the similarity: two texts have no more in common than the smaller of what each
+    shares with any text, and no more than that in any cell."""
     common = F.least(F.col("weight_a") - F.col("own_a"), F.col("weight_b") - F.col("own_b"))
+    by_cell = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    common = F.least(common, F.coalesce(by_cell, common))
     return common >= similarity * (F.col("weight_a") + F.col("weight_b") - common)
 
 
@@ -196,13 +211,14 @@ def near_duplicates(
     shared = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = materialise(spread.join(shared.hint("merge"), "bucket"), "members")
     crowded = materialise(members.where(f"n > {CROWD}").select("row_key").distinct(), "crowded")
-    own = materialise(own_weight(join_small(rows, crowded, "row_key", 8, "left_semi")), "own")
-    members = members.join(own, "row_key", "left").withColumn("own", F.when(F.col("n") > CROWD, F.coalesce("own", F.lit(0))).otherwise(0))
-    members = members.where(F.col("weight") - F.col("own") >= similarity * F.col("weight"))
-    members = materialise(members, "members")
-    leaders = members.groupBy("bucket").agg(F.min(F.struct("own", "row_key", "weight")).alias("l"))
-    leaders = leaders.select("bucket", F.col("l.row_key").alias("a"), F.col("l.own").alias("own_a"), F.col("l.weight").alias("weight_a"))
-    b = members.select("bucket", F.col("row_key").alias("b"), F.col("own").alias("own_b"), F.col("weight").alias("weight_b"))
+    shares = materialise(shared_weights(join_rows(rows, crowded, "row_key", "left_semi")), "shares")
+    crowd = F.col("n") > CROWD
+    members = members.join(shares.hint("merge"), "row_key", "left")
+    members = members.withColumn("own", F.when(crowd, F.coalesce("own", F.lit(0))).otherwise(0)).withColumn("cells", F.when(crowd, F.col("cells")))
+    members = materialise(members.where(F.col("weight") - F.col("own") >= similarity * F.col("weight")), "members")
+    leaders = members.groupBy("bucket").agg(F.min(F.struct("own", "row_key", "weight", "cells")).alias("l"))
+    leaders = leaders.select("bucket", F.col("l.row_key").alias("a"), *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("own", "weight", "cells")])
+    b = members.select("bucket", F.col("row_key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("own", "weight", "cells")])
     leaders = materialise(leaders, "leaders")
     star = b.join(leaders.hint("merge"), "bucket").where("a <> b").where(possible(similarity))
     star = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -214,8 +230,9 @@ def near_duplicates(
     lead = placed.select("bucket", F.col("row_key").alias("a"), F.col("component").alias("main")).join(leaders.select("bucket", "a"), ["bucket", "a"])
     lead = materialise(lead.select("bucket", "main"), "leads")
     outside = placed.join(lead.hint("merge"), "bucket").where("component <> main")
-    left = outside.select("bucket", "main", F.col("row_key").alias("a"), F.col("component").alias("comp_a"), F.col("own").alias("own_a"), F.col("weight").alias("weight_a"))
-    right = placed.select("bucket", F.col("row_key").alias("b"), F.col("component").alias("comp_b"), F.col("own").alias("own_b"), F.col("weight").alias("weight_b"))
+    known = ("own", "weight", "cells")
+    left = outside.select("bucket", "main", F.col("row_key").alias("a"), F.col("component").alias("comp_a"), *[F.col(c).alias(f"{c}_a") for c in known])
+    right = placed.select("bucket", F.col("row_key").alias("b"), F.col("component").alias("comp_b"), *[F.col(c).alias(f"{c}_b") for c in known])
     more = left.hint("merge").join(right, "bucket").where("comp_a <> comp_b AND (comp_b = main OR a < b)").where(possible(similarity))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.hint("merge"), ["a", "b"], "left_anti")
     found = materialise(verified(materialise(more, "pairs"), rows, similarity), "links")
