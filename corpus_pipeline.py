@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import debruijn, langid, minhash, packing, quality
-from wordloom.llm.common import join_small, keyed
+from wordloom.llm.common import join_rows, keyed
 from wordloom.sources.scratch import materialise
 
 
@@ -35,7 +35,7 @@ def _keep(docs: DataFrame, judge: Callable[..., DataFrame]) -> DataFrame:
     """The documents that an operator keeps."""
     rows, key = _with_key(docs)
     kept = materialise(judge(rows, id_col=key).where("kept").select(F.col("row_key").alias(key)), "kept")
-    return join_small(rows, kept, key, 8, "left_semi").select(*docs.columns)
+    return join_rows(rows, kept, key, "left_semi").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows, key = _with_key(docs)
     spans = debruijn.repeated_spans(keyed(rows, key, {"text": "text"}))
     spans = spans.select(F.col("row_key").alias(key), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    cut = join_small(rows, spans, key, 24, "left", "__starts")
+    cut = join_rows(rows, spans, key, "left")
     kept = F.when(F.col("__starts").isNotNull(), debruijn.cut_words("text", "__starts", "__ends")["kept"]).otherwise(F.col("text"))
     cut = cut.withColumn("text", kept)
     if "n_chars" in docs.columns:

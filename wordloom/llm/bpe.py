@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import column, join_small, keyed
+from wordloom.llm.common import column, join_rows, keyed
 from wordloom.sources.scratch import materialise
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
@@ -189,7 +189,7 @@ def encode(
     out = short.unionByName(stitched.where("ids IS NOT NULL"))
     if odd.isEmpty():
         return out
-    return out.unionByName(encode_whole(join_small(rows.where(long_text), odd, "row_key", 8, "left_semi"), ranks, pattern))
+    return out.unionByName(encode_whole(join_rows(rows.where(long_text), odd, "row_key", "left_semi"), ranks, pattern))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What the operators of this folder share: row keys, checked broadcasts, components, batches of texts."""
+"""What the operators of this folder share: row keys, joins, components, slices of texts."""
 
 from __future__ import annotations
 
@@ -15,8 +15,6 @@ from wordloom.sources.scratch import materialise
 # Executors need numpy and pyarrow, but not this package: its functions travel with the tasks.
 cloudpickle.register_pickle_by_value(wordloom)
 
-#: A table is broadcast only when its rows are counted to take fewer bytes; beyond that it is joined by shuffle.
-BROADCAST_BYTES = 24 << 20
 #: Texts are worked on in slices of about so many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -36,13 +34,10 @@ def keyed(df: DataFrame, id_col: str, columns: dict[str, str]) -> DataFrame:
     return materialise(picked.select(F.monotonically_increasing_id().alias("row_key"), "*"), "numbered")
 
 
-def join_small(df: DataFrame, right: DataFrame, on: str, row_bytes: int, how: str = "left", list_col: str | None = None) -> DataFrame:
-    """Join with a written table: broadcast if its rows are counted to be small, else by shuffle."""
-    size = F.count(F.lit(1)) * row_bytes
-    if list_col:
-        size = size + F.coalesce(F.sum(F.size(list_col)), F.lit(0)) * 24
-    small = right.agg(size.alias("b")).first()["b"] <= BROADCAST_BYTES
-    return df.join(F.broadcast(right) if small else right.hint("merge"), on, how)
+def join_rows(df: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join texts with a written table of one row per text, by a sort-merge join at every size: the table grows with the
+    corpus, so it is never broadcast."""
+    return df.join(right.hint("merge"), on, how)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import column, join_small, keyed, slices
+from wordloom.llm.common import column, join_rows, keyed, slices
 from wordloom.llm.hashing import Powers, in_text, minimizers, mix, ngrams, word_hashes, words_of
 from wordloom.sources.scratch import materialise
 
@@ -149,7 +149,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """row_key, starts, ends: the words covered by repeated windows, of the texts that have any (a written table)."""
     found = materialise(edges(rows), "edges")
     marks = materialise(compacted(found), "marks")
-    marked = join_small(rows, marks, "row_key", 24, "inner", "marks")
+    marked = join_rows(rows, marks, "row_key", "inner")
     read = materialise(windows(marked, WINDOW), "windows")
     again = read.where("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
     again = materialise(again, "repeated-windows")
@@ -182,5 +182,5 @@ def cut_words(text: str, starts: str, ends: str) -> Column:
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: row_key, id, n_words, n_removed, kept (text without the repeated passages)."""
     rows = keyed(docs, id_col, {"text": text_col})
-    cut = join_small(rows, repeated_spans(rows), "row_key", 24, "left", "starts")
+    cut = join_rows(rows, repeated_spans(rows), "row_key", "left")
     return cut.select("row_key", "id", cut_words("text", "starts", "ends").alias("cut")).select("row_key", "id", "cut.*")

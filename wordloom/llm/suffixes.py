@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import column, join_small, keyed
+from wordloom.llm.common import column, join_rows, keyed
 from wordloom.llm.hashing import BLOCK, Powers, in_text, minimizers, mix, runs
 from wordloom.sources.scratch import materialise
 
@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     # Written tables on both sides of a join let Spark split the partition of a frequent anchor.
     marks = found.hint("merge").join(materialise(shared, "shared-anchors"), "anchor")
     marks = marks.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "pos", "start", "n")).alias("marks"))
-    around = surroundings(join_small(rows, materialise(marks, "marks"), "row_key", 24, "inner", "marks"), window)
+    around = surroundings(join_rows(rows, materialise(marks, "marks"), "row_key", "inner"), window)
     around = materialise(around, "surroundings")
 
     key = ["anchor", "back", "n", "digest"]
@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         F.struct("anchor", "back", "n", F.col("rep.start").alias("start"), (F.col("members") == 1).alias("single"), (F.col("classes") > crowd).alias("crowded")).alias("mark"),
     )
     reps = materialise(reps.groupBy("row_key").agg(F.collect_list("mark").alias("marks")), "open")
-    held = materialise(contents(join_small(rows, reps, "row_key", 24, "inner", "marks"), window), "contents")
+    held = materialise(contents(join_rows(rows, reps, "row_key", "inner"), window), "contents")
     by_sort = sorted_spans(held.where("content IS NOT NULL"), window)
     one_by_one = held.where("digest IS NOT NULL")
     twice = one_by_one.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest")
@@ -315,4 +315,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     spans = copies.unionByName(by_sort).unionByName(by_digest)
     spans = spans.groupBy("row_key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    return without_spans(join_small(rows, materialise(spans, "spans"), "row_key", 24, "left", "starts"))
+    return without_spans(join_rows(rows, materialise(spans, "spans"), "row_key", "left"))
