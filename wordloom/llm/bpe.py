@@ -12,6 +12,7 @@ Defined results: a null or empty text has no ids and decodes to no bytes. Repeat
 
 from __future__ import annotations
 
+import gc
 import heapq
 from collections.abc import Iterator
 
@@ -27,7 +28,29 @@ from wordloom.sources.scratch import materialise
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: A pre-token that ends so many characters before a chunk's end would end there in the whole text too.
 CERTAIN = 4
-CACHE = 300_000
+#: Pre-tokens whose ids a task remembers; half of them at least stay when it makes room.
+CACHE = 400_000
+#: Pre-tokens of so many bytes are merged in a list; longer ones with a heap.
+SHORT = 32
+NEVER = 1 << 60
+
+
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    rank = ranks.get
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [rank(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == NEVER:
+            break
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], NEVER)
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
+    return [ranks[p] for p in parts]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -35,6 +58,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT:
+        return merge_short(piece, ranks)
     end = list(range(1, n + 1))  # of the part that starts here; 0 once it is merged away
     before = list(range(-1, n - 1))
     pairs = [(ranks[piece[i : i + 2]], i, i + 2) for i in range(n - 1) if piece[i : i + 2] in ranks]
@@ -65,18 +90,19 @@ def encoder(ranks: dict[bytes, int], pattern: str, cache_size: int = CACHE):
     """From a text to its ids, as bytes of 32-bit numbers."""
     split = regex.compile(pattern)
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def encode(text: str) -> bytes:
         parts = split.findall(text)
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > cache_size:
-                known.clear()
-            for p in set(parts):
-                if p not in known:
-                    known[p] = np.array(merge(p.encode(), ranks), np.int32).tobytes()
-            return b"".join([known[p] for p in parts])
+        if len(known) > cache_size // 2:
+            older.clear()
+            older.update(known)
+            known.clear()
+        for p in set(parts):
+            if p not in known:
+                found = older.get(p)
+                known[p] = np.array(merge(p.encode(), ranks), np.int32).tobytes() if found is None else found
+        return b"".join(map(known.__getitem__, parts))
 
     return encode
 
@@ -90,6 +116,8 @@ def with_ids(batch: pa.RecordBatch, keep: list[str], encoded: list[bytes]) -> pa
 def encode_whole(rows: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks, pattern)
+        gc.freeze()  # the pre-tokens in memory need not be searched for garbage
+        gc.disable()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
