@@ -65,6 +65,26 @@ def test_quality_keeps_clean_and_rejects_outliers(spark):
     assert sorted(r["kept"] for r in odd) == [False, True, True]
 
 
+def test_quality_rejects_one_odd_statistic(spark):
+    rng = random.Random(4)
+
+    def lines(n, word=lambda: f"w{rng.randrange(10**6)}"):
+        return [" ".join(word() for _ in range(8)) for _ in range(n)]
+
+    clean = ["\n".join(lines(rng.randrange(8, 60))) for _ in range(200)]
+    odd = {
+        "short words": " ".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200)),
+        "long words": "\n".join(lines(25, lambda: f"w{rng.randrange(10**6)}" * 3)),
+        "symbols": "\n".join(x + " # $ %" for x in lines(25)),
+        "repeated lines": "\n".join(f"{x}\nmore" for x in lines(25)),
+        "repeated words": "\n".join(lines(60) + ["one two three four"] + lines(1)) + " " + " ".join(lines(24)[0].split() * 24),
+    }
+    found = quality.judge(spark.createDataFrame(rows(clean + list(odd.values())), SCHEMA)).orderBy("id").collect()
+    assert all(r["kept"] for r in found[:200])
+    assert not any(r["base_failed"] for r in found)
+    assert [k for k, r in zip(odd, found[200:]) if r["kept"]] == []
+
+
 def test_estimates_ignore_a_quarter_of_outliers(spark):
     rng = np.random.default_rng(3)
     good = rng.normal([1.7, 0.1, 0.0, 0.2], 0.3, (3000, 4))

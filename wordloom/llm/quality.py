@@ -3,7 +3,8 @@
 Statistics of a text are transformed to a short vector. Every group (language, source) gets a minimum-covariance-determinant
 estimate over all its rows: from median and median deviation, concentration steps each take the mean and covariance of the
 three quarters of the rows nearest by Mahalanobis distance. All of it is grouped aggregation, so a group of any size is
-summed on every partition before it is shuffled. A row is rejected when its squared distance is beyond ``CUTOFF``.
+summed on every partition before it is shuffled. A row is judged by the group's covariance and the variance that its own
+counts have by chance (``noise``), and rejected when its squared distance is beyond ``CUTOFF``.
 
 Defined results: a null text has no words and fails the base rule. Null languages and sources are groups of their own. Groups
 with fewer than ``MIN_GROUP`` rows take the estimate over all rows. Repeated rows are judged alike. Rows with fewer than 50
@@ -25,8 +26,9 @@ from wordloom.sources.scratch import materialise
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
 SYMBOLS = b"#*$%&|<>"
-#: Components of the vector, and the least standard deviation each is taken to have (most texts have no symbol at all).
-FLOORS = {"word_length": 0.25, "symbols": 0.15, "dup_lines": 0.15, "repeats": 0.15}
+#: Components of the vector, and the least standard deviation each is taken to have, so that a covariance has an inverse
+#: where most texts have no symbol at all: below the spread of word lengths in a group, and of a share over 600 counted things.
+FLOORS = {"word_length": 0.02, "symbols": 0.02, "dup_lines": 0.02, "repeats": 0.02}
 #: Rows nearest to the centre that make an estimate, and concentration steps.
 SHARE, STEPS = 0.75, 3
 #: The nearest three quarters of a normal sample in four dimensions have 0.673 of its variance.
@@ -34,6 +36,8 @@ CONSISTENCY = 1 / 0.673
 #: Squared distance: the chi-square quantile with four degrees of freedom for a chance of one in 10^9.
 CUTOFF = 47.0
 MIN_GROUP = 50
+#: Variance of the log mean length over one word, words that one chance repeat marks, and variance of chance repeats per word.
+WORD_SPREAD, CLUMP, CHANCE = 0.25, 6, 5e-7
 
 
 def count_texts(texts: list[bytes], powers: Powers) -> np.ndarray:
@@ -101,6 +105,13 @@ def vector(c: str = "counts") -> list[Column]:
     ]
 
 
+def noise(c: str = "counts") -> list[Column]:
+    """Variances of the components of ``vector`` by chance: the root of a share of n has 1 / 4n, whatever the share."""
+    n = F.greatest(F.col(f"{c}.n_words"), F.lit(1)).cast("double")
+    lines = F.greatest(F.col(f"{c}.n_lines"), F.lit(1)).cast("double")
+    return [WORD_SPREAD / n, 0.25 / n, 0.25 / lines, 0.25 * CLUMP / n + CHANCE * n]
+
+
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and covariance of the vectors of each group."""
     names = list(FLOORS)
@@ -140,6 +151,19 @@ def distance(centre: str, inverse: str) -> Column:
     return total
 
 
+def noisy_distance(values: Column, variances: Column, centre: Column, inverse: Column) -> Column:
+    """As ``distance``, with the row's own variances added to the covariance."""
+    d = len(FLOORS)
+
+    @F.pandas_udf("double")
+    def measure(values: pd.Series, variances: pd.Series, centre: pd.Series, inverse: pd.Series) -> pd.Series:
+        v, own, c, inv = (np.array(x.tolist(), float).reshape(-1, *shape) for x, shape in ((values, (d,)), (variances, (d,)), (centre, (d,)), (inverse, (d, d))))
+        total = np.linalg.inv(inv) + own[:, :, None] * np.eye(d)
+        return pd.Series(((v - c) * np.linalg.solve(total, (v - c)[:, :, None])[:, :, 0]).sum(axis=1))
+
+    return measure(values, variances, centre, inverse)
+
+
 def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The estimate of each group of a written table of vectors: keys, n, centre, inverse."""
     names = list(FLOORS)
@@ -175,7 +199,8 @@ def judge(docs: DataFrame, text_col: str = "text", group_cols: tuple[str, ...] =
     whole = estimates(good, ["whole"]).first()
     out = counted.join(by_group.drop("n"), keys, "left")
     if whole:
-        for name in ("centre", "inverse"):
-            out = out.withColumn(name, F.coalesce(name, F.array(*[F.lit(x) for x in whole[name]])))
-    out = out.withColumn("d2", F.coalesce(distance("centre", "inverse"), F.lit(0.0)))
+        own = [F.coalesce(name, F.array(*[F.lit(x) for x in whole[name]])) for name in ("centre", "inverse")]
+        out = out.withColumn("d2", noisy_distance(F.array(*FLOORS), F.array(*noise()), *own))
+    else:
+        out = out.withColumn("d2", F.lit(0.0))
     return out.select("row_key", "id", "counts", "base_failed", "d2", (~F.col("base_failed") & (F.col("d2") <= CUTOFF)).alias("kept"))
