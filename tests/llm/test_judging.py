@@ -135,6 +135,30 @@ def test_main_text():
     assert html_cut.main_text("plain words that stand alone without any markup, and go on for long enough to be a text of its own kind." * 2)
 
 
+LONG = "a sentence of the article that goes on for long enough to be read as the text of the page by anyone"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8><article><p>{LONG}</p></article>", LONG),
+        (f"<head><title>T</title><style>p{{}}</style>{LONG} {LONG}", f"{LONG} {LONG}"),
+        (f"<head><title>T</title><noscript><img src=x>off</noscript><link rel=x></head><article>{LONG}</article>", LONG),
+        (f"<head><title>T</title><noscript>off<body><article>{LONG}</article>", LONG),
+        (f"<head><title>T</title><noscript>off<article>{LONG}</article>", LONG),
+        (f"<title>T</title><body><article><button>Menu <p>{LONG}</p> {LONG}</article>", f"{LONG}\n\n{LONG}"),
+        (f"<article><select><option>A<option>B<p>{LONG}</article>", LONG),
+        (f"<article><video src=x><p>{LONG}</p><video><p>No video.</p></video><p>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
+        (f"<article><noscript><p>{LONG}</p></article>", LONG),
+        (f"<article><p>{LONG} <button>Share<div>it</div></button><select><option>A</select></p></article>", LONG),
+        (f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p></article>", f"{LONG} x=1"),
+        (f"<article><template><p>{LONG}</p></template><p>{LONG}</p></article>", LONG),
+    ],
+)
+def test_main_text_without_end_tags(page, text):
+    assert html_cut.main_text(page) == text
+
+
 def test_extract_table(spark):
     pages = [(1, "u", PAGE, "old", "x"), (2, None, None, "old", "x"), (3, "u", "", "old", "x"), (1, "u", PAGE, None, "x"), (None, "u", "<p>" + "long text " * 20000, "", "x")]
     found = html_cut.extract(spark.createDataFrame(pages, "page_id long, url string, html string, text string, row_key string")).collect()

@@ -28,7 +28,11 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot "
     "th thead tr ul".split()
 )
-SILENT = frozenset("head title script style template noscript textarea select svg math iframe object canvas audio video button".split())
+SILENT = frozenset("title script style template textarea iframe annotation annotation-xml".split())
+#: Elements whose text is no text of the page if their end tag comes; without it, what follows from the next block on is.
+LABELS = frozenset("noscript select option optgroup svg object canvas audio video button".split())
+#: What may stand in a head; any other start tag, and text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template body".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends these open elements first.
 ENDS = {
@@ -36,7 +40,7 @@ ENDS = {
     "option": {"option"}, "body": {"head"},
 }
 #: Elements beyond which such an implied end does not reach.
-FENCES = frozenset("ul ol dl table tbody thead tfoot select article section div main aside nav body".split())
+FENCES = frozenset("ul ol dl table tbody thead tfoot select button object article section div main aside nav body".split())
 
 # What an element and the words in its class, id and role say for content (above 0) or boilerplate.
 TAGS = {"article": 4.0, "main": 3.0, "nav": -5.0, "footer": -5.0, "aside": -5.0, "form": -5.0, "dialog": -5.0, "menu": -5.0, "header": -4.0}
@@ -54,12 +58,13 @@ NEAR, SIBLING = 1.2, 0.4
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "score", "silent")
+    __slots__ = ("tag", "parent", "depth", "score", "silent", "hidden", "first")
 
-    def __init__(self, tag: str, parent: Element | None, attributes=()):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Element | None, attributes=(), first: int = 0):
+        self.tag, self.parent, self.first = tag, parent, first
         self.depth = parent.depth + 1 if parent else 0
-        self.silent = tag in SILENT or bool(parent and parent.silent)
+        self.hidden = tag in SILENT or bool(parent and parent.hidden)
+        self.silent = self.hidden or tag in LABELS or bool(parent and parent.silent)
         own = TAGS.get(tag, 0.0)
         # A header inside the article holds its title.
         if tag == "header" and parent and parent.score > 2:
@@ -92,6 +97,8 @@ class PageReader(HTMLParser):
         self.links = 0
 
     def handle_starttag(self, tag, attrs):
+        if self.here.tag == "head" and tag not in IN_HEAD:
+            self.leave(self.here)
         if tag == "br":
             if self.open:
                 self.open.parts.append(" ")
@@ -99,16 +106,31 @@ class PageReader(HTMLParser):
         if tag in BLOCKS:
             self.open = None
             self.close_for(tag)
+            if tag not in LABELS and tag != "hr":
+                self.break_labels()
         if tag in VOID:
             return
         self.links += tag == "a"
-        self.here = Element(tag, self.here, attrs)
+        self.here = Element(tag, self.here, attrs, len(self.blocks))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCKS and tag != "a":
             self.handle_endtag(tag)
 
+    def break_labels(self) -> None:
+        """Text counts from here on, until an end tag shows that it belongs to a label."""
+        at = self.here
+        while at and at.silent and not at.hidden:
+            at.silent = False
+            at = at.parent
+
+    def drop(self, element: Element) -> None:
+        """Forgets the blocks that began in an element."""
+        if len(self.blocks) > element.first:
+            del self.blocks[element.first :]
+            self.open = None
+
     def close_for(self, tag: str) -> None:
         wanted = ENDS.get(tag, frozenset()) | {"p"}
         found, at = None, self.here
@@ -118,16 +140,20 @@ class PageReader(HTMLParser):
             at = at.parent
         if found:
             self.leave(found)
+            if found.tag == "head":
+                self.drop(found)
 
     def handle_endtag(self, tag):
         at = self.here
         while at.parent and at.tag != tag:
             # An inline end tag does not close blocks.
-            if at.tag in BLOCKS and tag not in BLOCKS and tag not in SILENT:
+            if at.tag in BLOCKS and tag not in BLOCKS and tag not in SILENT and tag not in LABELS and tag != "head":
                 return
             at = at.parent
         if at.parent:
             self.leave(at)
+            if tag in LABELS or tag == "head":
+                self.drop(at)
 
     def leave(self, element: Element) -> None:
         while True:
@@ -140,6 +166,8 @@ class PageReader(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.here.tag == "head" and data.strip():
+            self.leave(self.here)
         if self.here.silent:
             return
         if self.open is None:
