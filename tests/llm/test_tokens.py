@@ -77,6 +77,14 @@ def check_packing(texts, found, sequence):
     return sum(map(len, ids)), len(sequences)
 
 
+def test_special_tokens_in_a_text_are_text():
+    text, plain = "a <|endoftext|> b", Tokenizer.from_str(word_tokenizer())
+    found = np.frombuffer(packing.Encoder(word_tokenizer()).encode([text])[0], "<u4").tolist()
+    library = plain.encode(text, add_special_tokens=False).ids
+    mark = plain.token_to_id("<|endoftext|>")
+    assert library == [found[0], mark, found[-1]] and mark not in found and len(found) == 8
+
+
 def test_packing_keeps_every_id_once(spark):
     rng = random.Random(8)
     texts = TEXTS + [prose(rng, rng.choice([3, 30, 50, 80, 120, 1500])) for _ in range(300)] + ["same text"] * 100 + [prose(rng, 9000)]
