@@ -1,13 +1,7 @@
-"""Stop word lists that ship with Spark, keyed by language code."""
+"""Stop word lists of Spark, kept as data of this package and keyed by language code."""
 
-import glob
-import os
-import zipfile
 from functools import cache
-
-import pyspark
-from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import SparkSession
+from importlib import resources
 
 # Language codes and the names of their lists.
 LIST_NAMES = {
@@ -31,13 +25,8 @@ STRICT_CODES = ("en", "tr")
 
 @cache
 def _bundled(name: str) -> tuple[str, ...]:
-    if SparkSession.getActiveSession() is not None:
-        return tuple(StopWordsRemover.loadDefaultStopWords(name))
-    # Without a session (the SQL texts are built on their own), read the same list out of the jar.
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as files:
-        text = files.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8")
-    return tuple(line.strip() for line in text.splitlines() if line.strip())
+    text = resources.files("wordloom.functions").joinpath("stopword_lists", f"{name}.txt").read_text(encoding="utf-8")
+    return tuple(text.splitlines())
 
 
 def stopword_lists(codes=None, strict: bool = False) -> dict[str, tuple[str, ...]]:

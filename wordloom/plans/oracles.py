@@ -1,5 +1,8 @@
 """The registered queries as SQL text for another engine, on the same tables."""
 
+import logging
+from collections.abc import Callable
+
 from wordloom.constants import (
     CLEANING_ERROR,
     DETECTION_ERROR,
@@ -19,6 +22,8 @@ from wordloom.functions.stopwords import stopword_lists
 from wordloom.operators.morphology import MIN_TEXTS, NOUN_RULES
 from wordloom.options import PRESET, CleanOptions
 
+log = logging.getLogger(__name__)
+
 
 def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -360,42 +365,43 @@ def _routed() -> str:
     )
 
 
-def oracles() -> dict[str, str]:
-    out = {}
-    out["csv_source"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
-    out["load_training_data"] = (
+def builders() -> dict[str, Callable[[], str]]:
+    """What makes the SQL text of each query."""
+    out: dict[str, Callable[[], str]] = {}
+    out["csv_source"] = lambda: "SELECT doc_id, text, lang, source, n_chars FROM documents"
+    out["load_training_data"] = lambda: (
         f"SELECT doc_id AS id, text, {_CATEGORY} AS category FROM documents WHERE lang = 'en'"
     )
-    out["csv_sink"] = f"SELECT doc_id, lower({_punctuation('text')}) AS text FROM documents"
+    out["csv_sink"] = lambda: f"SELECT doc_id, lower({_punctuation('text')}) AS text FROM documents"
 
-    out["select_columns"] = "SELECT doc_id, lang, source FROM documents"
-    options = CleanOptions(
+    out["select_columns"] = lambda: "SELECT doc_id, lang, source FROM documents"
+    in_place = CleanOptions(
         remove_punctuation=True, remove_special_chars=True, convert_to_lowercase=True, remove_stopwords=True
     )
-    out["process_table"] = (
+    out["process_table"] = lambda: (
         _with(_detected())
-        + f"""SELECT d.doc_id, CASE WHEN t.lang IS NULL THEN d.text ELSE {_clean('d.text', options, 't.lang')} END AS text,
+        + f"""SELECT d.doc_id, CASE WHEN t.lang IS NULL THEN d.text ELSE {_clean('d.text', in_place, 't.lang')} END AS text,
     d.lang, d.source, d.n_chars FROM documents d JOIN detected t USING (doc_id)"""
     )
     status = f"""SELECT doc_id, digits, CASE WHEN trim(digits) = '' THEN {quoted(ENTER_TEXT)} ELSE 'ok' END AS status
     FROM (SELECT doc_id, regexp_replace(text, '[^0-9]+', ' ', 'g') AS digits FROM documents)"""
-    out["validate_rows"] = status
-    out["row_errors"] = f"""SELECT doc_id, result, result AS status
+    out["validate_rows"] = lambda: status
+    out["row_errors"] = lambda: f"""SELECT doc_id, result, result AS status
     FROM (SELECT doc_id, CASE WHEN trim(digits) <> '' THEN NULL WHEN lang = 'en' THEN {quoted(CLEANING_ERROR)}
         WHEN lang = 'fr' THEN {quoted(DETECTION_ERROR)} WHEN lang = 'de' THEN {quoted(PREDICTION_ERROR)}
         ELSE {quoted(NO_PREDICTION)} END AS result
       FROM (SELECT doc_id, lang, regexp_replace(text, '[^0-9]+', ' ', 'g') AS digits FROM documents))
     WHERE result IS NOT NULL"""
-    out["null_cells"] = """SELECT doc_id, coalesce(quality::VARCHAR, 'nan') AS quality, coalesce(toxic::VARCHAR, 'nan') AS toxic
+    out["null_cells"] = lambda: """SELECT doc_id, coalesce(quality::VARCHAR, 'nan') AS quality, coalesce(toxic::VARCHAR, 'nan') AS toxic
     FROM documents LEFT JOIN labels USING (doc_id)"""
 
-    out["remove_punctuation"] = f"SELECT doc_id, {_punctuation('text')} AS text FROM documents"
-    out["remove_special_chars"] = f"SELECT doc_id, {_special('text')} AS text FROM documents"
-    out["convert_to_lowercase"] = "SELECT doc_id, lower(text) AS text FROM documents"
-    out["convert_to_uppercase"] = f"SELECT doc_id, {_upper('text')} AS text FROM documents"
-    out["remove_stopwords"] = f"SELECT doc_id, {_stopwords('text', 'lang')} AS text FROM documents"
-    out["valid_word_filter"] = f"SELECT doc_id, array_to_string({_valid_words('text')}, ' ') AS text FROM documents"
-    out["stemming"] = (
+    out["remove_punctuation"] = lambda: f"SELECT doc_id, {_punctuation('text')} AS text FROM documents"
+    out["remove_special_chars"] = lambda: f"SELECT doc_id, {_special('text')} AS text FROM documents"
+    out["convert_to_lowercase"] = lambda: "SELECT doc_id, lower(text) AS text FROM documents"
+    out["convert_to_uppercase"] = lambda: f"SELECT doc_id, {_upper('text')} AS text FROM documents"
+    out["remove_stopwords"] = lambda: f"SELECT doc_id, {_stopwords('text', 'lang')} AS text FROM documents"
+    out["valid_word_filter"] = lambda: f"SELECT doc_id, array_to_string({_valid_words('text')}, ' ') AS text FROM documents"
+    out["stemming"] = lambda: (
         _with(
             f"""
     tokens AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
@@ -406,40 +412,40 @@ def oracles() -> dict[str, str]:
       (SELECT doc_id, string_agg(stem, ' ' ORDER BY pos) AS text FROM tokens JOIN stems USING (w) GROUP BY doc_id) j
     USING (doc_id)"""
     ).replace("SELECT doc_id, coalesce(j.text, '')", "SELECT d.doc_id, coalesce(j.text, '')")
-    out["lemmatization"] = (
+    out["lemmatization"] = lambda: (
         _with(_lexicon("lm", "documents"), _lemmas("lm", "documents", "lm_lex")) + "SELECT doc_id, text FROM lm_out"
     )
-    out["clean_text"] = (
+    out["clean_text"] = lambda: (
         _with(_preset_rows("pre"), _lexicon("ct", "pre"), _lemmas("ct", "pre", "ct_lex"))
         + "SELECT doc_id, text FROM ct_out"
     )
 
-    out["detect_language"] = (
+    out["detect_language"] = lambda: (
         _with(_detected())
         + f"""SELECT doc_id, lang, CASE WHEN lang IS NULL THEN {quoted(DETECTION_ERROR)} ELSE 'ok' END AS status
     FROM detected"""
     )
-    out["language_profiles"] = _with(_profile()) + "SELECT lang, gram, n, rank FROM profile"
-    out["language_gate"] = f"""SELECT doc_id, lang,
+    out["language_profiles"] = lambda: _with(_profile()) + "SELECT lang, gram, n, rank FROM profile"
+    out["language_gate"] = lambda: f"""SELECT doc_id, lang,
     CASE WHEN lang IN ('en', 'fr') THEN 'ok' ELSE {quoted(UNSUPPORTED_LANGUAGE)} END AS gate FROM documents"""
 
-    out["class_distribution"] = (
+    out["class_distribution"] = lambda: (
         "SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type"
     )
-    out["remove_low_classes"] = """WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+    out["remove_low_classes"] = lambda: """WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
     SELECT event_id, event_type FROM events
     WHERE event_type IN (SELECT event_type FROM c WHERE n >= (SELECT avg(n) FROM c))"""
-    out["balance_distribution"] = """SELECT doc_id, text, lang, source, n_chars FROM
+    out["balance_distribution"] = lambda: """SELECT doc_id, text, lang, source, n_chars FROM
       (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents)
     WHERE place <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))"""
-    out["train_test_split"] = _with(_split("s", "documents")) + "SELECT doc_id, lang, is_test FROM s_split"
+    out["train_test_split"] = lambda: _with(_split("s", "documents")) + "SELECT doc_id, lang, is_test FROM s_split"
 
-    out["vectorize_count"] = _with(_terms("v", "documents")) + "SELECT doc_id, term, n AS weight FROM v_terms"
-    out["vectorize_tfidf"] = (
+    out["vectorize_count"] = lambda: _with(_terms("v", "documents")) + "SELECT doc_id, term, n AS weight FROM v_terms"
+    out["vectorize_tfidf"] = lambda: (
         _with(_terms("v", "documents"), _tfidf("v", "v_terms", "documents"))
         + "SELECT doc_id, term, round(n, 6) AS weight FROM v_weights"
     )
-    out["vectorize_hashing"] = (
+    out["vectorize_hashing"] = lambda: (
         _with(
             _terms("v", "documents"),
             """
@@ -448,7 +454,7 @@ def oracles() -> dict[str, str]:
         )
         + "SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM hashed"
     )
-    out["vectorizer_transform"] = (
+    out["vectorizer_transform"] = lambda: (
         _with(
             _terms("v", "documents"),
             "\n    talks AS (SELECT conv_id || '-' || turn AS doc_id, text FROM conversations)",
@@ -463,15 +469,15 @@ def oracles() -> dict[str, str]:
     )
 
     scored = "SELECT doc_id, label, prediction FROM t_test JOIN m_pred USING (doc_id)"
-    out["classify_naive_bayes"] = (
+    out["classify_naive_bayes"] = lambda: (
         _with(_training("t", "lang"), _nb("m", "t_train", "t_terms", "t_terms", "t_test", "t_terms")) + scored
     )
     out["model_store"] = out["classify_naive_bayes"]
-    fitted = _with(_split("t", "documents")) + """SELECT count(*) FILTER (is_test) AS test_rows,
+    fitted = lambda: _with(_split("t", "documents")) + """SELECT count(*) FILTER (is_test) AS test_rows,
     0::BIGINT AS unknown_predictions, true AS accurate FROM t_split"""
     for name in ("svm", "random_forest", "logistic", "decision_tree", "gradient_boosting"):
         out[f"classify_{name}"] = fitted
-    out["model_selection"] = (
+    out["model_selection"] = lambda: (
         _with(
             _training("t", "lang"),
             _tfidf("t", "t_terms", "t_out"),
@@ -492,7 +498,7 @@ def oracles() -> dict[str, str]:
         + """SELECT vectorizer, 'Naive Bayes' AS algorithm, round(accuracy, 6) AS accuracy,
       place = (SELECT place FROM results ORDER BY accuracy DESC, place LIMIT 1) AS best FROM results"""
     )
-    out["classify_knn"] = (
+    out["classify_knn"] = lambda: (
         _with(
             _training("t", "lang"),
             _tfidf("t", "t_terms", "t_out"),
@@ -516,8 +522,8 @@ def oracles() -> dict[str, str]:
     FROM votes GROUP BY test_id, own"""
     )
 
-    out["accuracy"] = "SELECT round(avg((quality = 1 - toxic)::INTEGER), 6) AS accuracy FROM labels"
-    out["classification_report"] = (
+    out["accuracy"] = lambda: "SELECT round(avg((quality = 1 - toxic)::INTEGER), 6) AS accuracy FROM labels"
+    out["classification_report"] = lambda: (
         _with(
             """
     pairs AS (SELECT lang AS y, CASE WHEN contains(text, ' the ') THEN 'en' WHEN contains(text, ' le ') THEN 'fr'
@@ -526,7 +532,7 @@ def oracles() -> dict[str, str]:
         )
         + _REPORT_SELECT
     )
-    out["train_model"] = (
+    out["train_model"] = lambda: (
         _with(
             _training("t", "lang"),
             _tfidf("t", "t_terms", "t_out"),
@@ -537,7 +543,7 @@ def oracles() -> dict[str, str]:
         + _REPORT_SELECT
     )
 
-    out["predict_class"] = (
+    out["predict_class"] = lambda: (
         _with(
             _raw_lexicon(),
             _preset_rows("pre"),
@@ -549,13 +555,13 @@ def oracles() -> dict[str, str]:
         )
         + f"SELECT doc_id, {_english_name('prediction')} AS predicted_class FROM m_pred"
     )
-    out["classify_table"] = (
+    out["classify_table"] = lambda: (
         _routed()
         + f"""SELECT d.doc_id, d.source, CASE WHEN t.lang IN ('en', 'fr') THEN r.predicted_class
       ELSE {quoted(UNSUPPORTED_LANGUAGE)} END AS text_class
     FROM documents d JOIN detected t USING (doc_id) LEFT JOIN routed r USING (doc_id)"""
     )
-    out["predict_table"] = (
+    out["predict_table"] = lambda: (
         _with(
             _detected(),
             _raw_lexicon(),
@@ -574,7 +580,7 @@ def oracles() -> dict[str, str]:
     )
     options = CleanOptions(remove_punctuation=True, convert_to_uppercase=True, remove_stopwords=True)
     message = quoted(LANGUAGE_NOT_SUPPORTED).replace("%s", "' || t.lang || '")
-    out["process_and_classify"] = (
+    out["process_and_classify"] = lambda: (
         _routed()
         + f"""SELECT doc_id,
       CASE WHEN error IS NULL THEN processed END AS processed_text,
@@ -586,3 +592,14 @@ def oracles() -> dict[str, str]:
       FROM documents d JOIN detected t USING (doc_id) LEFT JOIN routed r USING (doc_id))"""
     )
     return out
+
+
+def oracles() -> dict[str, str]:
+    """The SQL texts. One that cannot be built is logged and left out; the others do not go with it."""
+    out = {}
+    for name, build in builders().items():
+        try:
+            out[name] = build()
+        except Exception:
+            log.exception("no SQL for %s", name)
+    return out

@@ -6,28 +6,19 @@ the driver's Python process ends: results are read lazily, so nothing can go ear
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="wordloom-")
-
-
 def scratch_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset, a local master gets a temporary folder, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder()
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """``spark.checkpoint.dir`` of the session, or the folder its context was given for checkpoints."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
 
 
 @cache
