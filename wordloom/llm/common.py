@@ -79,5 +79,17 @@ def slices(texts: Iterable[str | None], limit: int = SLICE_BYTES) -> Iterator[li
         yield held
 
 
+def stretches(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """From where to where consecutive items go together, about ``limit`` at a time; a larger item ends its stretch."""
+    start = total = 0
+    for i, size in enumerate(sizes, 1):
+        total += size
+        if total >= limit:
+            yield start, i
+            start, total = i, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
