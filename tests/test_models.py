@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from wordloom.operators.mllib import build_classifier, fit_vectorizer
 from wordloom.operators.naive_bayes import nb_fit, nb_predict
 from wordloom.options import TREE_BUCKETS, CleanOptions, ModelConfig
 from wordloom.plans import models, workflow
+from wordloom.sources.scratch import materialise
 
 TOPICS = {
     1: "minister parliament war treaty border nation embassy",
@@ -117,13 +119,10 @@ def brute_knn(train, test, k):
     return out
 
 
-@pytest.mark.parametrize(
-    "block, dense, kind", [(1024, 20_000, "TF-IDF"), (16, 10, "Count"), (40, 1, "Count")]
-)
-def test_knn_equals_brute_force(spark, topics, monkeypatch, block, dense, kind):
-    monkeypatch.setattr(knn, "BLOCK", block)
-    monkeypatch.setattr(knn, "DENSE_PAIRS", dense)
-    monkeypatch.setattr(knn, "PAIRS_AT_ONCE", 50)
+@pytest.mark.parametrize("shard, finish, kind", [(32_000_000, 4, "TF-IDF"), (900, 0, "Count"), (2_000, 0, "TF-IDF")])
+def test_knn_equals_brute_force(spark, topics, monkeypatch, shard, finish, kind):
+    monkeypatch.setattr(knn, "SHARD_BYTES", shard)
+    monkeypatch.setattr(knn, "FINISH_COST", finish)
     # A third of all rows are copies of one text, and some texts are empty.
     copies = spark.range(1000, 1030).select("id", F.lit("goal goal market").alias("text"), (F.col("id") % 3 + 1).cast("int").alias("category"))
     empty = spark.createDataFrame([(2001, "", 3), (2002, "", 2), (2003, "", 2)], "id bigint, text string, category int")
@@ -144,6 +143,66 @@ def test_knn_equals_brute_force(spark, topics, monkeypatch, block, dense, kind):
     assert {r.id: r.prediction for r in out.collect()} == expected
 
 
+@pytest.mark.parametrize("signed", [False, True])
+def test_bounds_skip_lists_and_lose_nothing(signed):
+    rng = np.random.default_rng(3)
+    names = [f"t{i}" for i in range(400)]
+
+    def vector():
+        # A few rare terms and many common ones, as in texts.
+        at = sorted(set(rng.integers(0, 400, 4)) | set(rng.integers(0, 30, 25)))
+        w = np.where(np.array(at) < 30, 0.1, 3.0) * rng.random(len(at)) * (rng.choice([-1, 1], len(at)) if signed else 1)
+        return [names[i] for i in at], w
+
+    train, owners = [vector() for _ in range(3000)], [[(i, i % 3)] for i in range(3000)]
+    index = knn.Index([t for t, _ in train], [w.tolist() for _, w in train], owners)
+    dense = np.zeros((3000, 400))
+    for i, (terms, w) in enumerate(train):
+        dense[i, [int(t[1:]) for t in terms]] = w
+    everything = 0
+    for terms, w in [vector() for _ in range(40)] + [([], np.zeros(0)), (["unknown"], np.ones(1))]:
+        query = np.zeros(400)
+        known = [int(t[1:]) for t in terms if t in index.column]
+        query[known] = w[: len(known)]
+        d2 = np.round(((dense - query) ** 2).sum(axis=1) + (1 if terms == ["unknown"] else 0), 9)
+        wanted = np.lexsort((np.arange(3000), d2))[:5]
+        found = index.nearest(terms, w, 5)
+        assert found[0] == pytest.approx(d2[wanted], abs=2e-9) and set(found[2]) == set(i % 3 for i in found[1])
+        assert sorted(found[1]) == sorted(wanted.tolist())
+        everything += sum(index.start[index.column[t] + 1] - index.start[index.column[t]] for t in terms if t in index.column)
+    assert signed or index.seen < everything / 4
+
+
+def test_knn_reads_the_texts_to_score_once_and_shuffles_none(spark, topics):
+    vocabulary = vectorize.fit_vocabulary(topics, "id", "text")
+    terms = vectorize.vectorize(topics, "id", "text", "TF-IDF", vocabulary, 0)
+    labels = topics.select("id", F.col("category").alias("label"))
+    vectors = materialise(knn.packed_vectors(topics.select("id"), terms), "vectors")
+    plan = knn.knn_score(vectors, knn.knn_fit(terms, labels, 3), 3, labels.schema["label"].dataType)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Exchange" not in text
+    assert knn.knn_predict(terms.limit(0), labels.limit(0), terms).where("prediction IS NULL").count() == 60
+
+
+@pytest.mark.parametrize("classes", [3, 300])
+def test_naive_bayes_shuffles_no_row_per_class(spark, classes):
+    df = spark.createDataFrame([(i, f"w{i % classes} w{i % 7} common", i % classes) for i in range(2 * classes)], "id int, text string, label int")
+    terms = materialise(vectorize.count_terms(df, "id", "text"), "terms")
+    model = nb_fit(terms, df.select("id", "label"))
+    assert {len(r.parts) for r in model.terms.collect()} == {classes} and model.classes.count() == classes
+    found = nb_predict(terms, model, df.select("id"))
+    rows = weights(terms)
+    wanted = brute_naive_bayes([(r.label, rows[r.id]) for r in df.collect()], [rows[i] for i in range(2 * classes)], {t for r in rows.values() for t in r})
+    assert {r.id: r.prediction for r in found.collect()} == dict(enumerate(wanted))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+
+
+def test_tfidf_sorts_no_facts(spark, topics):
+    plan = vectorize.tfidf(topics, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize(
     "algorithm, vectorizer",
     [

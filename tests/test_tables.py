@@ -1,3 +1,6 @@
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +8,7 @@ from wordloom.constants import DETECTION_ERROR, ENTER_TEXT, UNSUPPORTED_LANGUAGE
 from wordloom.operators import dataset, evaluate, language, validate
 from wordloom.operators.clean import process_table
 from wordloom.options import CleanOptions
-from wordloom.sources import scratch, sinks, tables
+from wordloom.sources import csv_records, scratch, sinks, tables
 
 LOWER = CleanOptions(convert_to_lowercase=True)
 
@@ -20,6 +23,60 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted((int(r.id), r.text) for r in back.collect()) == rows
 
 
+def one_task(spark, path, schema=None):
+    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
+ODD_CELLS = ["", "a", "two\nlines", 'a "quoted" word', '"', '""', ",", "x,y\n,", "\n", " pad ", "é\n東京", "l1\nl2\nl3\n\nl5", "5 7", "end\n"]
+
+
+@pytest.mark.parametrize("size", [7, 16, 40, 150, 10_000])
+def test_csv_of_one_file_is_read_by_many_tasks(spark, tmp_path, size):
+    rng = random.Random(size)
+    rows = [(str(i), *(rng.choice(ODD_CELLS) for _ in range(3))) for i in range(80)]
+    path = str(tmp_path / "one.csv")
+    with open(path, "w", encoding="utf-8", newline="") as file:
+        writer = csv.writer(file, lineterminator="\n")
+        writer.writerows([("id", "a", "b\nc", "d")] + rows)
+    conf = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    wanted = sorted(map(tuple, one_task(spark, path).collect()), key=repr)
+    assert len(wanted) == 80
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert csv_records._lines(spark, path).rdd.getNumPartitions() > 3
+        found = tables.read_table(spark, path)
+        assert found.columns == one_task(spark, path).columns
+        assert sorted(map(tuple, found.collect()), key=repr) == wanted
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_csv_with_quotes_in_plain_cells_and_returns(spark, tmp_path):
+    (tmp_path / "t.csv").mkdir()
+    body = ['id,text\r\n1,5" pipe\r\n2,"a ""b""\r\nc"\r\n\r\n3,\r\n4,""\r\n', "id,text\n5,x\n6,it's 6\" and 7\"\n7,\"open\nto the end"]
+    for i, text in enumerate(body):
+        (tmp_path / "t.csv" / f"part-{i}.csv").write_text(text, encoding="utf-8", newline="")
+    path = str(tmp_path / "t.csv")
+    found = {r.id: r.text for r in tables.read_table(spark, path, "id int, text string").collect()}
+    assert found == {r.id: r.text for r in one_task(spark, path, "id int, text string").collect()}
+    assert found[1] == '5" pipe' and found[3] is None and found[4] == "" and found[6] == "it's 6\" and 7\"" and len(found) == 7
+
+
+def test_csv_without_rows(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("id,text\n")
+    found = tables.read_table(spark, str(tmp_path / "e.csv"))
+    assert found.columns == ["id", "text"] and found.count() == 0
+
+
+@pytest.mark.parametrize("line, state, after", [('a"b,c', 0, 0), ('"a', 0, 1), ('"a""', 0, 1), ('"a""",b', 0, 0), ('x,"', 0, 1), ('b",c', 1, 0), ('b"",c', 1, 1), ('b","', 1, 1), ('"x"y"z,w', 0, 0)])
+def test_state_after_a_line(line, state, after):
+    assert csv_records.state_after(line, state) == after
+
+
 def test_only_csv_names_are_read(spark):
     with pytest.raises(ValueError, match="not a CSV"):
         tables.read_table(spark, "/nowhere/table.xlsx")
@@ -57,23 +114,26 @@ def test_training_source(spark):
 
 
 class FakeSession:
-    """A session with a given checkpoint folder and master."""
+    """A session whose settings name a checkpoint folder, or whose context was given one."""
 
-    def __init__(self, folder, master):
+    def __init__(self, folder, given=None):
         self.conf = {"spark.checkpoint.dir": folder} if folder else {}
         self.sparkContext = self
-        self.master = master
+        self.given = given
 
     def getConf(self):
         return self.conf
 
+    def getCheckpointDir(self):
+        return self.given
+
 
 def test_scratch_follows_the_session(spark):
-    assert scratch.scratch_folder(FakeSession("hdfs://shared/x/", "yarn")) == "hdfs://shared/x"
-    assert scratch.scratch_path(FakeSession("/shared", "local[4]"), "t").startswith("/shared/wordloom/")
-    assert scratch.scratch_folder(FakeSession(None, "local[4]"))
+    assert scratch.scratch_folder(FakeSession("hdfs://shared/x/")) == "hdfs://shared/x"
+    assert scratch.scratch_folder(FakeSession(None, "hdfs://given/y")) == "hdfs://given/y"
+    assert scratch.scratch_path(FakeSession("/shared"), "t").startswith("/shared/wordloom/")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch.scratch_folder(FakeSession(None, "yarn"))
+        scratch.scratch_folder(FakeSession(None))
     assert scratch.materialise(spark.range(3), "t").count() == 3
 
 

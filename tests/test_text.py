@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -10,9 +11,10 @@ from wordloom.constants import PUNCTUATION, SPECIAL_CHARS
 from wordloom.functions import text as T
 from wordloom.functions.arrays import histogram
 from wordloom.functions.porter import stem_text
-from wordloom.functions.stopwords import _bundled, stopword_lists
+from wordloom.functions.stopwords import stopword_lists
+from wordloom.operators import joins
 from wordloom.operators.clean import clean_column, clean_text
-from wordloom.operators.morphology import corpus_lexicon, lemmatize, stem
+from wordloom.operators.morphology import NOUN_RULES, corpus_lexicon, lemmatize, stem
 from wordloom.options import PRESET, CleanOptions
 
 
@@ -68,14 +70,6 @@ def test_strict_lists(spark):
     assert "fr" not in lists and "french" in lists and {"en", "tr"} <= set(lists)
 
 
-def test_list_from_jar_equals_list_from_session(spark, monkeypatch):
-    from pyspark.sql import SparkSession
-
-    loaded = _bundled("german")
-    monkeypatch.setattr(SparkSession, "getActiveSession", classmethod(lambda cls: None))
-    assert _bundled.__wrapped__("german") == loaded
-
-
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text(alphabet="aBé ß'!#\n x1_", max_size=30), min_size=4, max_size=12))
 def test_cleaning_equals_plain_python(spark, texts):
@@ -256,11 +250,46 @@ def test_row_ids(spark):
     check_ids(numbered, "row_id")
     with pytest.raises(ValueError, match="'a'|None"):
         check_ids(df, "text")
+
+
+def test_lemmas_of_rows_with_odd_ids(spark, monkeypatch):
     lexicon = spark.createDataFrame([("cat",)], "lemma string")
-    for ids in ([1, 1], [None, 2]):
-        cats = spark.createDataFrame([(i, "cats") for i in ids], "id int, text string")
-        with pytest.raises(ValueError, match="with_row_id"):
-            lemmatize(cats, "id", "text", lexicon)
+    for bound in (joins.BROADCAST_BYTES, -1):  # broadcast, or a join by a shuffle
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", bound)
+        for ids in ([1, 1], [None, 2]):
+            cats = spark.createDataFrame([(i, "cats dogs", i) for i in ids], "id int, text string, _row int")
+            assert [r.text for r in lemmatize(cats, "id", "text", lexicon).collect()] == ["cat dogs"] * 2
+
+
+def test_lemmas_equal_plain_python(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abms") for _ in range(rng.randrange(2, 5))) + rng.choice(["", "s", "es", "men", "ies", "ves", "xes"]) for _ in range(300)]
+    lexicon = set(rng.sample(words, 150)) | {w[:-1] for w in words if w.endswith("s")}
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(60)]
+
+    def lemma(w):
+        found = [w, *(w[: len(w) - len(end)] + new for end, new in NOUN_RULES if w.endswith(end))]
+        return min((c for c in found if c in lexicon), key=lambda c: (len(c), c), default=w)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    out = lemmatize(df, "id", "text", spark.createDataFrame([(w,) for w in sorted(lexicon)], "lemma string")).orderBy("id").collect()
+    assert [r.text for r in out] == [" ".join(lemma(w) for w in t.split()) for t in texts]
+
+
+def test_lemmas_need_no_python_and_grow_with_the_words(spark):
+    letters = "abcdefghijklmnopqrst"
+    words = ["w" + "".join(letters[i // 20**k % 20] for k in range(4)) for i in range(40_000)]
+    lexicon = spark.createDataFrame([(w,) for w in words], "lemma string")
+    seconds = []
+    for n in (20_000, 40_000):
+        text = " ".join(w + "s" for w in words[:n])
+        out = lemmatize(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text", lexicon)
+        assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.first().text == " ".join(words[:n])
+        start = time.perf_counter()
+        out.first()
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 4 * seconds[0] + 1
 
 
 def test_lemmas_do_not_depend_on_the_table(spark):

@@ -32,3 +32,17 @@ def histogram(items: Column) -> Column:
         )
 
     return bind(F.sort_array(items), runs)
+
+
+def fill_gaps(entries: Column, size: Column | int, default: Column) -> Column:
+    """``entries`` ``(at, value)``, ordered by ``at``, as an array of ``size`` values with ``default`` where there is none."""
+
+    def filled(e: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.coalesce(F.get(e, i)["at"], F.lit(-1)).cast("int")
+
+        stretches = F.transform(e, lambda x, i: F.concat(F.array_repeat(default, at(i) - at(i - 1) - 1), F.array(x["value"])))
+        end = F.array_repeat(default, (F.lit(size) if isinstance(size, int) else size).cast("int") - 1 - at(F.size(e) - 1))
+        return F.concat(F.flatten(stretches), end)
+
+    return bind(entries, filled)

@@ -9,7 +9,6 @@ from wordloom.operators.language import language_of
 from wordloom.operators.morphology import lemmatize, stem
 from wordloom.operators.validate import check_columns, text_cells
 from wordloom.options import CleanOptions
-from wordloom.sources.scratch import materialise
 
 
 def clean_column(c: Column, options: CleanOptions, lang: str | Column = "en", lists=None) -> Column:
@@ -45,8 +44,7 @@ def clean_text(
     if options.lemmatization:
         if lexicon is None:
             raise ValueError("lemmatization needs a lexicon; corpus_lexicon makes one from a corpus")
-        # Lemmas read the text several times; the steps before them run once.
-        out = lemmatize(materialise(out, "cleaned-rows"), id, col, lexicon, exceptions)
+        out = lemmatize(out, id, col, lexicon, exceptions)
     return out
 
 
@@ -62,8 +60,7 @@ def process_table(
 ) -> DataFrame:
     """Clean every chosen column in place, each cell by its own language; other columns stay as they are.
 
-    A cell whose language cannot be told keeps its text. Language and cleaning stay inside the row, so ids may be null or
-    repeated; only lemmatization joins by id and asks for good ones.
+    A cell whose language cannot be told keeps its text. Nothing is joined by ``id``, so ids may be null or repeated.
     """
     options.check()
     check_columns(df, cols)

@@ -1,14 +1,12 @@
 """Stemming and lemmatization of text columns."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.arrays import bind, fill_gaps
 from wordloom.functions.porter import stem_text
 from wordloom.functions.text import join_words, valid_words
-from wordloom.operators.joins import check_ids, lookup
+from wordloom.operators.joins import lookup, with_row_id
 from wordloom.operators.validate import check_columns
 from wordloom.sources.scratch import materialise
 
@@ -45,69 +43,85 @@ def corpus_lexicon(df: DataFrame, col: str, min_texts: int = MIN_TEXTS) -> DataF
     return _word_texts(df, col).where(F.col("texts") >= min_texts).select(F.col("word").alias("lemma"))
 
 
+def lemma_table(lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """``(word, lemma)`` for every word that changes.
+
+    Candidates of a word are itself and what the noun rules make of it, if the lexicon ``(lemma)`` holds them; the shortest wins,
+    the alphabetically first among equals. The rules are read backwards, from a lemma to the words it can stand for, so the table
+    depends on no text. ``exceptions`` is ``(word, lemma)`` and goes before the rules.
+    """
+    lemma = F.col("lemma")
+    forms = [F.when(lemma.endswith(new), F.concat(F.left(lemma, F.length(lemma) - len(new)), F.lit(end))) for end, new in NOUN_RULES]
+    found = (
+        lexicon.select(lemma, F.explode(F.array_compact(F.array(lemma, *forms))).alias("word"))
+        .groupBy("word")
+        .agg(F.min(F.struct(F.length("lemma").alias("size"), lemma))["lemma"].alias("lemma"))
+    )
+    if exceptions is not None:
+        fixed = exceptions.where("word IS NOT NULL AND lemma IS NOT NULL").groupBy("word").agg(F.min("lemma").alias("fixed"))
+        found = found.join(fixed, "word", "full").select("word", F.coalesce("fixed", "lemma").alias("lemma"))
+    return found.where("lemma != word")
+
+
 def _may_change(w: Column, with_exceptions: bool) -> Column:
     return F.lit(True) if with_exceptions else w.endswith("s") | w.endswith("men")
 
 
-def _candidates(w: Column) -> Column:
-    """The word itself and every form the noun rules give."""
-    forms = [F.when(w.endswith(end), F.concat(F.left(w, F.length(w) - len(end)), F.lit(new))) for end, new in NOUN_RULES]
-    return F.array_compact(F.array(w, *forms))
+def _replaced(words: Column, lemmas: Column) -> Column:
+    """The words, each by its lemma. ``lemmas`` is ``(at, value)``: places in the ordered list of distinct words, and lemmas.
 
+    Words are ordered, so that equal ones make runs; a run takes the lemma of its place, and the old order is restored. No list is
+    searched, so the time grows with the number of words alone, but for the sorting.
+    """
 
-def lemma_table(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
-    """``(word, lemma)`` for the words that change; ``words`` has one row per ``word``.
+    def by_run(ordered: Column) -> Column:
+        size = F.size(ordered)
+        starts = F.filter(
+            F.sequence(F.lit(0), size),
+            lambda i: (i < size) & ((i == 0) | (F.get(ordered, i)["word"] != F.get(ordered, i - 1)["word"])),
+        )
 
-    The shortest candidate that the lexicon holds wins, the alphabetically first among equals. ``exceptions``
-    is ``(word, lemma)`` and goes before the rules.
-    """
-    found = (
-        words.select("word", F.explode(_candidates(F.col("word"))).alias("lemma"))
-        .join(lexicon.select("lemma"), "lemma", "left_semi")
-        .groupBy("word")
-        .agg(F.min(F.struct(F.length("lemma").alias("size"), F.col("lemma"))).alias("best"))
-        .select("word", F.col("best.lemma").alias("lemma"))
-    )
-    if exceptions is not None:
-        fixed = exceptions.groupBy("word").agg(F.min("lemma").alias("fixed"))
-        found = words.join(fixed, "word", "left").join(found, "word", "left").select("word", F.coalesce("fixed", "lemma").alias("lemma"))
-    return found.where("lemma IS NOT NULL AND lemma != word")
+        def placed(s: Column) -> Column:
+            def run(known: Column) -> Column:
+                def members(start: Column, r: Column) -> Column:
+                    own = F.slice(ordered, start + 1, F.coalesce(F.get(s, r + 1), size) - start)
+                    return F.transform(own, lambda x: F.struct(x["place"].alias("place"), F.coalesce(F.get(known, r), x["word"]).alias("word")))
 
+                return F.flatten(F.transform(s, members))
 
-def _swapped(tokens: Column, words: Column, lemmas: Column) -> Column:
-    """The tokens joined by spaces, each by its lemma where it has one. A look-up in a dictionary per word: an expression
-    would search the whole list of a long text for every word."""
+            return bind(fill_gaps(lemmas, F.size(s), F.lit(None).cast("string")), run)
 
-    @F.pandas_udf("string")
-    def swap(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for columns in parts:
-            out = []
-            for text, found, made in zip(*columns):
-                known = dict(zip(found, made)) if found is not None else {}
-                out.append(None if text is None else " ".join([known.get(w, w) for w in text]))
-            yield pd.Series(out, dtype=object)
+        return F.transform(F.sort_array(bind(starts, placed)), lambda x: x["word"])
 
-    return swap(tokens, words, lemmas)
+    numbered = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place")))
+    return bind(F.sort_array(numbered), by_run)
+
+
+def lemmatize_numbered(
+    rows: DataFrame, row: str, col: str, lexicon: DataFrame, exceptions: DataFrame | None = None
+) -> DataFrame:
+    """``lemmatize`` for a written table whose column ``row`` tells its rows apart."""
+    words = valid_words(F.col(f"`{col}`"))
+    table = materialise(lemma_table(lexicon, exceptions), "lemmas")
+    distinct = F.posexplode(F.array_sort(F.array_distinct(words))).alias("at", "word")
+    pairs = rows.select(row, distinct).where(_may_change(F.col("word"), exceptions is not None))
+    found = lookup(pairs, table, "word", row).groupBy(row)
+    found = found.agg(F.sort_array(F.collect_list(F.struct("at", F.col("lemma").alias("value")))).alias("_lemmas"))
+    # The lists grow with the table: never a broadcast.
+    joined = rows.join(found.hint("merge"), row, "left")
+    changed = F.when(F.col("_lemmas").isNull(), words).otherwise(_replaced(words, F.col("_lemmas")))
+    return joined.withColumn(col, join_words(changed)).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def lemmatize(df: DataFrame, id: str, col: str, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
     """Replace every text by the noun lemmas of its valid words, in order.
 
     ``lexicon`` ``(lemma)`` says which forms are words; ``corpus_lexicon`` makes one. It is an input, so a text gets the same
-    lemmas whatever other texts stand beside it. Only distinct words that a rule can change leave their row; the lemma table
-    is joined to those, and the pairs of a text come back in one list. Ids must be unique and not null.
+    lemmas whatever other texts stand beside it. The rows are written once with a number each; their distinct words that a rule
+    can change meet the lemma table in a join and come back as one list per row. Ids may be null or repeated; null stays null.
     """
     check_columns(df, [id, col])
-    check_ids(df, id)
-    changeable = F.filter(F.array_distinct(valid_words(F.col(col))), lambda w: _may_change(w, exceptions is not None))
-    pairs = df.select(F.col(id).alias("_id"), F.explode(changeable).alias("word"))
-    table = materialise(lemma_table(pairs.select("word").distinct(), lexicon, exceptions), "lemmas")
-    found = (
-        lookup(pairs, table, "word", "_id")
-        .groupBy("_id")
-        .agg(F.collect_list(F.struct("word", "lemma")).alias("_lemmas"))
-    )
-    joined = df.join(found, df[id] == found["_id"], "left")
-    changed = _swapped(valid_words(F.col(col)), F.col("_lemmas.word"), F.col("_lemmas.lemma"))
-    plain = join_words(valid_words(F.col(col)))
-    return joined.withColumn(col, F.when(F.col("_lemmas").isNull(), plain).otherwise(changed)).select(*df.columns)
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    return lemmatize_numbered(with_row_id(df, row), row, col, lexicon, exceptions).drop(row)

@@ -1,12 +1,12 @@
 """Text to weighted terms, as rows ``(id, term, weight)``.
 
-Terms are counted inside the row, so counting and hashing need no shuffle. Only the norm of TF-IDF weights
-groups rows, by text, after the vocabulary is joined.
+Terms are counted inside the row, so counting and hashing need no shuffle. TF-IDF joins its vocabulary, and gathers the weighted
+terms of a text in one array, where they are divided by their norm.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.arrays import bind, histogram
@@ -34,9 +34,17 @@ def fit_vocabulary(df: DataFrame, id: str, col: str) -> DataFrame:
     return materialise(texts.withColumn("idf", idf), "vocabulary")
 
 
-def _unit_length(weighted: DataFrame, id: str) -> DataFrame:
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id)))
-    return weighted.withColumn("weight", F.col("weight") / norm)
+def _unit_length(vector: Column) -> Column:
+    """An array of ``(term, weight)``, divided by its norm."""
+    squares = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"])
+    return bind(F.sqrt(squares), lambda norm: F.transform(vector, lambda x: F.struct(x["term"].alias("term"), (x["weight"] / norm).alias("weight"))))
+
+
+def _hashed_vector(c: Column, buckets: int) -> Column:
+    """The hashed vector of a text, an array of ``(term, weight)``."""
+    counts = histogram(F.transform(tokens(c), lambda t: _bucket(_digest(t), buckets)))
+    whole = F.transform(counts, lambda x: F.struct(x["item"].alias("term"), x["n"].cast("double").alias("weight")))
+    return bind(whole, _unit_length)
 
 
 def apply_vectorizer(
@@ -45,12 +53,15 @@ def apply_vectorizer(
     """Weigh the terms of new texts by a fitted vocabulary; terms it does not hold are dropped.
 
     ``vocabulary`` is the written table of ``fit_vocabulary``. With an ``idf`` column the result is TF-IDF of
-    unit length per text, without one it is counts.
+    unit length per text, without one it is counts. The weighted terms of a text come together as one array, in which norm and
+    weights are one expression; a small vocabulary is broadcast, so that only those arrays are shuffled, and nothing is sorted.
     """
     counted = lookup(count_terms(df, id, col, keep), vocabulary, "term", id)
     if "idf" not in vocabulary.columns:
         return counted.select(id, *keep, "term", "weight")
-    return _unit_length(counted.select(id, *keep, "term", (F.col("weight") * F.col("idf")).alias("weight")), id)
+    weighted = counted.select(id, *keep, F.struct("term", (F.col("weight") * F.col("idf")).alias("weight")).alias("x"))
+    vectors = weighted.groupBy(id, *keep).agg(F.collect_list("x").alias("vector"))
+    return vectors.select(id, *keep, F.explode(_unit_length(F.col("vector"))).alias("v")).select(id, *keep, "v.term", "v.weight")
 
 
 def tfidf(df: DataFrame, id: str, col: str) -> DataFrame:
@@ -85,27 +96,22 @@ def hashed(
         sign = F.when(F.substring(_digest(item), 9, 1) < "8", 1).otherwise(-1)
         summed = (
             df.select(id, *keep, F.explode(histogram(tokens(F.col(col)))).alias("h"))
-            .select(id, *keep, _bucket(_digest(item), buckets).alias("bucket"), (F.col("h.n") * sign).alias("n"))
-            .groupBy(id, *keep, "bucket")
-            .agg(F.sum("n").alias("weight"))
+            .select(id, *keep, _bucket(_digest(item), buckets).alias("term"), (F.col("h.n") * sign).alias("n"))
+            .groupBy(id, *keep, "term")
+            .agg(F.sum("n").cast("double").alias("weight"))
             .where("weight != 0")
         )
-        return _unit_length(summed, id)
-    counts = histogram(F.transform(tokens(F.col(col)), lambda t: _bucket(_digest(t), buckets)))
-    return df.select(id, *keep, F.explode(bind(counts, _scaled)).alias("h")).select(
-        id, *keep, "h.bucket", "h.weight"
-    )
+        vectors = summed.groupBy(id, *keep).agg(F.collect_list(F.struct("term", "weight")).alias("vector"))
+        vector = _unit_length(F.col("vector"))
+    else:
+        vectors, vector = df, _hashed_vector(F.col(col), buckets)
+    found = vectors.select(id, *keep, F.explode(vector).alias("v"))
+    return found.select(id, *keep, F.col("v.term").alias("bucket"), "v.weight")
 
 
-def _scaled(counts: Column) -> Column:
-    """Counts of one text, divided by their norm inside the row."""
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, h: acc + h["n"].cast("double") * h["n"]))
-    return bind(
-        norm,
-        lambda length: F.transform(
-            counts, lambda h: F.struct(h["item"].alias("bucket"), (h["n"] / length).alias("weight"))
-        ),
-    )
+def fitting(vocabulary: DataFrame | None, kind: str) -> DataFrame | None:
+    """The columns of a vocabulary that a vectorizer weighs by."""
+    return vocabulary if vocabulary is None or kind == "TF-IDF" else vocabulary.drop("idf")
 
 
 def vectorize(
@@ -120,4 +126,4 @@ def vectorize(
     """``(id, *keep, term, weight)`` by one of the three vectorizers; hashing needs no vocabulary."""
     if kind == "Hashing":
         return hashed(df, id, col, buckets, keep=keep).withColumnRenamed("bucket", "term")
-    return apply_vectorizer(df, id, col, vocabulary if kind == "TF-IDF" else vocabulary.drop("idf"), keep)
+    return apply_vectorizer(df, id, col, fitting(vocabulary, kind), keep)

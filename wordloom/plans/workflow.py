@@ -25,7 +25,7 @@ from wordloom.operators.evaluate import accuracy, classification_report
 from wordloom.operators.joins import check_ids
 from wordloom.operators.language import language_of
 from wordloom.operators.mllib import fit_pipeline
-from wordloom.operators.morphology import corpus_lexicon
+from wordloom.operators.morphology import corpus_lexicon, lemmatize_numbered
 from wordloom.operators.naive_bayes import nb_fit
 from wordloom.operators.validate import check_columns, text_cells
 from wordloom.operators.vectorize import fit_vocabulary, vectorize
@@ -88,15 +88,16 @@ def prepare_training(
 def fit_model(data: Prepared, config: ModelConfig) -> TextModel:
     """Fit vectorizer and classifier. The vectorizer sees all rows, or the training rows only (``fit_scope``).
 
-    Naive Bayes learns from every row. The others learn from ``max_train_rows`` of them at most.
+    Naive Bayes learns from every row. The others learn from ``max_train_rows`` of them at most; the vocabulary of KNN is that of
+    all rows as well.
     """
     rows, id, text = data.rows, data.id, data.text
     train = rows.where(~F.col("is_test"))
     scope = rows if config.fit_scope == "all" else train
     if config.algorithm != "Naive Bayes":
         train = draw(train, id, config.max_train_rows, config.random_state)
-        scope = draw(scope, id, config.max_train_rows, config.random_state)
     if config.algorithm not in ("Naive Bayes", "KNN"):
+        scope = draw(scope, id, config.max_train_rows, config.random_state)
         pipeline = fit_pipeline(scope, train, text, "label", config)
         return PipelineTextModel(pipeline, text, rows.schema["label"].dataType.simpleString(), data.cleaning)
     hashing = config.vectorizer == "Hashing"
@@ -188,19 +189,30 @@ def class_name(prediction: Column, label_map: Mapping[int, str] | None) -> Colum
     return F.when(prediction.isNotNull(), named)
 
 
-def _cleaned(df: DataFrame, id: str, col: str, model: TextModel, lang: str | Column | None, lexicon, exceptions) -> DataFrame:
-    """The texts cleaned as the model's own were, but for what the caller names."""
+def _plainly_cleaned(c: Column, model: TextModel, lang: str | Column | None) -> Column:
+    """The part of the preset that is one expression, with the model's own language and stop words."""
     own = model.cleaning
-    return clean_text(
-        df,
-        id,
-        col,
-        PRESET,
-        own.lang if lang is None else lang,
-        own.lists,
-        own.lexicon if lexicon is None else lexicon,
-        own.exceptions if exceptions is None else exceptions,
-    )
+    return clean_column(c, PRESET, own.lang if lang is None else lang, own.lists)
+
+
+def _classified(rows: DataFrame, row: str, name: str, model: TextModel, label_map, lexicon=None, exceptions=None) -> DataFrame:
+    """``rows`` with a class added. They are written, ``row`` tells them apart, and ``_plain`` is the text but for its lemmas.
+
+    Lemmas and terms of a text leave the table by its number; the classes, a small column, come back by it.
+    """
+    own = model.cleaning
+    present = rows.where(F.col("_plain").isNotNull())
+    lexicon, exceptions = own.lexicon if lexicon is None else lexicon, own.exceptions if exceptions is None else exceptions
+    cleaned = lemmatize_numbered(present.select(row, "_plain"), row, "_plain", lexicon, exceptions)
+    found = model.predict(cleaned, row, "_plain", present.select(row)).select(row, F.col("prediction").alias("_prediction"))
+    named = F.coalesce(class_name(F.col("_prediction"), label_map), F.lit(PREDICTION_ERROR))
+    joined = rows.join(found.hint("merge"), row, "left")
+    return joined.withColumn(name, F.when(F.col("_plain").isNotNull(), named)).select(*[F.col(f"`{c}`") for c in rows.columns], name)
+
+
+def _written(df: DataFrame, plain: Column, partition_by: str | None = None) -> DataFrame:
+    """The table with the plainly cleaned text and a number for every row, written: the one copy that a scoring job makes."""
+    return materialise(df.withColumn("_plain", plain).withColumn("_row", F.monotonically_increasing_id()), "scored-rows", partition_by)
 
 
 def predict_class(
@@ -215,51 +227,44 @@ def predict_class(
 ) -> DataFrame:
     """``(id, predicted_class)``: clean with the preset, predict, name the class. Null text has no class.
 
-    Language, lexicon and exceptions are those the model was trained with, unless others are given.
+    Language, lexicon and exceptions are those the model was trained with, unless others are given. Ids may be null or repeated.
     """
     check_columns(df, [id, col])
-    check_ids(df, id)
-    cleaned = materialise(_cleaned(df, id, col, model, lang, lexicon, exceptions).select(id, col), "predict-rows")
-    return _name_classes(cleaned, id, col, model, label_map)
-
-
-def _name_classes(cleaned: DataFrame, id: str, col: str, model: TextModel, label_map) -> DataFrame:
-    present = cleaned.where(F.col(col).isNotNull())
-    named = model.predict(present, id, col).select(
-        id, F.coalesce(class_name(F.col("prediction"), label_map), F.lit(PREDICTION_ERROR)).alias("predicted_class")
-    )
-    missing = cleaned.where(F.col(col).isNull()).select(id, F.lit(None).cast("string").alias("predicted_class"))
-    return named.unionByName(missing)
-
-
-def _attach(df: DataFrame, id: str, col: str, results: DataFrame, name: str) -> DataFrame:
-    """The table with the classes of ``results``; a text that no model answered for is named so."""
-    found = results.select(F.col(id).alias("_id"), F.col("predicted_class").alias("_class"))
-    joined = df.join(found, df[id] == found["_id"], "left")
-    answer = F.when(F.col(f"`{col}`").isNotNull(), F.coalesce("_class", F.lit(NO_PREDICTION)))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], answer.alias(name))
+    told = df if lang is None or isinstance(lang, str) else df.withColumn("_lang", lang)
+    by = lang if told is df else F.col("_lang")
+    plain = _plainly_cleaned(F.col(f"`{col}`").cast("string"), model, by)
+    rows = _written(told.select(F.col(f"`{id}`"), plain.alias("_plain")), F.col("_plain"))
+    return _classified(rows, "_row", "predicted_class", model, label_map, lexicon, exceptions).select(id, "predicted_class")
 
 
 def _classify_by_language(
-    rows: DataFrame, id: str, col: str, models: Mapping[str, tuple[TextModel, Mapping[int, str] | None]], supported, lexicon
+    rows: DataFrame,
+    col: str,
+    name: str,
+    models: Mapping[str, tuple[TextModel, Mapping[int, str] | None]],
+    supported,
+    lexicon,
 ) -> DataFrame:
-    """``(id, predicted_class)`` for rows with a ``lang``: each language goes to its own model.
+    """``rows``, which have a ``_lang``, with a class added: each language goes to its own model.
 
-    The rows are written once, a folder per language, so that each model reads only those it scores.
+    The rows are written once with all their columns, a folder per language, so that each model reads only those it scores.
     """
-    routed = rows.withColumn("lang", F.when(F.col("lang").isin(*supported), F.col("lang")).otherwise(OTHER))
-    routed = materialise(routed, "routed-rows", partition_by="lang")
-    outside = F.when(F.col(col).isNotNull(), UNSUPPORTED_LANGUAGE)
-    out = routed.where(F.col("lang") == OTHER).select(id, outside.alias("predicted_class"))
+    text, plain = F.col(f"`{col}`"), F.lit(None).cast("string")
     for code in supported:
-        own = routed.where(F.col("lang") == code).select(id, col)
+        if code in models:
+            plain = F.when(F.col("_lang") == code, _plainly_cleaned(text, models[code][0], code)).otherwise(plain)
+    route = F.when(F.col("_lang").isin(*supported), F.col("_lang")).otherwise(OTHER)
+    routed = _written(rows.withColumn("_route", route), plain, "_route")
+    out = routed.where(F.col("_route") == OTHER).withColumn(name, F.when(text.isNotNull(), UNSUPPORTED_LANGUAGE))
+    for code in supported:
+        own = routed.where(F.col("_route") == code)
         if code in models:
             model, label_map = models[code]
-            part = _name_classes(_cleaned(own, id, col, model, code, lexicon, None), id, col, model, label_map)
+            part = _classified(own, "_row", name, model, label_map, lexicon)
         else:
-            part = own.select(id, F.lit(PREDICTION_ERROR).alias("predicted_class"))
+            part = own.withColumn(name, F.lit(PREDICTION_ERROR))
         out = out.unionByName(part)
-    return out
+    return out.drop("_route", "_row", "_plain")
 
 
 def classify_table(
@@ -274,15 +279,16 @@ def classify_table(
     """Append ``{col}_class`` for every chosen column.
 
     Each cell's language is detected; cells outside ``supported`` are named so, the others are cleaned and go to
-    the model of their language. ``models`` maps a code to a model and its label map. Ids must be unique and not null.
+    the model of their language. ``models`` maps a code to a model and its label map. The table is written once per chosen column
+    and nothing is joined back by ``id``.
     """
     check_columns(df, cols)
-    check_ids(df, id)
-    out, cells = df, text_cells(df, cols)
+    out = df
     for name in cols:
-        rows = cells.select(id, name, language_of(F.col(f"`{name}`"), profiles).alias("lang"))
-        classes = _classify_by_language(rows, id, name, models, supported, lexicon)
-        out = _attach(out, id, name, classes, f"{name}_class")
+        cell = F.col(f"`{name}`").cast("string")
+        rows = out.withColumn("_cell", cell).withColumn("_lang", language_of(F.col("_cell"), profiles))
+        classified = _classify_by_language(rows, "_cell", f"{name}_class", models, supported, lexicon)
+        out = classified.select(*[F.col(f"`{c}`") for c in out.columns], F.col(f"`{name}_class`"))
     return out
 
 
@@ -300,11 +306,15 @@ def predict_table(
     Each cell is cleaned by its detected language when ``profiles`` are given, else by ``lang`` or the model's own.
     """
     check_columns(df, cols)
-    out, cells = df, text_cells(df, cols)
+    out = df
     for name in cols:
-        by = lang if profiles is None else language_of(F.col(f"`{name}`"), profiles)
-        classes = predict_class(cells.select(id, name), id, name, model, None, by, lexicon)
-        out = _attach(out, id, name, classes, f"{name}_class")
+        rows, by = out.withColumn("_cell", F.col(f"`{name}`").cast("string")), lang
+        if profiles is not None:
+            # A column of its own: detected once per row, not once per word.
+            rows, by = rows.withColumn("_lang", language_of(F.col("_cell"), profiles)), F.col("_lang")
+        rows = _written(rows, _plainly_cleaned(F.col("_cell"), model, by))
+        classified = _classified(rows, "_row", f"{name}_class", model, None, lexicon)
+        out = classified.select(*[F.col(f"`{c}`") for c in out.columns], F.col(f"`{name}_class`"))
     return out
 
 
@@ -325,24 +335,21 @@ def process_and_classify(
     """
     options.check()
     check_columns(df, [id, col])
-    check_ids(df, id)
     cells = text_cells(df.select(id, col), [col])
-    rows = cells.withColumn("lang", language_of(F.col(col), profiles))
-    out = clean_text(rows.withColumn("_raw", F.col(col)), id, col, options, F.col("lang"), lexicon=lexicon)
-    error = F.when(is_blank(F.col("_raw")), ENTER_TEXT).when(F.col("lang").isNull(), DETECTION_FAILED)
-    error = error.when(F.col(col).isNull(), CLEANING_FAILED)
+    rows = cells.withColumn("_lang", language_of(F.col(f"`{col}`"), profiles)).withColumn("_raw", F.col(f"`{col}`"))
+    out = clean_text(rows, id, col, options, F.col("_lang"), lexicon=lexicon)
+    error = F.when(is_blank(F.col("_raw")), ENTER_TEXT).when(F.col("_lang").isNull(), DETECTION_FAILED)
+    error = error.when(F.col(f"`{col}`").isNull(), CLEANING_FAILED)
     result = F.lit(None).cast("string")
     if options.classify_text:
-        error = error.when(~F.col("lang").isin(*supported), F.format_string(LANGUAGE_NOT_SUPPORTED, "lang"))
-        classes = _classify_by_language(rows.where(F.col("lang").isin(*supported)), id, col, models, supported, lexicon)
-        classes = classes.select(F.col(id).alias("_id"), "predicted_class")
-        out = out.join(classes, out[id] == classes["_id"], "left")
-        result = F.coalesce("predicted_class", F.lit(NO_PREDICTION))
+        error = error.when(~F.col("_lang").isin(*supported), F.format_string(LANGUAGE_NOT_SUPPORTED, "_lang"))
+        out = _classify_by_language(out, "_raw", "_class", models, supported, lexicon)
+        result = F.coalesce("_class", F.lit(NO_PREDICTION))
     fine = F.col("error").isNull()
     return out.withColumn("error", error).select(
         id,
-        F.when(fine, F.col(col)).alias("processed_text"),
+        F.when(fine, F.col(f"`{col}`")).alias("processed_text"),
         F.when(fine, result).alias("classification_result"),
-        F.when(fine, F.col("lang")).alias("language_detected"),
+        F.when(fine, F.col("_lang")).alias("language_detected"),
         "error",
     )

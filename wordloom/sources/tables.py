@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.constants import SUPPORTED
+from wordloom.sources.csv_records import read_records
 
 log = logging.getLogger(__name__)
 
@@ -17,20 +18,16 @@ TRAINING_SCHEMA = "id bigint, text string, category int"
 def read_table(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
     """Read a CSV table with a header line; without ``schema`` every column is a string.
 
-    Quoted cells may span lines; then each file is read by one task, so a large table should come as many files.
-    ``multi_line=False`` lets Spark split large files whose cells hold no line breaks. A name that does not end
-    in ``.csv`` is refused before anything is read.
+    Quoted cells may span lines; a file is read by as many tasks as its size asks for all the same (``sources.csv_records``).
+    ``multi_line=False`` spares the search for quotes where no cell holds a line break. A name that does not end in ``.csv`` is
+    refused before anything is read.
     """
     if not path.endswith(".csv"):
         raise ValueError(f"not a CSV file: {path}")
-    reader = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-    )
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+    reader = spark.read.options(**options)
+    whole = (reader.schema(schema) if schema is not None else reader).csv(path)
+    return read_records(spark, path, whole.schema) if multi_line else whole
 
 
 def spread(df: DataFrame) -> DataFrame:
