@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -54,16 +55,20 @@ def test_pieces_are_the_librarys(spark):
 def test_both_agendas_agree_and_room_is_made():
     model = piece_model()
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
-    cost = sentencepieces.read_vocabulary(model).cost
-    encoder = sentencepieces.Encoder(model, cache_bytes=20_000)
+    vocabulary = sentencepieces.read_vocabulary(model)
+    agenda = sentencepieces.Agenda(vocabulary)
+    encoder = sentencepieces.Encoder(model, cache_bytes=200_000)
     rng = random.Random(2)
-    for n in (1, 2, 5, 31, 32, 33, 400):
-        word = "▁" + "".join(rng.choice("abcdeé▁") for _ in range(n))
-        assert sentencepieces.merge_short(word, cost) == sentencepieces.merge_long(word, cost)
+    words = ["▁" + "".join(rng.choice("abcdeéthein▁👩") for _ in range(n)) for n in (0, 1, 2, 5, 13, 22, 23, 24, 25, 400) for _ in range(30)]
+    for word, found in zip(words, agenda.merge(words)):
+        symbols = sentencepieces.merge_long(word, vocabulary.cost)
+        assert found == [i for s in symbols for i in ([vocabulary.ids[s]] if s in vocabulary.ids else agenda.in_bytes(s))]
+        assert [vocabulary.begin, *found, vocabulary.end] == library.encode(word.replace("▁", " ")[1:], add_bos=True, add_eos=True) or word == "▁"
     for _ in range(20):
-        text = prose(rng, 300)
-        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_bos=True, add_eos=True)
-        assert len(encoder.known) + len(encoder.known.older) < 700
+        texts = [prose(rng, 300), None, ""]
+        found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts))]
+        assert found == [library.encode(t or "", add_bos=True, add_eos=True) for t in texts]
+        assert encoder.used < 200_000
 
 
 def test_decoding_ids_that_no_text_gives():

@@ -2,11 +2,11 @@
 
 A text is normalised as the model says (a space before it, every space written as U+2581) and cut where a run of U+2581 follows
 another character. No piece of the vocabulary holds such a place, so no merge crosses it and the words between the cuts can be
-merged one by one. A word starts as its characters; all neighbouring pairs whose join is a piece go on an agenda, ordered by
-score, then from left to right. The best pair is merged and its new neighbours are put on the agenda; entries whose symbols have
-changed meanwhile are skipped. Characters outside the vocabulary become byte pieces. Every Arrow batch merges the words that it has
-not met before and holds them against the library, which has to give the same ids; decoding joins the pieces' bytes, and is held
-against the library's text for text.
+merged by themselves. A word starts as its characters; all neighbouring pairs whose join is a piece stand on its agenda, ordered by
+score, then from left to right. The best pair is merged, and the pairs with its new neighbours take their places on the agenda.
+Characters outside the vocabulary become byte pieces. Every Arrow batch merges the words that it has not met before, side by side,
+and holds them against the library, which has to give the same ids; decoding joins the pieces' bytes, and is held against the
+library's text for text.
 
 Models are read that merge pairs, fall back to bytes, do not rewrite characters and have no user-defined or unused pieces; others
 are refused when a job is built.
@@ -26,22 +26,19 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
 from wordloom.llm.common import column, keyed, stretches
+from wordloom.llm.merging import BITS, LONG, Memory, Merger, in_bytes, laid_out
 
 #: How the format writes a space.
 SPACE = "▁"
 #: Bytes of words and ids that a task remembers; half of them at least stay when it makes room.
 CACHE_BYTES = 64 << 20
-#: What a remembered word takes besides its own bytes.
-ENTRY_BYTES = 200
-#: Words of so many characters have a list for an agenda, longer ones a heap.
-SHORT = 32
-NEVER = float("inf")
-#: Texts are encoded about so many characters at a time.
-SLICE = 1 << 20
+#: Texts are encoded about so many bytes at a time.
+SLICE = 1 << 22
 
 # Fixed values of the model format: field numbers, kinds of pieces, and the number of the merge-type model.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -121,25 +118,6 @@ def read_vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(cost, ids, byte_ids, raw, trainer.get(BEGIN_ID, 1), trainer.get(END_ID, 2))
 
 
-def merge_short(word: str, cost: dict[str, float]) -> list[str]:
-    """The symbols of a short word; its agenda is the list of the neighbours' costs, of which the first of the least is next."""
-    get = cost.get
-    symbols = list(word)
-    agenda = [get(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
-    while agenda:
-        least = min(agenda)
-        if least == NEVER:
-            break
-        i = agenda.index(least)
-        joined = symbols[i] = symbols[i] + symbols.pop(i + 1)
-        del agenda[i]
-        if i < len(agenda):
-            agenda[i] = get(joined + symbols[i + 1], NEVER)
-        if i:
-            agenda[i - 1] = get(symbols[i - 1] + joined, NEVER)
-    return symbols
-
-
 def merge_long(word: str, cost: dict[str, float]) -> list[str]:
     """The symbols of a word of any length; its agenda is a heap, in which entries grow stale as symbols change."""
     n = len(word)
@@ -170,75 +148,89 @@ def merge_long(word: str, cost: dict[str, float]) -> list[str]:
     return out
 
 
-def merge(word: str, vocabulary: Vocabulary) -> list[int]:
-    """The ids of one normalised word."""
-    symbols = (merge_short if len(word) <= SHORT else merge_long)(word, vocabulary.cost)
-    try:
-        return list(map(vocabulary.ids.__getitem__, symbols))
-    except KeyError:  # only single characters can be missing
-        found = map(vocabulary.ids.get, symbols)
-        return [i for s, known in zip(symbols, found) for i in ([known] if known is not None else map(vocabulary.byte_ids.__getitem__, s.encode()))]
-
-
-class Words(dict):
-    """Ids, as bytes, by word without its first U+2581; a word asked for the first time is merged and noted in ``new``.
-
-    When ``room`` bytes are used, the older half is let go, but for words that are asked for again meanwhile.
-    """
+class Agenda:
+    """Merges many words at once; words of more than ``LONG`` characters one by one, with a heap."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.size = vocabulary, len(vocabulary.raw)
+        #: The symbol of each character: its id, or a number beyond all ids.
+        self.symbols = np.arange(0x110000, dtype=np.int64) + self.size
+        for text, i in vocabulary.ids.items():
+            if len(text) == 1:
+                self.symbols[ord(text)] = i
+
+        def symbol(text: str) -> int | None:
+            return int(self.symbols[ord(text)]) if len(text) == 1 else vocabulary.ids.get(text)
+
+        pairs, costs = {}, np.zeros(self.size)
+        for text, i in vocabulary.ids.items():
+            costs[i] = vocabulary.cost[text]
+            for at in range(1, len(text)):
+                left, right = symbol(text[:at]), symbol(text[at:])
+                if left is not None and right is not None:
+                    pairs[left << BITS | right] = i
+        # Equal scores stay equal, for then the place decides.
+        self.merger = Merger(pairs, np.unique(costs, return_inverse=True)[1])
+
+    def merge(self, words: list[str]) -> list[list[int]]:
+        """The ids of normalised words."""
+        size = np.array([len(w) for w in words], np.int64)
+        out = self.merger.merge(self.symbols[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)], size)
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = [self.vocabulary.ids.get(s, self.size + ord(s[0])) for s in merge_long(words[i], self.vocabulary.cost)]
+        for i, ids in enumerate(out):
+            if ids and max(ids) >= self.size:  # characters outside the vocabulary
+                out[i] = [x for s in ids for x in ([s] if s < self.size else self.in_bytes(chr(s - self.size)))]
+        return out
 
-    def __init__(self, vocabulary: Vocabulary, room: int):
-        super().__init__()
-        self.vocabulary, self.room, self.used = vocabulary, room // 2, 0
-        self.older: dict[str, bytes] = {}
-        self.new: list[tuple[str, list[int]]] = []
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            ids = merge(SPACE + word, self.vocabulary)
-            self.new.append((word, ids))
-            found = np.array(ids, "<u4").tobytes()
-        self[word] = found
-        self.used += ENTRY_BYTES + len(word) + len(found)
-        return found
-
-    def make_room(self) -> None:
-        if self.used > self.room:
-            self.older = dict(self)
-            self.clear()
-            self.used = 0
+    def in_bytes(self, character: str) -> list[int]:
+        return [self.vocabulary.byte_ids[b] for b in character.encode()]
 
 
 class Encoder:
     """From texts to their ids as little-endian unsigned 32-bit numbers, begin and end ids included.
 
-    The words that a call meets for the first time are checked by the library, all of them at once.
+    Words are written without their first U+2581. The different words of a call are looked up; those met for the first time are
+    merged together, and checked by the library, all of them at once. When ``cache_bytes`` are used, the older half of the words is
+    let go, but for those that are asked for again meanwhile.
     """
 
     def __init__(self, model: bytes, cache_bytes: int = CACHE_BYTES):
         self.vocabulary = read_vocabulary(model)
+        self.agenda = Agenda(self.vocabulary)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.known = Words(self.vocabulary, cache_bytes)
-        self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.vocabulary.begin, self.vocabulary.end))
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """Words without their first U+2581."""
-        if not text:
-            return []
-        if "  " not in text and SPACE not in text and text[0] != " ":
-            return text.split(" ")
-        return [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self.known.make_room()
-        ids_of = self.known.__getitem__
-        out = [b"".join([self.begin, *map(ids_of, self.words(t)), self.end]) for t in texts]
-        checked = [(w, ids) for w, ids in self.known.new if w]  # the library has no ids for an empty text
-        if self.library.encode([w for w, _ in checked], num_threads=1) != [ids for _, ids in checked]:
+        self.memory = Memory(self.learn, cache_bytes)
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        found = self.agenda.merge([SPACE + w for w in words])
+        checked = [i for i, w in enumerate(words) if w]  # the library has no ids for an empty text
+        if self.library.encode([words[i] for i in checked], num_threads=1) != [found[i] for i in checked]:
             raise RuntimeError("the agenda and the library differ")
-        self.known.new.clear()
-        return out
+        return in_bytes(found)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        sizes = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        odd = pc.or_(pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  ")), pc.match_substring(texts, SPACE))
+        if pc.any(pc.or_(odd, pc.equal(texts, ""))).as_py():
+            # Runs of spaces and U+2581 stay together: these texts are split one by one.
+            lists = [words_of(t) if o or not t else None for t, o in zip(texts.to_pylist(), odd.to_pylist())]
+            plain = split.to_pylist()
+            lists = [p if w is None else w for p, w in zip(plain, lists)]
+            sizes = np.array([len(w) for w in lists], np.int64)
+            words = pa.array([w for one in lists for w in one], pa.string())
+        else:
+            words = split.flatten()
+        encoded, ends = laid_out(words, self.memory.ids_of)
+        borders = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        begin, end = (np.array([i], "<u4").tobytes() for i in (self.vocabulary.begin, self.vocabulary.end))
+        return [begin + encoded[a:b].tobytes() + end for a, b in zip(borders, borders[1:])]
+
+
+def words_of(text: str) -> list[str]:
+    """The words of any text, without their first U+2581."""
+    return [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))] if text else []
 
 
 def one_mark_a_byte(error: UnicodeError) -> tuple[str, int]:
@@ -254,7 +246,8 @@ class Decoder:
         self.bytes = np.frombuffer(b"".join(vocabulary.raw), np.uint8)
         self.size = np.array([len(r) for r in vocabulary.raw], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.spaced = np.array([r[:1] == b" " and i in vocabulary.ids.values() for i, r in enumerate(vocabulary.raw)])
+        self.spaced = np.zeros(len(vocabulary.raw), bool)
+        self.spaced[[i for text, i in vocabulary.ids.items() if text[0] == SPACE]] = True
         codecs.register_error("one_mark_a_byte", one_mark_a_byte)
 
     def decode(self, encoded: bytes) -> str:
@@ -280,9 +273,10 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for batch in batches:
-            texts = [t or "" for t in column(batch, "text")]
-            for start, stop in stretches([len(t) for t in texts], SLICE):
-                ids = encoder.encode(texts[start:stop])
+            texts = batch.column(batch.schema.get_field_index("text"))
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for start, stop in stretches(sizes, SLICE):
+                ids = encoder.encode(texts.slice(start, stop - start))
                 keys = [batch.column(batch.schema.get_field_index(c)).slice(start, stop - start) for c in ("row_key", "id")]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(ids, pa.binary())], names=["row_key", "id", "ids"])
 
