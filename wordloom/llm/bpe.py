@@ -12,45 +12,29 @@ Defined results: a null or empty text has no ids and decodes to no bytes. Repeat
 
 from __future__ import annotations
 
-import gc
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import column, join_rows, keyed
+from wordloom.llm.common import column, join_rows, keyed, stretches
+from wordloom.llm.merging import BITS, LONG, Memory, Merger, in_bytes, laid_out
 from wordloom.sources.scratch import materialise
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
-#: A pre-token that ends so many characters before a chunk's end would end there in the whole text too.
+#: A pre-token that ends so many characters before a chunk's end would end there in the whole text too. True of patterns that look
+#: ahead by less than so many characters, as the public one does.
 CERTAIN = 4
-#: Pre-tokens whose ids a task remembers; half of them at least stay when it makes room.
-CACHE = 400_000
-#: Pre-tokens of so many bytes are merged in a list; longer ones with a heap.
-SHORT = 32
-NEVER = 1 << 60
-
-
-def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    rank = ranks.get
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [rank(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
-    while pairs:
-        least = min(pairs)
-        if least == NEVER:
-            break
-        i = pairs.index(least)
-        parts[i] += parts.pop(i + 1)
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = rank(parts[i] + parts[i + 1], NEVER)
-        if i:
-            pairs[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
-    return [ranks[p] for p in parts]
+#: Bytes of pre-tokens and ids that a task remembers.
+CACHE_BYTES = 64 << 20
+#: Texts are encoded about so many bytes at a time, and decoded so many ids.
+SLICE = 1 << 20
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -58,8 +42,6 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
-    if n <= SHORT:
-        return merge_short(piece, ranks)
     end = list(range(1, n + 1))  # of the part that starts here; 0 once it is merged away
     before = list(range(-1, n - 1))
     pairs = [(ranks[piece[i : i + 2]], i, i + 2) for i in range(n - 1) if piece[i : i + 2] in ranks]
@@ -86,25 +68,31 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def encoder(ranks: dict[bytes, int], pattern: str, cache_size: int = CACHE):
-    """From a text to its ids, as bytes of 32-bit numbers."""
-    split = regex.compile(pattern)
-    known: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
+class Encoder:
+    """From texts to their ids as 32-bit numbers. The different pre-tokens of a call are looked up, new ones merged together."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = CACHE_BYTES):
+        self.ranks, self.split = ranks, regex.compile(pattern)
+        self.symbol = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        halves = ((token[:at], token[at:], i) for token, i in ranks.items() for at in range(1, len(token)))
+        pairs = {ranks[a] << BITS | ranks[b]: i for a, b, i in halves if a in ranks and b in ranks}
+        self.merger = Merger(pairs, np.arange(max(ranks.values()) + 1))
+        self.memory = Memory(self.learn, cache_bytes)
 
-    def encode(text: str) -> bytes:
-        parts = split.findall(text)
-        if len(known) > cache_size // 2:
-            older.clear()
-            older.update(known)
-            known.clear()
-        for p in set(parts):
-            if p not in known:
-                found = older.get(p)
-                known[p] = np.array(merge(p.encode(), ranks), np.int32).tobytes() if found is None else found
-        return b"".join(map(known.__getitem__, parts))
+    def learn(self, parts: list[str]) -> list[bytes]:
+        raw = [p.encode() for p in parts]
+        size = np.array([len(r) if r not in self.ranks else 0 for r in raw], np.int64)
+        joined = b"".join([r for r, n in zip(raw, size) if n])
+        found = self.merger.merge(self.symbol[np.frombuffer(joined, np.uint8)], size)
+        for i in np.flatnonzero((size == 0) | (size > LONG)).tolist():
+            found[i] = merge(raw[i], self.ranks)
+        return in_bytes(found)
 
-    return encode
+    def encode(self, texts: list[str]) -> list[bytes]:
+        lists = [self.split.findall(t) for t in texts]
+        encoded, ends = laid_out(pa.array(chain.from_iterable(lists), pa.string()), self.memory.ids_of)
+        borders = np.concatenate([[0], ends])[np.cumsum([0, *map(len, lists)])].tolist()
+        return [encoded[a:b].tobytes() for a, b in zip(borders, borders[1:])]
 
 
 def with_ids(batch: pa.RecordBatch, keep: list[str], encoded: list[bytes]) -> pa.RecordBatch:
@@ -115,13 +103,12 @@ def with_ids(batch: pa.RecordBatch, keep: list[str], encoded: list[bytes]) -> pa
 
 def encode_whole(rows: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks, pattern)
-        gc.freeze()  # the pre-tokens in memory need not be searched for garbage
-        gc.disable()
+        encoder = Encoder(ranks, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield with_ids(part, ["row_key", "id"], [encode(t) if t else b"" for t in column(part, "text")])
+            sizes = [n.as_py() or 0 for n in pc.binary_length(batch.column(batch.schema.get_field_index("text")))]
+            for start, stop in stretches(sizes, SLICE):
+                part = batch.slice(start, stop - start)
+                yield with_ids(part, ["row_key", "id"], encoder.encode([t or "" for t in column(part, "text")]))
 
     return rows.select("row_key", "id", "text").mapInArrow(run, f"row_key long, id {dict(rows.dtypes)['id']}, ids array<int>")
 
@@ -183,12 +170,12 @@ def encode_long(rows: DataFrame, ranks: dict[bytes, int], pattern: str, size: in
     stitched = stitched.repartition(F.col("row_key"), F.col("chunk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks, pattern)
+        encoder = Encoder(ranks, pattern)
         for batch in batches:
             found = []
             for text, start, last, low, high in zip(*(column(batch, c) for c in ("text", "start", "last", "from", "to"))):
                 whole = low is not None and (last or high is not None)
-                found.append(encode(text[low - start :] if last else text[low - start : high - start]) if whole else b"")
+                found += encoder.encode([text[low - start :] if last else text[low - start : high - start]]) if whole else [b""]
             keep = with_ids(batch, ["row_key", "id", "chunk"], found)
             fine = [low is not None and (last or high is not None) for last, low, high in zip(*(column(batch, c) for c in ("last", "from", "to")))]
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(fine)], names=[*keep.schema.names, "fine"])
@@ -225,10 +212,23 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     names = [n for n in encoded.columns if n != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: b for b, i in ranks.items()}
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        size = np.array([len(t) for t in tokens], np.int64)
+        first, raw = np.cumsum(size) - size, np.frombuffer(b"".join(tokens), np.uint8)
         for batch in batches:
-            decoded = pa.array([b"".join([token[i] for i in ids]) if ids else b"" for ids in column(batch, "ids")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), decoded], names=[*names, "decoded"])
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            counts = [n.as_py() or 0 for n in pc.list_value_length(lists)]
+            for start, stop in stretches(counts, SLICE):
+                ids = lists.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False)
+                own = size[ids]
+                ends = np.cumsum(own)
+                joined = raw[np.repeat(first[ids] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
+                offsets = np.concatenate([[0], ends])[np.cumsum([0, *counts[start:stop]])].astype(np.int32)
+                decoded = pa.Array.from_buffers(pa.binary(), stop - start, [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), decoded], names=[*names, "decoded"])
 
     kinds = dict(encoded.dtypes)
     return encoded.select(*names).mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "decoded binary"]))
