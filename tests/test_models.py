@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from wordloom.constants import (
@@ -12,8 +13,8 @@ from wordloom.constants import (
     UNKNOWN_CLASS,
     UNSUPPORTED_LANGUAGE,
 )
-from wordloom.operators import dataset, joins, knn, vectorize
-from wordloom.operators.mllib import build_classifier, fit_vectorizer
+from wordloom.operators import dataset, joins, kernels, knn, vectorize
+from wordloom.operators.mllib import build_classifier, fit_pipeline, fit_vectorizer
 from wordloom.operators.naive_bayes import nb_fit, nb_predict
 from wordloom.options import TREE_BUCKETS, CleanOptions, ModelConfig
 from wordloom.plans import models, workflow
@@ -283,9 +284,43 @@ def test_train_and_save(spark, topics, tmp_path):
     assert models.accept_model(spark, paths[0], "yes") and not models.accept_model(spark, paths[1], "no")
 
 
+def exclusive_or(spark):
+    """Two words; texts with just one of them are one class, those with both or none the other."""
+    rows = [(i, " ".join(["on"] + ["left"] * (i % 2) + ["right"] * (i // 2 % 2)), str(i % 2 ^ i // 2 % 2)) for i in range(200)]
+    return spark.createDataFrame(rows, "id int, text string, label string")
+
+
+def test_rbf_separates_what_no_line_does(spark, tmp_path):
+    df, right = exclusive_or(spark), {}
+    for kernel in ("rbf", "linear"):
+        config = ModelConfig("SVM", "Count", c=10.0, kernel=kernel, gamma=1.0 if kernel == "rbf" else None, kernel_features=128)
+        pipeline = fit_pipeline(df, df, "text", "label", config)
+        model = models.PipelineTextModel(pipeline, "text", "string")
+        found = df.join(model.predict(df, "id", "text"), "id")
+        right[kernel] = found.where("label = prediction").count()
+        if kernel == "rbf":
+            again = models.load_model(spark, models.save_model(spark, model, str(tmp_path), "SVM"))
+            assert again.predict(df, "id", "text").exceptAll(model.predict(df, "id", "text")).isEmpty()
+    assert right["rbf"] == 200 and right["linear"] <= 150
+
+
+def test_fourier_features_are_the_kernel(spark):
+    rng = np.random.default_rng(1)
+    vectors = [Vectors.sparse(1000, sorted(rng.choice(1000, 5, replace=False).tolist()), rng.random(5).tolist()) for _ in range(12)]
+    vectors += [Vectors.dense([0.5] * 4 + [0.0] * 996), Vectors.sparse(1000, [], [])]
+    df = spark.createDataFrame([(v,) for v in vectors], ["v"]).coalesce(1)
+    stage = kernels.RandomFourierFeatures(inputCol="v", outputCol="z", dimensions=8192, gamma=0.7)
+    z = np.array([r.z.toArray() for r in stage.transform(df).collect()])
+    dense = np.array([v.toArray() for v in vectors])
+    wanted = np.exp(-0.7 * ((dense[:, None] - dense[None]) ** 2).sum(axis=2))
+    assert np.abs(z @ z.T - wanted).max() < 0.06
+    assert kernels.scaled_gamma(df, "v") == pytest.approx(1 / (1000 * dense.var()))
+    assert kernels.scaled_gamma(df.limit(0), "v") == 1.0
+
+
 def test_penalty_and_depth():
     assert ModelConfig().algorithm == "SVM" and ModelConfig().vectorizer == "TF-IDF"
-    for bad in ({"algorithm": "Perceptron"}, {"vectorizer": "Word2Vec"}, {"test_size": 0}, {"fit_scope": "none"}):
+    for bad in ({"algorithm": "Perceptron"}, {"vectorizer": "Word2Vec"}, {"test_size": 0}, {"fit_scope": "none"}, {"kernel": "poly"}, {"gamma": 0}):
         with pytest.raises(ValueError):
             ModelConfig(**bad)
 
@@ -344,9 +379,14 @@ def test_store(spark, topics, tmp_path, algorithm):
 
 
 def test_selection(spark, topics):
-    grid = [ModelConfig("Naive Bayes", v) for v in ("Count", "TF-IDF")]
+    grid = [ModelConfig(a, v) for a, v in (("Naive Bayes", "Count"), ("Naive Bayes", "TF-IDF"), ("KNN", "TF-IDF"), ("Decision Tree", "Hashing"))]
     rows = workflow.select_model(topics, "id", grid).collect()
-    assert len(rows) == 2 and sum(r.best for r in rows) == 1
+    assert [(r.algorithm, r.vectorizer) for r in rows] == [(c.algorithm, c.vectorizer) for c in grid]
+    assert sum(r.best for r in rows) == 1
+    data = workflow.prepare_training(topics, "id")
+    for config, row in zip(grid[:3], rows):  # what is shared changes no result
+        alone = workflow.score_test_rows(data, workflow.fit_model(data, config))
+        assert row.accuracy == pytest.approx(alone.where("label = prediction").count() / alone.count())
     assert max(rows, key=lambda r: r.accuracy).accuracy == next(r.accuracy for r in rows if r.best)
     with pytest.raises(ValueError):
         workflow.select_model(topics, "id", [])

@@ -60,7 +60,8 @@ class ModelConfig:
     their terms with every vectorizer. ``max_train_rows`` bounds the labelled rows that the MLlib classifiers, their
     vocabulary and KNN learn from, drawn by a hash of the id; Naive Bayes takes all. Nothing else depends on the size of a
     table. ``rounds`` is the number of gradient boosting rounds. ``fit_scope`` says which rows the vectorizer learns from:
-    ``all`` or ``train``.
+    ``all`` or ``train``. ``kernel`` is that of SVM, ``rbf`` or ``linear``; the first is approximated by ``kernel_features`` random
+    features, of width ``gamma`` or, without one, by the variance of the training vectors.
     """
 
     algorithm: str = "SVM"
@@ -75,6 +76,9 @@ class ModelConfig:
     hash_buckets: int | None = None
     max_train_rows: int = 200_000
     fit_scope: str = "all"
+    kernel: str = "rbf"
+    gamma: float | None = None
+    kernel_features: int = 1024
 
     @property
     def buckets(self) -> int:
@@ -89,5 +93,9 @@ class ModelConfig:
             raise ValueError(f"test_size must lie between 0 and 1, not {self.test_size}")
         if self.fit_scope not in ("all", "train"):
             raise ValueError(f"fit_scope must be 'all' or 'train', not {self.fit_scope!r}")
+        if self.kernel not in ("rbf", "linear"):
+            raise ValueError(f"kernel must be 'rbf' or 'linear', not {self.kernel!r}")
+        if self.kernel_features < 2 or self.kernel_features % 2 or (self.gamma is not None and self.gamma <= 0):
+            raise ValueError("kernel_features must be even and positive, gamma positive")
         if self.max_train_rows < 1 or (self.hash_buckets is not None and self.hash_buckets < 1):
             raise ValueError("max_train_rows and hash_buckets must be positive")

@@ -477,6 +477,24 @@ def builders() -> dict[str, Callable[[], str]]:
     0::BIGINT AS unknown_predictions, true AS accurate FROM t_split"""
     for name in ("svm", "random_forest", "logistic", "decision_tree", "gradient_boosting"):
         out[f"classify_{name}"] = fitted
+    def nearest() -> str:
+        return """
+    sq AS (SELECT doc_id, coalesce(sum(n * n), 0) AS s FROM documents LEFT JOIN t_weights USING (doc_id) GROUP BY doc_id),
+    dots AS (
+      SELECT a.doc_id AS test_id, b.doc_id AS train_id, sum(a.n * b.n) AS dot
+      FROM (SELECT w.* FROM t_weights w SEMI JOIN t_test USING (doc_id)) a
+      JOIN (SELECT w.* FROM t_weights w SEMI JOIN t_train USING (doc_id)) b ON a.term = b.term
+      GROUP BY a.doc_id, b.doc_id),
+    near AS (
+      SELECT te.doc_id AS test_id, te.label AS own, tr.label,
+        row_number() OVER (PARTITION BY te.doc_id
+          ORDER BY round(x.s + y.s - 2 * coalesce(dot, 0), 9), tr.doc_id) AS place
+      FROM t_test te CROSS JOIN t_train tr
+      JOIN sq x ON x.doc_id = te.doc_id JOIN sq y ON y.doc_id = tr.doc_id
+      LEFT JOIN dots ON dots.test_id = te.doc_id AND dots.train_id = tr.doc_id),
+    votes AS (SELECT test_id, own, label, count(*) AS v FROM near WHERE place <= 5 GROUP BY test_id, own, label),
+    elected AS (SELECT test_id, own, first(label ORDER BY v DESC, label) AS prediction FROM votes GROUP BY test_id, own)"""
+
     out["model_selection"] = lambda: (
         _with(
             _training("t", "lang"),
@@ -489,37 +507,21 @@ def builders() -> dict[str, Callable[[], str]]:
             _nb("a", "t_train", "t_terms", "t_terms", "t_test", "t_terms"),
             _nb("b", "t_train", "t_weights", "t_terms", "t_test", "t_weights"),
             _nb("c", "t_train", "h_terms", "buckets", "t_test", "h_terms"),
+            nearest(),
             """
     results AS (
-      SELECT 0 AS place, 'Count' AS vectorizer, avg((label = prediction)::INTEGER) AS accuracy FROM t_test JOIN a_pred USING (doc_id)
-      UNION ALL SELECT 1, 'TF-IDF', avg((label = prediction)::INTEGER) FROM t_test JOIN b_pred USING (doc_id)
-      UNION ALL SELECT 2, 'Hashing', avg((label = prediction)::INTEGER) FROM t_test JOIN c_pred USING (doc_id))""",
+      SELECT 0 AS place, 'Count' AS vectorizer, 'Naive Bayes' AS algorithm, avg((label = prediction)::INTEGER) AS accuracy
+      FROM t_test JOIN a_pred USING (doc_id)
+      UNION ALL SELECT 1, 'TF-IDF', 'Naive Bayes', avg((label = prediction)::INTEGER) FROM t_test JOIN b_pred USING (doc_id)
+      UNION ALL SELECT 2, 'Hashing', 'Naive Bayes', avg((label = prediction)::INTEGER) FROM t_test JOIN c_pred USING (doc_id)
+      UNION ALL SELECT 3, 'TF-IDF', 'KNN', avg((own = prediction)::INTEGER) FROM elected)""",
         )
-        + """SELECT vectorizer, 'Naive Bayes' AS algorithm, round(accuracy, 6) AS accuracy,
+        + """SELECT vectorizer, algorithm, round(accuracy, 6) AS accuracy,
       place = (SELECT place FROM results ORDER BY accuracy DESC, place LIMIT 1) AS best FROM results"""
     )
     out["classify_knn"] = lambda: (
-        _with(
-            _training("t", "lang"),
-            _tfidf("t", "t_terms", "t_out"),
-            """
-    sq AS (SELECT doc_id, coalesce(sum(n * n), 0) AS s FROM documents LEFT JOIN t_weights USING (doc_id) GROUP BY doc_id),
-    dots AS (
-      SELECT a.doc_id AS test_id, b.doc_id AS train_id, sum(a.n * b.n) AS dot
-      FROM (SELECT w.* FROM t_weights w SEMI JOIN t_test USING (doc_id)) a
-      JOIN (SELECT w.* FROM t_weights w SEMI JOIN t_train USING (doc_id)) b ON a.term = b.term
-      GROUP BY a.doc_id, b.doc_id),
-    near AS (
-      SELECT te.doc_id AS test_id, te.label AS own, tr.label,
-        row_number() OVER (PARTITION BY te.doc_id
-          ORDER BY round(x.s + y.s - 2 * coalesce(dot, 0), 9), tr.doc_id) AS place
-      FROM t_test te CROSS JOIN t_train tr
-      JOIN sq x ON x.doc_id = te.doc_id JOIN sq y ON y.doc_id = tr.doc_id
-      LEFT JOIN dots ON dots.test_id = te.doc_id AND dots.train_id = tr.doc_id),
-    votes AS (SELECT test_id, own, label, count(*) AS v FROM near WHERE place <= 5 GROUP BY test_id, own, label)""",
-        )
-        + """SELECT test_id AS doc_id, own AS label, first(label ORDER BY v DESC, label) AS prediction
-    FROM votes GROUP BY test_id, own"""
+        _with(_training("t", "lang"), _tfidf("t", "t_terms", "t_out"), nearest())
+        + "SELECT test_id AS doc_id, own AS label, prediction FROM elected"
     )
 
     out["accuracy"] = lambda: "SELECT round(avg((quality = 1 - toxic)::INTEGER), 6) AS accuracy FROM labels"

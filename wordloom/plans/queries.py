@@ -336,6 +336,7 @@ def model_selection(spark, sf_dir):
         ModelConfig("Naive Bayes", "Count"),
         ModelConfig("Naive Bayes", "TF-IDF"),
         ModelConfig("Naive Bayes", "Hashing"),
+        ModelConfig("KNN", "TF-IDF"),
     ]
     found = workflow.select_model(documents(spark, sf_dir), "doc_id", grid, target="lang")
     return found.withColumn("accuracy", F.round("accuracy", 6))

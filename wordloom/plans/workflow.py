@@ -1,6 +1,7 @@
 """Training, model selection and scoring of tables."""
 
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +24,11 @@ from wordloom.operators.clean import clean_column, clean_text
 from wordloom.operators.dataset import balance_action, draw, split
 from wordloom.operators.evaluate import accuracy, classification_report
 from wordloom.operators.joins import check_ids
+from wordloom.operators.knn import knn_fit, knn_score, packed_vectors
 from wordloom.operators.language import language_of
 from wordloom.operators.mllib import fit_pipeline
 from wordloom.operators.morphology import corpus_lexicon, lemmatize_numbered
-from wordloom.operators.naive_bayes import nb_fit
+from wordloom.operators.naive_bayes import nb_fit, nb_predict
 from wordloom.operators.validate import check_columns, text_cells
 from wordloom.operators.vectorize import fit_vocabulary, vectorize
 from wordloom.options import PRESET, CleanOptions, ModelConfig
@@ -149,6 +151,38 @@ def train_and_save(df: DataFrame, id: str, folder: str, config: ModelConfig = Mo
     return save_model(df.sparkSession, model, folder, config.algorithm), report
 
 
+@dataclass(frozen=True)
+class Features:
+    """The weighted terms of all rows by one vectorizer, written once for every algorithm that works on them."""
+
+    vocabulary: DataFrame | None
+    terms: DataFrame
+
+
+def _features(data: Prepared, config: ModelConfig) -> Features:
+    scope = data.rows if config.fit_scope == "all" else data.rows.where(~F.col("is_test"))
+    vocabulary = None if config.vectorizer == "Hashing" else fit_vocabulary(scope, data.id, data.text)
+    terms = vectorize(data.rows, data.id, data.text, config.vectorizer, vocabulary, config.buckets, ["label", "is_test"])
+    return Features(vocabulary, materialise(terms, "features"))
+
+
+def _score_features(data: Prepared, config: ModelConfig, features: Features) -> DataFrame:
+    """``score_test_rows(fit_model(...))`` for the two algorithms that work on weighted terms."""
+    id, rows = data.id, data.rows
+    test = rows.where("is_test").select(id, "label")
+    train_terms, test_terms = (features.terms.where(c).select(id, "term", "weight", "label") for c in (~F.col("is_test"), F.col("is_test")))
+    labels = rows.where(~F.col("is_test")).select(id, "label")
+    if config.algorithm == "KNN":
+        labels = draw(labels, id, config.max_train_rows, config.random_state)
+        indexes = knn_fit(train_terms.drop("label"), labels, config.n_neighbors)
+        return knn_score(packed_vectors(test, test_terms.drop("label")), indexes, config.n_neighbors, labels.schema["label"].dataType)
+    if config.vectorizer == "Hashing":
+        tables = nb_fit(train_terms, labels, size=config.buckets)
+    else:
+        tables = nb_fit(train_terms, labels, features.vocabulary.select("term"))
+    return test.join(nb_predict(test_terms.drop("label"), tables, test.select(id)), id)
+
+
 def select_model(
     df: DataFrame,
     id: str,
@@ -156,8 +190,12 @@ def select_model(
     target: str = FALLBACK_TARGET,
     text: str = "text",
     lexicon: DataFrame | None = None,
+    parallel: int = 4,
 ) -> DataFrame:
-    """``(vectorizer, algorithm, accuracy, best)`` for every configuration, all on one cleaned table and split."""
+    """``(vectorizer, algorithm, accuracy, best)`` for every configuration, all on one cleaned table and split.
+
+    Naive Bayes and KNN share one written table of weighted terms per vectorizer. ``parallel`` configurations are fitted at a time.
+    """
     grid = list(grid)
     if not grid:
         raise ValueError("no configuration to try")
@@ -165,19 +203,25 @@ def select_model(
         raise ValueError("all configurations must share test_size and random_state")
     first = grid[0]
     data = prepare_training(df, id, target, text, "use_as_is", first.test_size, first.random_state, lexicon)
-    results = None
-    for place, config in enumerate(grid):
-        scored = score_test_rows(data, fit_model(data, config))
-        row = accuracy(scored, "label", "prediction").select(
-            F.lit(place).alias("place"),
-            F.lit(config.vectorizer).alias("vectorizer"),
-            F.lit(config.algorithm).alias("algorithm"),
-            "accuracy",
-        )
-        results = row if results is None else results.unionByName(row)
-    results = materialise(results, "selection")
-    best = results.agg(F.min(F.struct(-F.col("accuracy"), F.col("place")))["place"]).scalar()
-    return results.select("vectorizer", "algorithm", "accuracy", (F.col("place") == best).alias("best"))
+    shared: dict[tuple, Features] = {}
+    for config in grid:
+        key = (config.vectorizer, config.buckets, config.fit_scope)
+        if config.algorithm in ("Naive Bayes", "KNN") and key not in shared:
+            shared[key] = _features(data, config)
+
+    def score(config: ModelConfig) -> float:
+        features = shared.get((config.vectorizer, config.buckets, config.fit_scope))
+        if config.algorithm in ("Naive Bayes", "KNN"):
+            scored = _score_features(data, config, features)
+        else:
+            scored = score_test_rows(data, fit_model(data, config))
+        return accuracy(scored, "label", "prediction").first()["accuracy"]
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(grid)))) as pool:
+        found = list(pool.map(score, grid))
+    best = min(range(len(grid)), key=lambda i: (-(found[i] or 0.0), i))
+    rows = [(c.vectorizer, c.algorithm, a, i == best) for i, (c, a) in enumerate(zip(grid, found))]
+    return df.sparkSession.createDataFrame(rows, "vectorizer string, algorithm string, accuracy double, best boolean")
 
 
 def class_name(prediction: Column, label_map: Mapping[int, str] | None) -> Column:

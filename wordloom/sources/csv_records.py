@@ -8,7 +8,8 @@ ends is a fragment, and the fragments of neighbouring ranges, a row or two per r
 Spark's own CSV expression.
 
 Quotes open a cell only where a cell begins, and are doubled inside one; elsewhere they are plain characters. Lines end in a line
-feed, with or without a carriage return. Empty lines are left out. Files without line breaks in cells give the same rows either way.
+feed, with or without a carriage return. Empty lines are left out. The rows are those of Spark's reader, but that line ends inside
+cells stay as they are, where that reader drops the carriage returns of files whose lines end in one.
 """
 
 from collections.abc import Iterator
@@ -85,6 +86,7 @@ def _transitions(lines: DataFrame) -> DataFrame:
 
 def _begins(transitions: DataFrame) -> DataFrame:
     """``(file, start, origin)`` for the ranges that begin inside a quoted cell; ``origin`` is the range where its record begins.
+    A file that ends inside one has a row as well, without a range.
 
     The sums of one file, a row per range, are composed in one task.
     """
@@ -96,6 +98,8 @@ def _begins(transitions: DataFrame) -> DataFrame:
                 out.append((file, start, origin))
             origin = start if opens[state] else origin
             state = after[state]
+        if state == INSIDE:  # a cell that is never closed: no range begins here, but there is a fragment
+            out.append((file, -1, origin))
         return pd.DataFrame(out, columns=["file", "start", "origin"])
 
     return transitions.groupBy("file").applyInPandas(run, "file string, start long, origin long")

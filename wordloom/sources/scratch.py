@@ -1,11 +1,15 @@
 """Tables written half-way through a job, in the folder the cluster shares.
 
 ``spark.checkpoint.dir`` of the session names it. Every session writes into a folder of its own there, which is deleted when
-the driver's Python process ends: results are read lazily, so nothing can go earlier.
+the driver's Python process ends. A table goes earlier, once no plan can read it any more: results are read lazily, and every
+DataFrame made from a table shares the JVM's object for its files, so that object is held by a weak reference, and the folder is
+deleted after the JVM has let it go. Each new table, and ``sweep``, looks for such folders.
 """
 
 import atexit
 import contextlib
+import gc
+import threading
 import uuid
 from functools import cache
 
@@ -27,8 +31,7 @@ def _session_folder(spark: SparkSession, folder: str) -> str:
 
     def delete() -> None:
         with contextlib.suppress(Exception):  # the JVM may be gone already; then the folder is left to its owner
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
 
     atexit.register(delete)
     return path
@@ -38,6 +41,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_session_folder(spark, scratch_folder(spark))}/{name}-{uuid.uuid4().hex}"
 
 
+#: Weak references to what the JVM holds of a table, the table's folder, and its session.
+_written: list[tuple[object, str, SparkSession]] = []
+_lock = threading.Lock()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sweep(spark: SparkSession, collect: bool = False) -> int:
+    """Delete the tables that no plan can read any more; how many are left. ``collect`` asks Python and the JVM to look first."""
+    if collect:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    with _lock:
+        gone = [e for e in _written if e[2] is spark and e[0].get() is None]
+        _written[:] = [e for e in _written if not any(e is g for g in gone)]
+    for _, path, _ in gone:
+        _delete(spark, path)
+    return sum(e[2] is spark for e in _written)
+
+
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a table and read it back.
 
@@ -45,9 +71,14 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     a true size, so that it broadcasts the table only when it is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
+    sweep(spark)
     path = scratch_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    relation = table._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation()
+    with _lock:
+        _written.append((spark.sparkContext._jvm.java.lang.ref.WeakReference(relation), path, spark))
+    return table
