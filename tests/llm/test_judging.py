@@ -96,6 +96,28 @@ def test_estimates_ignore_a_quarter_of_outliers(spark):
     assert np.abs(cov - 0.09 * np.eye(4)).max() < 0.04
 
 
+def test_base_phrases_are_those_of_brute_force(spark):
+    rng = random.Random(11)
+    phrases = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
+    bits = ["mit", "MIT", "license", "License,", "apache", "general", "public", "the", "x_y", "lïcense", "general public license", "mit\tlicense"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(150)] + [None, "", "mit license " * 4000]
+    for row in licenses.scan(spark.createDataFrame(rows(texts), SCHEMA)).collect():
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[row["id"]] or ""))
+        wanted = [
+            (i, label) for i in range(len(words)) for label, phrase in phrases.items() if words[i : i + len(phrase.split())] == phrase.split()
+        ]
+        assert sorted((p["start"], p["label"]) for p in row["places"]) == sorted(wanted) and row["n_words"] == len(words)
+
+
+def test_words_that_no_text_holds_take_no_place_in_the_index(spark):
+    label, passage, key = licenses.PASSAGES[2]
+    # A form of the passage without its rarest words: only these texts are there.
+    edited = passage.replace("redistribute", "aaa").replace("modify", "bbb").replace("published", "ccc").replace("foundation", "ddd")
+    texts = [edited, *["the of and a under terms public general license gnu free software program you can it or"] * 20]
+    found = licenses.scan(spark.createDataFrame(rows(texts), SCHEMA)).orderBy("id").first()
+    assert key in edited and label in found["labels"]
+
+
 def test_licenses(spark):
     mit = licenses.PASSAGES[0][1]
     texts = [

@@ -97,8 +97,8 @@ class Reader:
         return number, np.searchsorted(starts, offsets)
 
 
-def rarity(rows: DataFrame, vocabulary: list[str]) -> np.ndarray:
-    """Inverse document frequency of the templates' words over all texts."""
+def rarity(rows: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse document frequency of the templates' words over all texts, and whether any text holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(vocabulary)
@@ -116,13 +116,18 @@ def rarity(rows: DataFrame, vocabulary: list[str]) -> np.ndarray:
     found = rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r["word"]: r["n"] for r in found}
     total = counts.get(-1, 0)
-    return np.array([math.log((1 + total) / (1 + counts.get(i, 0))) + 1e-3 for i in range(len(vocabulary))])
+    held = np.array([counts.get(i, 0) for i in range(len(vocabulary))], np.int64)
+    return np.array([math.log((1 + total) / (1 + n)) + 1e-3 for n in held.tolist()]), held > 0
 
 
 class Index:
-    """Postings of the templates' rare words."""
+    """Postings of the templates' rare words.
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray):
+    Words that no text holds are no use as postings, so the rarest of the others stand for a template, and one of its key phrase is
+    always among them.
+    """
+
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, held: np.ndarray):
         self.reader = Reader(vocabulary)
         place = {w: i for i, w in enumerate(vocabulary)}
         self.templates = templates()
@@ -131,8 +136,11 @@ class Index:
         self.postings: dict[int, list[tuple[int, int]]] = {}
         self.votes = []
         for i, (t, number) in enumerate(zip(self.templates, self.numbers)):
-            ranked = sorted(set(number.tolist()), key=lambda w: (-idf[w], w))[: 1 if t.base else RARE]
-            self.votes.append(min(1 if t.base else VOTES, len(ranked)))
+            key, size = t.key
+            rarest = sorted({w for w in number.tolist() if held[w]}, key=lambda w: (-idf[w], w))
+            mandatory = [w for w in rarest if w in number[key : key + size]][:1]
+            ranked = [*mandatory, *(w for w in rarest if w not in mandatory)][: 1 if t.base else RARE]
+            self.votes.append(max(1, min(1 if t.base else VOTES, len(ranked))))
             for at, w in enumerate(number.tolist()):
                 if w in ranked:
                     self.postings.setdefault(w, []).append((i, at))
@@ -168,10 +176,10 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     """One row per document: row_key, id, n_words, places (start and label of base phrases), labels, scores (as labels)."""
     rows = keyed(docs, id_col, {"text": text_col})
     vocabulary = sorted({w for t in templates() for w in t.words})
-    idf = rarity(rows, vocabulary)
+    idf, held = rarity(rows, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(vocabulary, idf)
+        index = Index(vocabulary, idf, held)
         place = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
         for batch in batches:
             n_words, places, labels, scores = [], [], [], []
