@@ -68,7 +68,7 @@ def test_both_agendas_agree_and_room_is_made():
         texts = [prose(rng, 300), None, ""]
         found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts))]
         assert found == [library.encode(t or "", add_bos=True, add_eos=True) for t in texts]
-        assert encoder.used < 200_000
+        assert encoder.memory.used < 200_000
 
 
 def test_decoding_ids_that_no_text_gives():

@@ -24,10 +24,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +45,7 @@ CACHE_BYTES = 96 << 20
 #: What a remembered piece takes besides its own bytes.
 ENTRY_BYTES = 360
 #: Texts are worked on about so many characters at a time; new pieces are tokenized so many at a time.
-SLICE, CALL = 1 << 20, 512
+SLICE, CALL = 1 << 21, 512
 #: Groups of so many pairs are counted pair by pair, larger ones by distinct ids.
 FEW = 64
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -89,6 +89,7 @@ class Aligner:
         raw_a, vocabulary = bytes_of_a(tokenizer_a), read_vocabulary(model_b)
         self.size_a, self.size_b = (np.array(list(map(len, raw)), np.int64) for raw in (raw_a, vocabulary.raw))
         self.alone = vocabulary.ids.get(SPACE)
+        self.names = list(map(str, range(max(len(raw_a), len(vocabulary.raw)))))
         self.room, self.used = cache_bytes // 2, 0
         #: A piece without its first space: (n_a, n_b, n_groups, n_links) and (pair, n) as bytes, and the groups' text.
         self.known: dict[str, tuple[bytes, bytes, bytes]] = {}
@@ -112,65 +113,98 @@ class Aligner:
 
     def align(self, pieces: list[str]) -> None:
         text = " ".join(pieces)
-        a = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
         b = np.array(self.b.encode(text) if text else [self.alone], np.int64)
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        borders = np.intersect1d(ends_a, ends_b)
+        if not ends_a[-1] == ends_b[-1] == ends[-1]:
+            raise RuntimeError("tokens do not give back their text")
+        borders = ends_a[ends_b[np.searchsorted(ends_b, ends_a)] == ends_a]
         group_a, group_b = np.searchsorted(borders, ends_a), np.searchsorted(borders, ends_b)
-        first_a, first_b = (np.searchsorted(g, np.arange(len(borders) + 1)).tolist() for g in (group_a, group_b))
-        stops = np.searchsorted(borders, ends, "right").tolist()
-        a, b, g = a.tolist(), b.tolist(), 0
-        names_a, names_b = list(map(str, a)), list(map(str, b))
-        for piece, stop in zip(pieces, stops):
-            texts, links, pairs = [], 0, {}
-            n_a, n_b, n_groups = first_a[stop] - first_a[g], first_b[stop] - first_b[g], stop - g
-            while g < stop:
-                i, j = first_a[g], first_b[g]
-                g += 1
-                to_i, to_j = first_a[g], first_b[g]
-                links += (to_i - i) * (to_j - j)
-                if to_i - i == to_j - j == 1:
-                    pair = a[i] << SHIFT | b[j]
-                    pairs[pair] = pairs.get(pair, 0) + 1
-                    texts.append(f"{names_a[i]}|{names_b[j]}")
-                    continue
-                texts.append(f"{','.join(names_a[i:to_i])}|{','.join(names_b[j:to_j])}")
-                if (to_i - i) * (to_j - j) <= FEW:
-                    for x in a[i:to_i]:
-                        x <<= SHIFT
-                        for y in b[j:to_j]:
-                            pairs[x | y] = pairs.get(x | y, 0) + 1
-                    continue
-                counted = Counter(b[j:to_j]).items()
-                for x, n in Counter(a[i:to_i]).items():
-                    for y, m in counted:
-                        pairs[x << SHIFT | y] = pairs.get(x << SHIFT | y, 0) + n * m
-            flat_pairs = pack(f"<{2 * len(pairs)}q", *chain.from_iterable(pairs.items()))
-            self.known[piece] = found = pack("<4q", n_a, n_b, n_groups, links), flat_pairs, ";".join(texts).encode()
-            self.used += ENTRY_BYTES + len(piece) + len(flat_pairs) + len(found[2])
+        # The piece of every group, and how many tokens a group has on either side.
+        owner = np.searchsorted(ends, borders)
+        n_a, n_b = np.bincount(group_a), np.bincount(group_b)
+        n = len(pieces)
+        links = np.bincount(owner, (n_a * n_b).astype(np.float64), n).astype(np.int64)
+        counts = [np.bincount(owner[g], minlength=n) for g in (group_a, group_b)] + [np.bincount(owner, minlength=n), links]
+        numbers = np.stack(counts, axis=1).astype(np.int64).tobytes()
+        texts = self.group_texts(a, b, group_a, group_b, owner)
+        codes, times, of = self.group_pairs(a, b, group_a, group_b, n_a, n_b, owner)
+        raw = np.stack([codes, times], axis=1).tobytes()
+        stops = (16 * np.cumsum(np.bincount(of, minlength=n))).tolist()
+        for i, (piece, start, stop, groups) in enumerate(zip(pieces, [0, *stops], stops, texts)):
+            self.known[piece] = numbers[32 * i : 32 * i + 32], raw[start:stop], groups
+        self.used += ENTRY_BYTES * n + len(raw) + 2 * len(text) + sum(map(len, texts))
+
+    def group_texts(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, owner: np.ndarray) -> list[bytes]:
+        """The groups of each piece as text: the tokens of both sides in the order of groups, and a mark after each."""
+        side = np.concatenate([2 * group_a, 2 * group_b + 1])
+        order = np.argsort(side, kind="stable")
+        side = side[order]
+        names = list(map(self.names.__getitem__, np.concatenate([a, b])[order].tolist()))
+        after = np.zeros(len(side), np.int64)
+        after[:-1] = np.where(side[1:] == side[:-1], 0, np.where(side[1:] >> 1 == side[:-1] >> 1, 1, 2))
+        after[:-1][owner[side[1:] >> 1] != owner[side[:-1] >> 1]] = 3
+        marks = list(map((",", "|", ";", "\n").__getitem__, after[:-1].tolist()))
+        return "".join(chain.from_iterable(zip(names, [*marks, ""]))).encode().split(b"\n")
+
+    @staticmethod
+    def group_pairs(
+        a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, owner: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of ids, their numbers, and their pieces, in the order of pieces; a pair may come more than once."""
+        few = n_a * n_b <= FEW
+        first_b = np.cumsum(n_b) - n_b
+        width = np.where(few, n_b, 0)[group_a]
+        ends = np.cumsum(width)
+        left = np.repeat(np.arange(len(a)), width)
+        right = np.arange(ends[-1]) - np.repeat(ends - width, width) + first_b[group_a[left]]
+        codes, times, of = a[left] << SHIFT | b[right], np.ones(len(left), np.int64), owner[group_a[left]]
+        if few.all():
+            return codes, times, of
+        first_a, more = np.cumsum(n_a) - n_a, []
+        for g in np.flatnonzero(~few).tolist():  # large groups, by their distinct ids
+            counted = Counter(b[first_b[g] : first_b[g] + n_b[g]].tolist()).items()
+            for x, n in Counter(a[first_a[g] : first_a[g] + n_a[g]].tolist()).items():
+                more += [(x << SHIFT | y, n * m, owner[g]) for y, m in counted]
+        codes, times, of = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((codes, times, of), zip(*more)))
+        order = np.argsort(of, kind="stable")
+        return codes[order], times[order], of[order]
 
     def of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes] | None]:
         """For each text: n_a, n_b, n_groups, n_links; its distinct pairs and their numbers; its groups. None: no tokens."""
         if self.used > self.room:
             self.known, self.older, self.used = {}, self.known, 0
         split = [self.pieces(t) if t and SPACE not in t else [] for t in texts]
-        new = set().union(*split) - self.known.keys()
-        for p in new & self.older.keys():
-            self.known[p] = found = self.older[p]
-            self.used += ENTRY_BYTES + len(p) + len(found[1]) + len(found[2])
-        self.learn(list(new - self.known.keys()))
-        out = []
+        coded = pc.dictionary_encode(pa.array(chain.from_iterable(split), pa.string()))
+        different = coded.dictionary.to_pylist()
+        missing = [p for p in different if p not in self.known]
+        for p in missing:
+            if p in self.older:
+                self.known[p] = found = self.older[p]
+                self.used += ENTRY_BYTES + len(p) + len(found[1]) + len(found[2])
+        self.learn([p for p in missing if p not in self.older])
+        numbers, links, groups = zip(*map(self.known.__getitem__, different)) if different else [()] * 3
+        numbers = np.frombuffer(b"".join(numbers), np.int64).reshape(-1, 4)
+        pairs = np.frombuffer(b"".join(links), np.int64).reshape(-1, 2)
+        size = np.array([len(x) // 16 for x in links], np.int64)
+        first, which, at, out = np.cumsum(size) - size, coded.indices.to_numpy(), 0, []
         for pieces in split:
             if not pieces:
                 out.append(None)
                 continue
-            numbers, links, groups = zip(*map(self.known.__getitem__, pieces))
-            pairs = np.frombuffer(b"".join(links), np.int64).reshape(-1, 2)
-            distinct, which = np.unique(pairs[:, 0], return_inverse=True)
-            times = np.zeros(len(distinct), np.int64)
-            np.add.at(times, which, pairs[:, 1])
-            out.append((np.frombuffer(b"".join(numbers), np.int64).reshape(-1, 4).sum(axis=0), distinct, times, b";".join(groups)))
+            own = which[at : at + len(pieces)]
+            at += len(pieces)
+            used, times = np.unique(own, return_counts=True)
+            sizes = size[used]
+            ends = np.cumsum(sizes)
+            chosen = pairs[np.repeat(first[used] - ends + sizes, sizes) + np.arange(ends[-1])]
+            distinct, place = np.unique(chosen[:, 0], return_inverse=True)
+            order = np.argsort(place, kind="stable")
+            begins = np.searchsorted(place[order], np.arange(len(distinct)))
+            held = np.add.reduceat((chosen[:, 1] * np.repeat(times, sizes))[order], begins)
+            whole = b";".join(map(groups.__getitem__, own.tolist()))
+            out.append(((numbers[used] * times[:, None]).sum(axis=0), distinct, held, whole))
         return out
 
 
