@@ -60,7 +60,6 @@ def test_long_pieces_merge_like_the_library():
 
 def check_packing(texts, found, sequence):
     model = Tokenizer.from_str(word_tokenizer())
-    model.encode_special_tokens = True
     ids = [np.array(e.ids + [1], "<u4") for e in model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in found:
@@ -77,12 +76,12 @@ def check_packing(texts, found, sequence):
     return sum(map(len, ids)), len(sequences)
 
 
-def test_special_tokens_in_a_text_are_text():
-    text, plain = "a <|endoftext|> b", Tokenizer.from_str(word_tokenizer())
-    found = np.frombuffer(packing.Encoder(word_tokenizer()).encode([text])[0], "<u4").tolist()
-    library = plain.encode(text, add_special_tokens=False).ids
-    mark = plain.token_to_id("<|endoftext|>")
-    assert library == [found[0], mark, found[-1]] and mark not in found and len(found) == 8
+def test_special_tokens_in_a_text_are_the_librarys():
+    library, mine = Tokenizer.from_str(word_tokenizer()), packing.Encoder(word_tokenizer())
+    texts = ["a <|endoftext|> b", "A <|ENDOFTEXT|> b", "é<|startoftext|>É", "<|endoftext|", "x<|endoftext|>y  z<|endoftext|>", "", "a\x1cb c"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)]
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert library.token_to_id("<|endoftext|>") in found[0] and library.token_to_id("<|endoftext|>") not in found[1]
 
 
 def test_packing_keeps_every_id_once(spark):

@@ -7,15 +7,16 @@ patterns are rounded down, first-fit-decreasing covers what is left over; the pr
 steps, so the driver's part does not grow with the corpus. Each piece is ranked within its length step (a count per partition
 and step, a running sum over the partitions, and the rank within the partition), and its rank names the pattern's copy and slot.
 
-Defined results: a null text is empty and gives the end id alone. Repeated rows are packed each. An empty table gives no rows.
+Defined results: a null text is empty and gives the end id alone. Repeated rows are packed each. An empty table gives no rows. A
+special token's string in a text gives the special id, as the library's plain call does.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -25,14 +26,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wordloom.llm.common import column, keyed, slices
+from wordloom.llm.common import column, keyed, stretches
+from wordloom.llm.merging import Memory, laid_out
 from wordloom.sources.scratch import materialise
 
 SEQUENCE = 2048
 STEP = 8
 END_ID = 1
-#: Words whose ids a task remembers; half of them at least stay when it makes room.
-CACHE = 400_000
+#: The column generation ends after so many pivots per length, if prices still improve then.
+PIVOTS = 200
+#: Bytes of words and ids that a task remembers.
+CACHE_BYTES = 64 << 20
+#: New words that are encoded in one call, and characters of texts that are worked on at a time.
+CALL, SLICE = 2048, 1 << 21
 #: Characters that Python splits at and the tokenizer does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -40,42 +46,42 @@ ODD_SPACE = regex.compile("[\x1c-\x1f]")
 class Encoder:
     """From texts to their ids as little-endian unsigned 32-bit numbers.
 
-    For tokenizers that never look beyond white space, as those with word ends: every word is encoded once and remembered. The new words of many texts
-    are encoded in one call, which costs a fraction of one call each; the ids' offsets tell them apart.
+    For tokenizers that never look beyond white space, as those with word ends: the different words of a call are looked up, and
+    new ones are encoded, many in one call, which costs a fraction of one call each; the ids' offsets tell them apart. A text that
+    holds a special token's string is encoded whole, so that the library finds it as it does anywhere.
     """
 
-    def __init__(self, tokenizer: str, cache_size: int = CACHE):
-        self.model = Tokenizer.from_str(tokenizer)
-        self.model.encode_special_tokens = True
-        self.ignores_case = '"type": "Lowercase"' in json.dumps(json.loads(tokenizer).get("normalizer"))
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.half = cache_size // 2
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 128):
-            some = words[at : at + 128]
+    def __init__(self, tokenizer: str, cache_bytes: int = CACHE_BYTES):
+        settings = json.loads(tokenizer)
+        self.whole, self.model = Tokenizer.from_str(tokenizer), Tokenizer.from_str(tokenizer)
+        self.model.encode_special_tokens = True  # words that only look like one once they are in lower case
+        self.special = [t["content"] for t in settings.get("added_tokens", [])]
+        self.ignores_case = '"type": "Lowercase"' in json.dumps(settings.get("normalizer"))
+        self.memory = Memory(self.learn, cache_bytes)
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), CALL):
+            some = words[at : at + CALL]
             found = self.model.encode(" ".join(some), add_special_tokens=False)
             ends = np.cumsum([len(w) + 1 for w in some])
             places = np.fromiter(map(itemgetter(0), found.offsets), np.int64, len(found))
             cuts = (4 * np.searchsorted(places, ends)).tolist()
             raw = np.array(found.ids, "<u4").tobytes()
-            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.half:
-            self.known, self.older = {}, self.known
+        marked = {i for i, t in enumerate(texts) if any(mark in t for mark in self.special)}
         if self.ignores_case:  # lower ASCII letters make fewer different words
-            texts = [t.lower() if t.isascii() else t for t in texts]
-        split = [t.split() if not ODD_SPACE.search(t) else [t] for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if self.older:
-            for w in new & self.older.keys():
-                self.known[w] = self.older[w]
-            new -= self.known.keys()
-        self.learn(list(new))
-        ids_of = self.known.__getitem__
-        return [b"".join(map(ids_of, words)) for words in split]
+            texts = [t.lower() if t.isascii() and i not in marked else t for i, t in enumerate(texts)]
+        split = [[] if i in marked else t.split() if not ODD_SPACE.search(t) else [t] for i, t in enumerate(texts)]
+        encoded, ends = laid_out(pa.array(chain.from_iterable(split), pa.string()), self.memory.ids_of)
+        borders = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])].tolist()
+        out = [encoded[a:b].tobytes() for a, b in zip(borders, borders[1:])]
+        for i in marked:
+            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 def pieces(rows: DataFrame, tokenizer: str, sequence: int, end_id: int) -> DataFrame:
@@ -83,14 +89,13 @@ def pieces(rows: DataFrame, tokenizer: str, sequence: int, end_id: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        gc.freeze()  # the words in memory need not be searched for garbage
-        gc.disable()
         names = ["row_key", "id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
             out = []
             i = 0
-            for texts in slices(column(batch, "text")):
-                for ids in model.encode([t.decode() for t in texts]):
+            texts = [t or "" for t in column(batch, "text")]
+            for low, high in stretches([len(t) for t in texts], SLICE):
+                for ids in model.encode(texts[low:high]):
                     ids += end
                     n = len(ids) // 4
                     for start in range(0, n, sequence):
@@ -135,7 +140,7 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.
     columns = [np.eye(m, dtype=np.int64)[i] * (room // sizes[i]) for i in range(m)]
     inverse = np.diag(1.0 / (room // sizes))
     used = inverse @ demand
-    for pivot in range(20 * m + 200):
+    for _ in range(PIVOTS * (m + 1)):  # a bound against endless degenerate pivots; the patterns found by then are used
         prices = inverse.sum(axis=0)
         value, counts = knapsack(prices, sizes, room)
         if value <= 1 + 1e-7:
