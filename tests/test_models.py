@@ -284,6 +284,25 @@ def test_train_and_save(spark, topics, tmp_path):
     assert models.accept_model(spark, paths[0], "yes") and not models.accept_model(spark, paths[1], "no")
 
 
+@pytest.mark.parametrize("algorithm", ["SVM", "Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting"])
+def test_golden_predictions(spark, topics, algorithm):
+    """The topics share no word but fillers, so every classifier has to tell them apart, by its settings and no others."""
+    config = ModelConfig(algorithm, "Count", n_estimators=30, max_depth=12, rounds=8, hash_buckets=256)
+    pipeline = fit_pipeline(topics, topics, "text", "category", config)
+    found = models.PipelineTextModel(pipeline, "text", "int").predict(topics, "id", "text")
+    wrong = [r.id for r in found.collect() if r.prediction != r.id // 100]
+    assert wrong == []
+    fitted = pipeline.stages[-2]
+    if algorithm == "Random Forest":
+        assert fitted.getNumTrees == 30 and max(t.depth for t in fitted.trees) <= 12
+    elif algorithm == "Decision Tree":
+        assert 4 <= fitted.depth <= 12
+    elif algorithm == "Gradient Boosting":
+        assert [len(m.trees) for m in fitted.models] == [8, 8, 8]
+    elif algorithm == "Logistic Regression":
+        assert fitted.numClasses == 3 and fitted.getRegParam() == pytest.approx(1 / 60)
+
+
 def exclusive_or(spark):
     """Two words; texts with just one of them are one class, those with both or none the other."""
     rows = [(i, " ".join(["on"] + ["left"] * (i % 2) + ["right"] * (i // 2 % 2)), str(i % 2 ^ i // 2 % 2)) for i in range(200)]
