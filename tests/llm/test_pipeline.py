@@ -79,4 +79,4 @@ def test_odd_documents(spark):
 
 def test_every_operator_is_registered(spark):
     numbers = [int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in entry.queries()
