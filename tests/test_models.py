@@ -185,6 +185,21 @@ def test_knn_reads_the_texts_to_score_once_and_shuffles_none(spark, topics):
     assert knn.knn_predict(terms.limit(0), labels.limit(0), terms).where("prediction IS NULL").count() == 60
 
 
+def test_knn_shards_are_built_by_tasks_and_read_one_at_a_time(spark, topics, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_BYTES", 900)
+    terms = vectorize.count_terms(topics, "id", "text")
+    labels = topics.select("id", F.col("category").alias("label"))
+    shards = knn.knn_fit(terms, labels, 3)
+    # The driver holds names; the indexes are a table, and one shard is read without the others.
+    assert shards.count > 3 and not any(isinstance(v, knn.Index) for v in vars(shards).values())
+    assert 3 < shards.table.count() <= shards.count and shards.table.where("shard = 0").inputFiles()
+    rows = [knn.Index.read(bytes(r.raw)) for r in shards.table.collect()]
+    ids = sorted(r.id for r in topics.collect())
+    order = np.argsort(np.concatenate([r.ranks for r in rows]))
+    by_rank = np.concatenate([r.labels for r in rows])[order]
+    assert [shards.names[i] for i in by_rank] == [dict(labels.collect())[i] for i in ids]
+
+
 @pytest.mark.parametrize("classes", [3, 300])
 def test_naive_bayes_shuffles_no_row_per_class(spark, classes):
     df = spark.createDataFrame([(i, f"w{i % classes} w{i % 7} common", i % classes) for i in range(2 * classes)], "id int, text string, label int")
