@@ -233,6 +233,15 @@ def test_salted_lookup_equals_broadcast(spark):
     assert results[0] == results[1] and len(results[0]) > 2000
 
 
+def test_words_are_changed_in_place(spark):
+    from wordloom.functions.batches import text_by_word
+
+    texts = ["b a b", "", None, "x " * 500 + "é"] * 30
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(3)
+    out = df.select("id", text_by_word(T.words(F.col("text")), lambda w: w * 2).alias("t")).orderBy("id").collect()
+    assert [r.t for r in out] == [None if t is None else " ".join(w * 2 for w in t.split()) for t in texts]
+
+
 def test_payload_decides_about_broadcast(spark, monkeypatch):
     from wordloom.operators import joins
 
