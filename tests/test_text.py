@@ -242,6 +242,24 @@ def test_words_are_changed_in_place(spark):
     assert [r.t for r in out] == [None if t is None else " ".join(w * 2 for w in t.split()) for t in texts]
 
 
+def test_language_of_is_out_of_place_distance(spark, sentences):
+    """Held against a plain count, beyond the basic plane too, where a gram also starts at the second half of a character."""
+    from wordloom.operators.language import grams, language_of, language_profiles
+
+    odd = [("x0", "\U00010330\U00010331\U00010332 \U00010330a\U00010331", "xx")]
+    df = sentences.unionByName(spark.createDataFrame(odd, "id string, text string, lang string"))
+    profiles = language_profiles(df, "text", "lang").localCheckpoint()
+    ranks = {(r.lang, r.gram): r["rank"] for r in profiles.collect()}
+    rows = df.select("text", grams(F.col("text")).alias("grams"), language_of(F.col("text"), profiles).alias("found")).collect()
+    codes = sorted({lang for lang, _ in ranks})
+    for r in rows:
+        n = {g: r.grams.count(g) for g in r.grams}
+        placed = sorted(n, key=lambda g: (-n[g], g))[:300]
+        score = {c: sum(300 - abs(i + 1 - ranks[c, g]) for i, g in enumerate(placed) if (c, g) in ranks) for c in codes}
+        assert r.found == min(codes, key=lambda c: (-score[c], c))
+    assert df.limit(1).select(language_of(F.lit("12 34"), profiles).alias("l"), language_of(F.lit(None).cast("string"), profiles).alias("m")).first() == (None, None)
+
+
 def test_payload_decides_about_broadcast(spark, monkeypatch):
     from wordloom.operators import joins
 
