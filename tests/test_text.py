@@ -242,6 +242,16 @@ def test_words_are_changed_in_place(spark):
     assert [r.t for r in out] == [None if t is None else " ".join(w * 2 for w in t.split()) for t in texts]
 
 
+def test_texts_with_many_lemmas_and_with_few(spark):
+    words = [f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)]
+    lexicon = spark.createDataFrame([(w,) for w in words], "lemma string")
+    for n in (1, 48, 49, 100):
+        text = " ".join(f"{w}s {w} other" for w in words[:n])
+        df = spark.createDataFrame([(1, text), (2, "other")], "id int, text string")
+        out = [r.text for r in lemmatize(df, "id", "text", lexicon).orderBy("id").collect()]
+        assert out == [" ".join(f"{w} {w} other" for w in words[:n]), "other"]
+
+
 def test_language_of_is_out_of_place_distance(spark, sentences):
     """Held against a plain count, beyond the basic plane too, where a gram also starts at the second half of a character."""
     from wordloom.operators.language import grams, language_of, language_profiles
