@@ -233,6 +233,18 @@ def test_salted_lookup_equals_broadcast(spark):
     assert results[0] == results[1] and len(results[0]) > 2000
 
 
+def test_tiers_shuffle_rare_keys_only(spark, monkeypatch):
+    facts = spark.createDataFrame([(i, w) for i in range(300) for w in {"hot", f"w{i % 50}", f"rare{i}"}], "id int, word string")
+    table = facts.groupBy("word").agg(F.count("*").alias("texts")).where("word != 'w7'").localCheckpoint()
+    wanted = sorted(map(tuple, joins.lookup(facts, table, "word", "id", True).collect()))
+    for bound in (joins.BROADCAST_BYTES, 5_000, 100, 0):
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", bound)
+        found = joins.lookup_by_tiers(facts, table, "word", "texts")
+        assert sorted(map(tuple, found.collect())) == wanted
+        if bound == 5_000:  # what is shuffled holds no frequent key
+            assert "LeftAnti" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_words_are_changed_in_place(spark):
     from wordloom.functions.batches import text_by_word
 

@@ -44,15 +44,42 @@ def is_small(table: DataFrame) -> bool:
     return (table.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def lookup(facts: DataFrame, table: DataFrame, key: str, spread_by: str, small: bool | None = None) -> DataFrame:
+def lookup_by_tiers(facts: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """``lookup`` for facts that cost little to make twice and a written table that counts facts like them in its column ``n``.
+
+    The most frequent keys, as many as can be broadcast, meet their facts in place. Only the facts of other keys are shuffled,
+    and none of those keys is frequent, so none is salted.
+    """
+    size = sum((_bytes(field) for field in table.schema.fields), F.lit(24))
+    levels = table.groupBy(F.floor(F.log2(n)).cast("int").alias("level")).agg(F.sum(size.cast("bigint")).alias("bytes")).collect()
+    cut, taken = None, 0
+    for row in sorted(levels, key=lambda r: -r["level"]):
+        taken += row["bytes"]
+        if taken > BROADCAST_BYTES:
+            break
+        cut = 2 ** row["level"]
+    if taken <= BROADCAST_BYTES:
+        return facts.join(F.broadcast(table), key)
+    if cut is None:
+        return lookup(facts, table, key, facts.columns[0], False, table.select(key, F.col(n).alias("n")))
+    often, seldom = table.where(F.col(n) >= cut), table.where(F.col(n) < cut)
+    others = facts.join(F.broadcast(often.select(key)), key, "left_anti")
+    return facts.join(F.broadcast(often), key).unionByName(others.join(seldom, key))
+
+
+def lookup(
+    facts: DataFrame, table: DataFrame, key: str, spread_by: str, small: bool | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """Inner join on ``key``; ``table`` is a written table with one row per key.
 
-    Hot keys are counted on the facts themselves. Their facts are spread over ``SALTS`` partitions by ``spread_by``, and
+    Hot keys are those of ``counts``, a written ``(key, n)`` of facts like these; without it they are counted on the facts
+    themselves, which are then made twice. The result is the same whichever keys are taken for hot. Their facts are spread over ``SALTS`` partitions by ``spread_by``, and
     only the few hot rows of the table are repeated.
     """
     if is_small(table) if small is None else small:
         return facts.join(F.broadcast(table), key)
-    counts = materialise(facts.groupBy(key).agg(F.count("*").alias("n")), "key-counts")
+    if counts is None:
+        counts = materialise(facts.groupBy(key).agg(F.count("*").alias("n")), "key-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     # Fewer than HOT_SHARE rows, whatever the size of the table.
     hot = F.broadcast(counts.where(F.col("n") * HOT_SHARE > total).select(key, F.lit(SALTS).alias("_salts")))

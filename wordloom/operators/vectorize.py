@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.arrays import bind, histogram
 from wordloom.functions.text import tokens
-from wordloom.operators.joins import lookup
+from wordloom.operators.joins import lookup, lookup_by_tiers
 from wordloom.operators.validate import check_columns
 from wordloom.sources.scratch import materialise
 
@@ -47,6 +47,11 @@ def _hashed_vector(c: Column, buckets: int) -> Column:
     return bind(whole, _unit_length)
 
 
+def term_counts(vocabulary: DataFrame) -> DataFrame | None:
+    """``(term, n)`` of the texts a vocabulary was fitted on, which tells the frequent terms without another count."""
+    return vocabulary.select("term", F.col("texts").alias("n")) if "texts" in vocabulary.columns else None
+
+
 def apply_vectorizer(
     df: DataFrame, id: str, col: str, vocabulary: DataFrame, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -56,7 +61,8 @@ def apply_vectorizer(
     unit length per text, without one it is counts. The weighted terms of a text come together as one array, in which norm and
     weights are one expression; a small vocabulary is broadcast, so that only those arrays are shuffled, and nothing is sorted.
     """
-    counted = lookup(count_terms(df, id, col, keep), vocabulary, "term", id)
+    terms = count_terms(df, id, col, keep)
+    counted = lookup_by_tiers(terms, vocabulary, "term", "texts") if "texts" in vocabulary.columns else lookup(terms, vocabulary, "term", id)
     if "idf" not in vocabulary.columns:
         return counted.select(id, *keep, "term", "weight")
     weighted = counted.select(id, *keep, F.struct("term", (F.col("weight") * F.col("idf")).alias("weight")).alias("x"))
