@@ -318,6 +318,33 @@ def test_golden_predictions(spark, topics, algorithm):
         assert fitted.numClasses == 3 and fitted.getRegParam() == pytest.approx(1 / 60)
 
 
+@pytest.mark.parametrize("classes, vectorizer", [(3, "TF-IDF"), (2, "Count"), (1, "TF-IDF")])
+def test_logistic_regression_is_that_of_mllib(spark, topics, tmp_path, classes, vectorizer):
+    """Coefficients stay in a table, and are those of MLlib up to its tolerance."""
+    rows = topics.withColumn("text", F.concat_ws(" ", "text", F.concat(F.lit("own"), "id"))).where(F.col("category") <= classes)
+    data = workflow.prepare_training(rows, "id")
+    config = ModelConfig("Logistic Regression", vectorizer, c=5.0)
+    model = workflow.fit_model(data, config)
+    assert isinstance(model, models.LogisticTextModel)
+    path = models.save_model(spark, model, str(tmp_path), "Logistic Regression")
+    predicted = dict(map(tuple, models.load_model(spark, path).predict(rows, "id", "text").collect()))
+    assert sum(predicted[r.id] == r.category for r in rows.collect()) == 20 * classes
+    if classes == 1:
+        return
+    train = data.rows.where("NOT is_test")
+    pipeline = fit_pipeline(data.rows, train, "text", "label", config)
+    names, fitted = pipeline.stages[0].stages[1].vocabulary, pipeline.stages[-2]
+    found = {r.term: np.array(r.parts) for r in model.tables.terms.collect()}
+    intercepts = np.array([r.log_prior for r in model.tables.classes.orderBy("label").collect()])
+    expected, biases = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    if classes == 2:
+        found, intercepts = {t: np.diff(parts) for t, parts in found.items()}, np.diff(intercepts)
+    assert set(found) <= set(names)
+    nothing = np.zeros(len(expected))
+    assert np.abs(np.array([found.get(t, nothing) for t in names]).T - expected).max() < 0.02 * np.abs(expected).max()
+    assert np.abs((intercepts - intercepts.mean() if classes > 2 else intercepts) - biases).max() < 0.02 * np.abs(expected).max()
+
+
 def exclusive_or(spark):
     """Two words; texts with just one of them are one class, those with both or none the other."""
     rows = [(i, " ".join(["on"] + ["left"] * (i % 2) + ["right"] * (i // 2 % 2)), str(i % 2 ^ i // 2 % 2)) for i in range(200)]
