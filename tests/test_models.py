@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -67,6 +68,21 @@ def test_hashing_adds_up_collisions(spark):
     assert {b: abs(w) for b, w in signed.items()} == pytest.approx(wide)
 
 
+def test_hashed_terms_are_counted_in_arrow(spark):
+    """Every bucket against a plain count; colliding, repeated, missing and empty texts in one batch; no sort of terms in the JVM."""
+    texts = [None, "aa bb aa", "", "cc aa", "x", "Éa éA zz " * 50, None, "dd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    found = vectorize.hashed(df, "id", "text", buckets=3)
+    expected = {}
+    for i, text in enumerate(texts):
+        words = [w for w in (text or "").lower().split() if len(w) > 1]
+        n = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 3 for w in words)
+        norm = math.sqrt(sum(v * v for v in n.values()))
+        expected.update({(i, b): v / norm for b, v in n.items()})
+    assert {(r.id, r.bucket): r.weight for r in found.collect()} == expected
+    assert "sort_array" not in found._jdf.queryExecution().toString()
+
+
 def brute_naive_bayes(train, test, vocabulary):
     """``train``: [(label, {term: weight})]; scores by the textbook."""
     labels = sorted({label for label, _ in train})

@@ -4,6 +4,7 @@ Words are cut out by Spark's expressions, so that there is one rule for what a w
 """
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -49,3 +50,39 @@ def text_by_word(words: Column, change: Callable[[str], str]) -> Column:
             yield _joined(batch, pa.array(changed, pa.string()).take(coded.indices))
 
     return F.arrow_udf("string")(run)(words)
+
+
+def _bucket_of(word: bytes, buckets: int) -> int:
+    """The first 32 bits of a word's digest, taken modulo the number of buckets."""
+    return int.from_bytes(md5(word, usedforsecurity=False).digest()[:4], "big") % buckets
+
+
+def hashed_counts(words: Column, buckets: int) -> Column:
+    """The words of an array counted by hash bucket and divided by their norm: an array of ``(term, weight)``, ordered by term.
+
+    A missing array has no terms.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            if len(known) > REMEMBERED:
+                known.clear()
+            coded = batch.flatten().dictionary_encode()
+            bucket = []
+            for word in coded.dictionary.cast(pa.binary()).to_pylist():
+                if (found := known.get(word)) is None:
+                    found = known[word] = _bucket_of(word, buckets)
+                bucket.append(found)
+            texts = np.repeat(np.arange(len(batch), dtype=np.int64), np.diff(_offsets(batch)))
+            # A bucket has 32 bits, a row of a batch has fewer.
+            facts = np.sort(texts << 32 | np.array(bucket, np.int64)[coded.indices.to_numpy()])
+            first = np.flatnonzero(np.diff(facts, prepend=-1))
+            n = np.diff(first, append=len(facts)).astype(np.float64)
+            text = facts[first] >> 32
+            norms = np.sqrt(np.bincount(text, n * n, len(batch)))
+            entries = pa.StructArray.from_arrays([pa.array(facts[first] & 0xFFFFFFFF), pa.array(n / norms[text])], ["term", "weight"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(batch)))])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+
+    return F.arrow_udf("array<struct<term: bigint, weight: double>>")(run)(words)

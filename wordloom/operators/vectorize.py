@@ -1,6 +1,7 @@
 """Text to weighted terms, as rows ``(id, term, weight)``.
 
-Terms are counted inside the row, so counting and hashing need no shuffle. TF-IDF joins its vocabulary, and gathers the weighted
+Terms are counted inside the row, so counting and hashing need no shuffle; hashing is done on numbers in Arrow, where a task hashes
+every different word once. TF-IDF joins its vocabulary, and gathers the weighted
 terms of a text in one array, where they are divided by their norm.
 """
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.arrays import bind, histogram
+from wordloom.functions.batches import hashed_counts
 from wordloom.functions.text import tokens
 from wordloom.operators.joins import lookup, lookup_by_tiers
 from wordloom.operators.validate import check_columns
@@ -40,13 +42,6 @@ def _unit_length(vector: Column) -> Column:
     return bind(F.sqrt(squares), lambda norm: F.transform(vector, lambda x: F.struct(x["term"].alias("term"), (x["weight"] / norm).alias("weight"))))
 
 
-def _hashed_vector(c: Column, buckets: int) -> Column:
-    """The hashed vector of a text, an array of ``(term, weight)``."""
-    counts = histogram(F.transform(tokens(c), lambda t: _bucket(_digest(t), buckets)))
-    whole = F.transform(counts, lambda x: F.struct(x["item"].alias("term"), x["n"].cast("double").alias("weight")))
-    return bind(whole, _unit_length)
-
-
 def term_counts(vocabulary: DataFrame) -> DataFrame | None:
     """``(term, n)`` of the texts a vocabulary was fitted on, which tells the frequent terms without another count."""
     return vocabulary.select("term", F.col("texts").alias("n")) if "texts" in vocabulary.columns else None
@@ -110,7 +105,7 @@ def hashed(
         vectors = summed.groupBy(id, *keep).agg(F.collect_list(F.struct("term", "weight")).alias("vector"))
         vector = _unit_length(F.col("vector"))
     else:
-        vectors, vector = df, _hashed_vector(F.col(col), buckets)
+        vectors, vector = df, hashed_counts(tokens(F.col(col)), buckets)
     found = vectors.select(id, *keep, F.explode(vector).alias("v"))
     return found.select(id, *keep, F.col("v.term").alias("bucket"), "v.weight")
 
