@@ -15,6 +15,22 @@ def expected_classes(texts):
     return classes(len(texts), links)
 
 
+def test_shares_of_crowded_texts_need_no_join(spark):
+    """The shares of each text against a plain count; its own shingles and the others are added up, not joined."""
+    rng = random.Random(8)
+    common = prose(rng, 90)
+    texts = [common, common, near_copy(rng, common, 5), near_copy(rng, common, 9), prose(rng, 40), "a b", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_key long, text string")
+    found = minhash.shared_weights(df)
+    counts = [shingle_counts(t) for t in texts]
+    holders = [g for c in counts for g in c]
+    own = [sum(n for g, n in c.items() if holders.count(g) == 1) for c in counts]
+    got = {r["row_key"]: r for r in found.collect()}
+    assert [got[i]["own"] for i in range(len(texts))] == own and max(own) > 0
+    assert [sum(got[i]["cells"]) for i in range(len(texts))] == [sum(c.values()) - o for c, o in zip(counts, own)]
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
 def test_classes_against_brute_force(spark):
     rng = random.Random(3)
     base = [prose(rng, 200) for _ in range(5)]

@@ -144,9 +144,10 @@ def shared_weights(texts: DataFrame) -> DataFrame:
     each = materialise(texts.select("row_key", "text").mapInArrow(run, "row_key long, gram long, n long"), "crowded-shingles")
     cell = F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell")
     single = each.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"), F.min("row_key").alias("row_key"), F.sum("n").alias("n"))
-    single = single.where("texts = 1").groupBy("row_key", cell).agg(F.sum("n").alias("own"))
-    total = each.groupBy("row_key", cell).agg(F.sum("n").alias("n"))
-    both = total.join(single, ["row_key", "cell"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    # A text has at most CELLS rows here. Its own shingles are added to the others by a sum, without a join.
+    single = single.where("texts = 1").select("row_key", cell, F.lit(0).cast("bigint").alias("n"), F.col("n").alias("own"))
+    total = each.select("row_key", cell, "n", F.lit(0).cast("bigint").alias("own"))
+    both = total.unionByName(single).groupBy("row_key", "cell").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
     entries = F.map_from_entries(F.collect_list(F.struct("cell", (F.col("n") - F.col("own")).cast("int"))))
     found = both.groupBy("row_key").agg(F.sum("own").alias("own"), entries.alias("m"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)))
