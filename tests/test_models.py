@@ -395,6 +395,34 @@ def test_fourier_features_are_the_kernel(spark):
     assert kernels.scaled_gamma(df.limit(0), "v") == 1.0
 
 
+def test_a_batch_draws_the_directions_of_a_term_once(monkeypatch):
+    monkeypatch.setattr(kernels, "BLOCK", 3)
+    monkeypatch.setattr(kernels, "ENTRIES", 4)
+    drawn = []
+
+    class Counted(kernels.Directions):
+        def rows(self, terms):
+            drawn.extend(terms.tolist())
+            return super().rows(terms)
+
+    sparse = [{"type": 0, "size": 50, "indices": [i % 7, 10 + i, 40], "values": [1.0, i + 0.5, -2.0]} for i in range(9)]
+    odd = [{"type": 0, "size": 50, "indices": [], "values": []}, {"type": 1, "size": None, "indices": None, "values": [0.5, 3.0]}]
+    vectors = [*sparse[:4], *odd, *sparse[4:]]
+    found = Counted(42, 16, 0.3).projections(kernels.pa.array(vectors, kernels.ARROW))
+    assert sorted(drawn) == [*range(7), *range(10, 19), 40]
+    for vector, row in zip(vectors, found, strict=True):
+        expected = np.zeros(16)
+        for term, value in zip(vector["indices"] or range(2), vector["values"]):
+            expected += value * 0.3 * np.random.Generator(np.random.Philox(key=[42, term])).standard_normal(16)
+        assert row == pytest.approx(expected, abs=1e-12)
+
+
+@pytest.mark.parametrize(("n_train", "models"), [(1_000, 4), (100_000, 2), (200_000, 1), (10_000_000, 1)])
+def test_copies_of_kernel_features_are_bounded(spark, n_train, models):
+    assert build_classifier(ModelConfig("SVM"), n_train).getParallelism() == models
+    assert build_classifier(ModelConfig("SVM", kernel="linear"), n_train).getParallelism() == 4
+
+
 def test_penalty_and_depth():
     assert ModelConfig().algorithm == "SVM" and ModelConfig().vectorizer == "TF-IDF"
     for bad in ({"algorithm": "Perceptron"}, {"vectorizer": "Word2Vec"}, {"test_size": 0}, {"fit_scope": "none"}, {"kernel": "poly"}, {"gamma": 0}):
