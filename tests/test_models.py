@@ -423,6 +423,11 @@ def test_copies_of_kernel_features_are_bounded(spark, n_train, models):
     assert build_classifier(ModelConfig("SVM", kernel="linear"), n_train).getParallelism() == 4
 
 
+def test_a_forest_keeps_the_node_of_every_row(spark):
+    forest = build_classifier(ModelConfig("Random Forest"), 1)
+    assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() == 512
+
+
 def test_penalty_and_depth():
     assert ModelConfig().algorithm == "SVM" and ModelConfig().vectorizer == "TF-IDF"
     for bad in ({"algorithm": "Perceptron"}, {"vectorizer": "Word2Vec"}, {"test_size": 0}, {"fit_scope": "none"}, {"kernel": "poly"}, {"gamma": 0}):
