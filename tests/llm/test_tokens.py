@@ -84,6 +84,19 @@ def test_special_tokens_in_a_text_are_the_librarys():
     assert library.token_to_id("<|endoftext|>") in found[0] and library.token_to_id("<|endoftext|>") not in found[1]
 
 
+def test_plain_words_are_cut_and_merged_as_by_the_library():
+    library, mine = Tokenizer.from_str(word_tokenizer()), packing.Encoder(word_tokenizer())
+    rng, odd = random.Random(3), "abcXYZ's'T12$\n\t\x0b\x1c\x85\xa0éÀߺıİſÅΣςẠǅȺ東👩‘’—\u0301\u200d\u2028 \u3000</w> "
+    texts = [f"a{c}b {c} {c}x T{c} 's{c}'S" for c in map(chr, [*range(0x400), *range(0x2000, 0x2070)])]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(1000)]
+    found = mine.encode(texts)
+    assert found == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    # Texts beyond ASCII do not bring every case of a word.
+    mine = packing.Encoder(word_tokenizer())
+    mine.encode(["É word WORD Word", "— Word"])
+    assert set(mine.memory.known) == {"é", "word", "—"}
+
+
 def test_packing_keeps_every_id_once(spark):
     rng = random.Random(8)
     texts = TEXTS + [prose(rng, rng.choice([3, 30, 50, 80, 120, 1500])) for _ in range(300)] + ["same text"] * 100 + [prose(rng, 9000)]

@@ -94,7 +94,7 @@ def laid_out(words: pa.Array, ids_of: Callable[[list[str]], list[bytes]]) -> tup
     ``ids_of`` gives the ids of different words, as little-endian 32-bit numbers.
     """
     coded = pc.dictionary_encode(words)
-    ids = ids_of(coded.dictionary.to_pylist())
+    ids = ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
     size = np.array([len(i) // 4 for i in ids], np.int64)
     which = coded.indices.to_numpy()
     own = size[which]
@@ -122,13 +122,16 @@ class Memory:
         """The ids of different words; all that are new are learned together."""
         if self.used > self.room:
             self.known, self.older, self.used = {}, self.known, 0
-        missing = [w for w in words if w not in self.known]
-        kept = [w for w in missing if w in self.older]
-        self.add(kept, [self.older[w] for w in kept])
-        new = [w for w in missing if w not in self.older]
-        if new:
-            self.add(new, self.learn(new))
-        return list(map(self.known.__getitem__, words))
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        kept = [i for i in missing if words[i] in self.older]
+        new = [i for i in missing if words[i] not in self.older] if len(kept) < len(missing) else []
+        fresh = self.learn([words[i] for i in new]) if new else []
+        for which, some in ((kept, [self.older[words[i]] for i in kept]), (new, fresh)):
+            self.add([words[i] for i in which], some)
+            for i, ids in zip(which, some):
+                found[i] = ids
+        return found
 
 
 def in_bytes(lists: list[list[int]]) -> list[bytes]:

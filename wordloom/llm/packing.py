@@ -16,15 +16,18 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from wordloom.llm.common import column, keyed, stretches
 from wordloom.llm.merging import Memory, laid_out
@@ -38,28 +41,57 @@ PIVOTS = 200
 #: Bytes of words and ids that a task remembers.
 CACHE_BYTES = 64 << 20
 #: New words that are encoded in one call, and characters of texts that are worked on at a time.
-CALL, SLICE = 2048, 1 << 21
-#: Characters that Python splits at and the tokenizer does not.
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
+CALL, SLICE = 256, 1 << 23
+#: Texts and words without these characters are plain: composing changes nothing, and lower case is a matter of each character.
+NOT_PLAIN = r"[^\x{0}-\x{12F}\x{131}-\x{2FF}\x{2010}-\x{2027}]"
+#: The public tokenizer's steps before merging.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": PARTS}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 class Encoder:
     """From texts to their ids as little-endian unsigned 32-bit numbers.
 
     For tokenizers that never look beyond white space, as those with word ends: the different words of a call are looked up, and
-    new ones are encoded, many in one call, which costs a fraction of one call each; the ids' offsets tell them apart. A text that
-    holds a special token's string is encoded whole, so that the library finds it as it does anywhere.
+    new ones are encoded, many in one call, which costs a fraction of one call each; the ids' offsets tell them apart. Where the
+    steps before merging are those of the public tokenizer, plain words are cut into their parts here, the library merges the
+    parts, and the ids that end a part tell them apart. A text that holds a special token's string is encoded whole, so that the
+    library finds it as it does anywhere.
     """
 
     def __init__(self, tokenizer: str, cache_bytes: int = CACHE_BYTES):
         settings = json.loads(tokenizer)
-        self.whole, self.model = Tokenizer.from_str(tokenizer), Tokenizer.from_str(tokenizer)
+        self.tokenizer, self.model = tokenizer, Tokenizer.from_str(tokenizer)
         self.model.encode_special_tokens = True  # words that only look like one once they are in lower case
         self.special = [t["content"] for t in settings.get("added_tokens", [])]
         self.ignores_case = '"type": "Lowercase"' in json.dumps(settings.get("normalizer"))
         self.memory = Memory(self.learn, cache_bytes)
+        self.cut, self.merger, self.ends = regex.compile(PARTS), None, np.zeros(0, bool)
+        end, vocabulary = settings["model"].get("end_of_word_suffix"), settings["model"]["vocab"]
+        known = settings.get("normalizer") == {"type": "Sequence", "normalizers": NORMAL}
+        known = known and settings.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        if known and end and all(b in vocabulary and b + end in vocabulary for b in ByteLevel.alphabet()):
+            self.merger = Tokenizer(self.model.model)
+            self.merger.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
+
+    @cached_property
+    def whole(self) -> Tokenizer:
+        return Tokenizer.from_str(self.tokenizer)
 
     def learn(self, words: list[str]) -> list[bytes]:
+        plain = ~pc.match_substring_regex(pa.array(words, pa.string()), NOT_PLAIN).to_numpy(zero_copy_only=False) & (self.merger is not None)
+        out = [b""] * len(words)
+        for chosen, learned in ((plain, self.by_parts), (~plain, self.by_offsets)):
+            some = np.flatnonzero(chosen).tolist()
+            for i, ids in zip(some, learned([words[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def by_offsets(self, words: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(words), CALL):
             some = words[at : at + CALL]
@@ -71,13 +103,26 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
+    def by_parts(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), CALL):
+            lists = [[w] if w.isalpha() else self.cut.findall(w) for w in map(str.lower, words[at : at + CALL])]
+            (found,) = self.merger.encode_batch_fast([" ".join(chain.from_iterable(lists))], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.concatenate([[0], 4 * (np.flatnonzero(self.ends[ids]) + 1)])
+            cuts, raw = ends[np.cumsum([0, *map(len, lists)])].tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        marked = {i for i, t in enumerate(texts) if any(mark in t for mark in self.special)}
-        if self.ignores_case:  # lower ASCII letters make fewer different words
-            texts = [t.lower() if t.isascii() and i not in marked else t for i, t in enumerate(texts)]
-        split = [[] if i in marked else t.split() if not ODD_SPACE.search(t) else [t] for i, t in enumerate(texts)]
-        encoded, ends = laid_out(pa.array(chain.from_iterable(split), pa.string()), self.memory.ids_of)
-        borders = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])].tolist()
+        held, marked = pa.array(texts, pa.string()), [i for i, t in enumerate(texts) if any(mark in t for mark in self.special)]
+        if marked:
+            held = pc.if_else(pa.array(np.isin(np.arange(len(texts)), marked)), "", held)
+        if self.ignores_case:  # lower letters make fewer different words
+            held = pc.if_else(pc.match_substring_regex(held, NOT_PLAIN), held, pc.utf8_lower(held))
+        split = pc.ascii_split_whitespace(held)
+        encoded, ends = laid_out(split.flatten(), self.memory.ids_of)
+        borders = np.concatenate([[0], ends])[np.cumsum([0, *pc.list_value_length(split).to_numpy()])].tolist()
         out = [encoded[a:b].tobytes() for a, b in zip(borders, borders[1:])]
         for i in marked:
             out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
