@@ -18,9 +18,12 @@ from wordloom.operators import dataset, joins, kernels, knn, vectorize
 from wordloom.operators.mllib import build_classifier, fit_pipeline, fit_vectorizer
 from wordloom.operators.naive_bayes import nb_fit, nb_predict
 from wordloom.options import TREE_BUCKETS, CleanOptions, ModelConfig
-from wordloom.plans import models, workflow
+from wordloom.plans import models, queries, workflow
 from wordloom.sources.scratch import materialise
 
+#: What the registered classifiers learn by.
+REGISTERED = [c for q in queries.QUERIES.values() for cell in q.__closure__ or () if isinstance(c := cell.cell_contents, ModelConfig)]
+
 TOPICS = {
     1: "minister parliament war treaty border nation embassy",
     2: "goal match team player coach league stadium",
@@ -289,6 +292,23 @@ def test_null_texts_in_training(spark, topics, algorithm):
     assert model.predict(with_null, "id", "text").count() == with_null.count()
 
 
+@pytest.mark.parametrize("algorithm", ["KNN"])
+def test_all_training_rows_are_learned_from(spark, monkeypatch, algorithm):
+    rows = spark.range(0, 200_500, 1, 8).select("id", F.lit("a b").alias("text"), (F.col("id") % 2).alias("label"), F.lit(False).alias("is_test"))
+    seen = {}
+
+    def keep(*frames):
+        seen.update({name: df.count() for name, df in zip(("scope", "train"), frames)})
+
+    monkeypatch.setattr(workflow, "fit_pipeline", lambda scope, train, *rest: keep(scope, train))
+    monkeypatch.setattr(workflow, "_fit_logistic", lambda data, config, scope, train: keep(scope, train))
+    config = next(c for c in REGISTERED if c.algorithm == algorithm)
+    model = workflow.fit_model(workflow.Prepared(rows, "id", "text", models.Cleaning()), config)
+    if algorithm == "KNN":
+        seen = {"scope": 200_500, "train": model.labels.count()}
+    assert seen == {"scope": 200_500, "train": 200_500}
+
+
 def test_training_rows_are_bounded_by_a_hash(spark):
     df = spark.range(20_000)
     assert dataset.draw(df, "id", 30_000) is df

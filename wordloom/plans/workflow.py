@@ -92,15 +92,13 @@ def prepare_training(
 def fit_model(data: Prepared, config: ModelConfig) -> TextModel:
     """Fit vectorizer and classifier. The vectorizer sees all rows, or the training rows only (``fit_scope``).
 
-    Naive Bayes learns from every row. The others learn from ``max_train_rows`` of them at most; the vocabulary of KNN is that of
-    all rows as well.
+    Naive Bayes and KNN learn from every row. The others, and their vocabulary, learn from ``max_train_rows`` at most.
     """
     rows, id, text = data.rows, data.id, data.text
     train = rows.where(~F.col("is_test"))
     scope = rows if config.fit_scope == "all" else train
-    if config.algorithm != "Naive Bayes":
-        train = draw(train, id, config.max_train_rows, config.random_state)
     if config.algorithm not in ("Naive Bayes", "KNN"):
+        train = draw(train, id, config.max_train_rows, config.random_state)
         scope = draw(scope, id, config.max_train_rows, config.random_state)
     if config.algorithm == "Logistic Regression":
         return _fit_logistic(data, config, scope, train)
@@ -191,7 +189,6 @@ def _score_features(data: Prepared, config: ModelConfig, features: Features) ->
     train_terms, test_terms = (features.terms.where(c).select(id, "term", "weight", "label") for c in (~F.col("is_test"), F.col("is_test")))
     labels = rows.where(~F.col("is_test")).select(id, "label")
     if config.algorithm == "KNN":
-        labels = draw(labels, id, config.max_train_rows, config.random_state)
         indexes = knn_fit(train_terms.drop("label"), labels, config.n_neighbors)
         return knn_score(packed_vectors(test, test_terms.drop("label")), indexes, config.n_neighbors, labels.schema["label"].dataType)
     if config.vectorizer == "Hashing":
