@@ -92,12 +92,12 @@ def prepare_training(
 def fit_model(data: Prepared, config: ModelConfig) -> TextModel:
     """Fit vectorizer and classifier. The vectorizer sees all rows, or the training rows only (``fit_scope``).
 
-    Naive Bayes, KNN, SVM, Random Forest and Decision Tree learn from every row. The others, and their vocabulary, learn from ``max_train_rows`` at most.
+    Naive Bayes, KNN, SVM, Random Forest, Decision Tree and Logistic Regression learn from every row. The others, and their vocabulary, learn from ``max_train_rows`` at most.
     """
     rows, id, text = data.rows, data.id, data.text
     train = rows.where(~F.col("is_test"))
     scope = rows if config.fit_scope == "all" else train
-    if config.algorithm not in ("Naive Bayes", "KNN", "SVM", "Random Forest", "Decision Tree"):
+    if config.algorithm not in ("Naive Bayes", "KNN", "SVM", "Random Forest", "Decision Tree", "Logistic Regression"):
         train = draw(train, id, config.max_train_rows, config.random_state)
         scope = draw(scope, id, config.max_train_rows, config.random_state)
     if config.algorithm == "Logistic Regression":
