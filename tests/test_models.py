@@ -292,7 +292,7 @@ def test_null_texts_in_training(spark, topics, algorithm):
     assert model.predict(with_null, "id", "text").count() == with_null.count()
 
 
-@pytest.mark.parametrize("algorithm", ["KNN", "SVM", "Random Forest", "Decision Tree", "Logistic Regression"])
+@pytest.mark.parametrize("algorithm", ["KNN", "SVM", "Random Forest", "Decision Tree", "Logistic Regression", "Gradient Boosting"])
 def test_all_training_rows_are_learned_from(spark, monkeypatch, algorithm):
     rows = spark.range(0, 200_500, 1, 8).select("id", F.lit("a b").alias("text"), (F.col("id") % 2).alias("label"), F.lit(False).alias("is_test"))
     seen = {}
