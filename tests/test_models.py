@@ -193,6 +193,39 @@ def test_bounds_skip_lists_and_lose_nothing(signed):
     assert signed or index.seen < everything / 4
 
 
+@pytest.mark.parametrize("signed, scale, together", [(False, 1.0, {}), (True, 1.0, {}), (False, 300.0, {}), (True, 1.0, {"BLOCK": 7, "HITS": 50, "DENSE_TERMS": 9}), (False, 1.0, {"CELLS": 1, "DENSE_CELLS": 0})])
+def test_texts_that_go_past_indexes_together_find_what_each_finds_alone(monkeypatch, signed, scale, together):
+    for name, value in together.items():
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(5)
+
+    def vector():
+        at = sorted(set(rng.integers(0, 300, 4)) | set(rng.integers(0, 30, 12)))
+        w = scale * np.where(np.array(at) < 30, 0.2, 1.0) * rng.integers(1, 4, len(at)) * (rng.choice([-1, 1], len(at)) if signed else 1)
+        return [f"t{i}" for i in at], w / 4
+
+    train = [vector() for _ in range(600)]
+    train[100:140] = train[:40]  # equal distances: the smaller rank goes first
+    indexes = [
+        knn.Index([t for t, _ in train[a:b]], [w.tolist() for _, w in train[a:b]], [[(i, i % 3), (1000 + i, 1)] for i in range(a, b)])
+        for a, b in ((0, 3), (3, 200), (200, 201), (201, 600))
+    ]
+    texts = [vector() for _ in range(60)] + train[:5] + [([], np.zeros(0)), (["unknown"], np.ones(1))]
+    names = sorted({t for terms, _ in texts for t in terms})
+    codes = np.array([names.index(t) for terms, _ in texts for t in terms])
+    starts = np.concatenate([[0], np.cumsum([len(terms) for terms, _ in texts])])
+    alone, joint = ([[] for _ in texts] for _ in range(2))
+    farthest = np.full(len(texts), np.inf)
+    for index in indexes:
+        for i, (terms, w) in enumerate(texts):
+            alone[i] = sorted([*alone[i], *zip(*map(np.ndarray.tolist, index.nearest(terms, w, 5)))])[:5]
+        for i, *found in index.nearer(names, starts, codes, np.concatenate([w for _, w in texts]), 5, farthest):
+            joint[i] = sorted([*joint[i], *zip(*map(np.ndarray.tolist, found))])[:5]
+            farthest[i] = joint[i][-1][0] if len(joint[i]) == 5 else np.inf
+    assert [[x[1:] for x in found] for found in joint] == [[x[1:] for x in found] for found in alone]
+    assert np.allclose([[x[0] for x in found] for found in joint], [[x[0] for x in found] for found in alone], atol=2e-9)
+
+
 def test_knn_reads_the_texts_to_score_once_and_shuffles_none(spark, topics):
     vocabulary = vectorize.fit_vocabulary(topics, "id", "text")
     terms = vectorize.vectorize(topics, "id", "text", "TF-IDF", vocabulary, 0)
