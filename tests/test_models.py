@@ -266,6 +266,55 @@ def test_naive_bayes_shuffles_no_row_per_class(spark, classes):
     assert "Generate" not in plan and "Window" not in plan
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("vectorizer", ["Count", "TF-IDF"])
+def test_what_travels_of_a_model_does_not_change_its_predictions(spark, topics, monkeypatch, vectorizer):
+    rows = [(1000, None, 1), (1001, "", 2), (1002, "unknown words only", 3), (1003, "goal goal goal minister today", 2)]
+    df = topics.unionByName(spark.createDataFrame(rows, topics.schema))
+    model = workflow.fit_model(workflow.prepare_training(df, "id"), ModelConfig("Naive Bayes", vectorizer))
+    terms = vectorize.vectorize(df, "id", "text", vectorizer, model.vocabulary, 0)
+    wanted = dict(nb_predict(terms, model.tables, df.select("id")).collect())
+    whole = model.predict(materialise(df, "texts"), "id", "text")
+    assert "Exchange hash" not in _plan(whole) and "Join" not in _plan(whole)
+    for bound in (joins.BROADCAST_BYTES, 600, 0):
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", bound)
+        assert dict(model.predict(df, "id", "text").collect()) == wanted
+    monkeypatch.setattr("wordloom.operators.naive_bayes.COLUMNS", 0)
+    assert dict(model.predict(df, "id", "text").collect()) == wanted
+
+
+@pytest.mark.parametrize("bound", [64_000_000, 600, 0])
+def test_unique_texts_are_weighed_inside_the_row(spark, topics, monkeypatch, bound):
+    df = topics.unionByName(spark.createDataFrame([(1000, None, 1), (1001, "unknown goal goal", 2)], topics.schema))
+    vocabulary = vectorize.fit_vocabulary(topics, "id", "text")
+    wanted = weights(vectorize.apply_vectorizer(df, "id", "text", vocabulary))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", bound)
+    found = vectorize.weigh_unique(df, "id", "text", vocabulary, ["category"])
+    assert found.columns == ["id", "category", "term", "weight"]
+    found = weights(found.drop("category"))
+    assert found.keys() == wanted.keys() and all(found[i] == pytest.approx(wanted[i]) for i in wanted)
+    if bound > 600:
+        plan = _plan(vectorize.weigh_unique(topics, "id", "text", vocabulary))
+        assert "Exchange" not in plan
+
+
+def test_naive_bayes_makes_its_facts_once(spark, topics):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    terms = vectorize.count_terms(topics, "id", "text")
+    facts = terms.mapInArrow(counted, terms.schema)
+    nb_fit(facts, topics.select("id", F.col("category").alias("label")), vectorize.fit_vocabulary(topics, "id", "text").select("term"))
+    assert made.value == terms.count()
+
+
 def test_tfidf_sorts_no_facts(spark, topics):
     plan = vectorize.tfidf(topics, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan
