@@ -341,6 +341,23 @@ def test_lemmas_need_no_python_and_grow_with_the_words(spark):
     assert seconds[1] < 4 * seconds[0] + 1
 
 
+@pytest.mark.parametrize("with_exceptions", [False, True])
+def test_lemmas_inside_the_row_are_those_of_the_join(spark, monkeypatch, with_exceptions):
+    from wordloom.operators.morphology import lemmatize_numbered
+
+    texts = ["cats boxes men 12 cities", "", None, "dogs cat cats mice", "glasses bus ness", "-- 1"]
+    rows = joins.with_row_id(spark.createDataFrame([(t,) for t in texts], "text string"))
+    lexicon = spark.createDataFrame([("cat",), ("box",), ("man",), ("city",), ("glass",)], "lemma string")
+    exceptions = spark.createDataFrame([("mice", "mouse"), ("cats", "feline")], "word string, lemma string") if with_exceptions else None
+    inside = lemmatize_numbered(rows, "row_id", "text", lexicon, exceptions, True)
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    wanted = sorted(map(tuple, lemmatize_numbered(rows, "row_id", "text", lexicon, exceptions).collect()), key=repr)
+    assert sorted(map(tuple, inside.collect()), key=repr) == wanted
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, lemmatize_numbered(rows, "row_id", "text", lexicon, exceptions, True).collect()), key=repr) == wanted
+
+
 def test_lemmas_do_not_depend_on_the_table(spark):
     lexicon = spark.createDataFrame([("cat",), ("box",)], "lemma string")
     with pytest.raises(ValueError, match="lexicon"):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from wordloom.functions.arrays import bind, fill_gaps
 from wordloom.functions.porter import stem_text
 from wordloom.functions.text import join_words, valid_words
-from wordloom.operators.joins import lookup, with_row_id
+from wordloom.operators.inrow import replaced
+from wordloom.operators.joins import is_small, lookup, with_row_id
 from wordloom.operators.validate import check_columns
 from wordloom.sources.scratch import materialise
 
@@ -45,8 +46,8 @@ def corpus_lexicon(df: DataFrame, col: str, min_texts: int = MIN_TEXTS) -> DataF
     return _word_texts(df, col).where(F.col("texts") >= min_texts).select(F.col("word").alias("lemma"))
 
 
-def lemma_table(lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
-    """``(word, lemma)`` for every word that changes.
+def lemma_table(lexicon: DataFrame, exceptions: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """``(word, lemma)`` for every word that changes, by the rules only for those of ``words`` ``(word)`` where they are given.
 
     Candidates of a word are itself and what the noun rules make of it, if the lexicon ``(lemma)`` holds them; the shortest wins,
     the alphabetically first among equals. The rules are read backwards, from a lemma to the words it can stand for, so the table
@@ -54,11 +55,10 @@ def lemma_table(lexicon: DataFrame, exceptions: DataFrame | None = None) -> Data
     """
     lemma = F.col("lemma")
     forms = [F.when(lemma.endswith(new), F.concat(F.left(lemma, F.length(lemma) - len(new)), F.lit(end))) for end, new in NOUN_RULES]
-    found = (
-        lexicon.select(lemma, F.explode(F.array_compact(F.array(lemma, *forms))).alias("word"))
-        .groupBy("word")
-        .agg(F.min(F.struct(F.length("lemma").alias("size"), lemma))["lemma"].alias("lemma"))
-    )
+    formed = lexicon.select(lemma, F.explode(F.array_compact(F.array(lemma, *forms))).alias("word"))
+    if words is not None:
+        formed = formed.join(words, "word", "left_semi")
+    found = formed.groupBy("word").agg(F.min(F.struct(F.length("lemma").alias("size"), lemma))["lemma"].alias("lemma"))
     if exceptions is not None:
         fixed = exceptions.where("word IS NOT NULL AND lemma IS NOT NULL").groupBy("word").agg(F.min("lemma").alias("fixed"))
         found = found.join(fixed, "word", "full").select("word", F.coalesce("fixed", "lemma").alias("lemma"))
@@ -109,11 +109,18 @@ def _replaced(words: Column, lemmas: Column) -> Column:
 
 
 def lemmatize_numbered(
-    rows: DataFrame, row: str, col: str, lexicon: DataFrame, exceptions: DataFrame | None = None
+    rows: DataFrame, row: str, col: str, lexicon: DataFrame, exceptions: DataFrame | None = None, in_row: bool = False
 ) -> DataFrame:
-    """``lemmatize`` for a written table whose column ``row`` tells its rows apart."""
+    """``lemmatize`` for a written table whose column ``row`` tells its rows apart.
+
+    With ``in_row``, the lemmas of the words that occur and change, if they may be broadcast, are put in place in Arrow, so that no
+    text is shuffled.
+    """
     words = valid_words(F.col(f"`{col}`"))
-    table = materialise(lemma_table(lexicon, exceptions), "lemmas")
+    changing = F.array_distinct(F.filter(words, lambda w: _may_change(w, exceptions is not None)))
+    table = materialise(lemma_table(lexicon, exceptions, rows.select(F.explode(changing).alias("word")).distinct()), "lemmas")
+    if in_row and is_small(table):
+        return rows.withColumn(col, replaced(words, rows.sparkSession.sparkContext.broadcast(table.toArrow().combine_chunks())))
     distinct = F.posexplode(F.sort_array(F.array_distinct(words))).alias("at", "word")
     pairs = rows.select(row, distinct).where(_may_change(F.col("word"), exceptions is not None))
     found = lookup(pairs, table, "word", row).groupBy(row)

@@ -83,7 +83,7 @@ def prepare_training(
     plain = with_row_id(marked.withColumn(text, clean_column(F.col(text), PRESET, clean_language, lists)), row)
     if lexicon is None:
         lexicon = materialise(corpus_lexicon(plain, text), "lexicon")
-    cleaned = materialise(lemmatize_numbered(plain, row, text, lexicon, exceptions).drop(row), "training-rows")
+    cleaned = materialise(lemmatize_numbered(plain, row, text, lexicon, exceptions, True).drop(row), "training-rows")
     if cleaned.isEmpty():
         raise ValueError("the training table is empty")
     return Prepared(cleaned, id, text, Cleaning(clean_language, lexicon, exceptions, lists))
@@ -262,7 +262,7 @@ def _classified(rows: DataFrame, row: str, name: str, model: TextModel, label_ma
     own = model.cleaning
     present = rows.where(F.col("_plain").isNotNull())
     lexicon, exceptions = own.lexicon if lexicon is None else lexicon, own.exceptions if exceptions is None else exceptions
-    cleaned = lemmatize_numbered(present.select(row, "_plain"), row, "_plain", lexicon, exceptions)
+    cleaned = lemmatize_numbered(present.select(row, "_plain"), row, "_plain", lexicon, exceptions, True)
     found = model.predict(cleaned, row, "_plain", present.select(row)).select(row, F.col("prediction").alias("_prediction"))
     named = F.coalesce(class_name(F.col("_prediction"), label_map), F.lit(PREDICTION_ERROR))
     # Whether there is a text is told before the join, so that texts nobody reads later do not go through it.
